@@ -127,30 +127,32 @@ def _chain(pdf: pd.DataFrame, plan: _Plan) -> dict[str, np.ndarray]:
     return now
 
 
-def _sums(batches: Iterable[pd.DataFrame], c: str, plan: _Plan) -> Iterator[pd.DataFrame]:
-    """The addends of one field's fit over one task's rows: position, value."""
-    total = None
+def _sums(batches: Iterable[pd.DataFrame], fields: list[str], plan: _Plan) -> Iterator[pd.DataFrame]:
+    """The addends of the fields' fits over one task's rows: field, position, value."""
+    totals: dict[str, np.ndarray] = {}
     for pdf in batches:
         now = _chain(pdf, plan)
-        if c in plan.numeric:
-            seen = ~np.isnan(y := pdf[c].to_numpy(float))
-            x, y = _design(pdf, c, now, plan)[seen], y[seen]
-            one = np.concatenate([(x.T @ x).ravel(), x.T @ y, [y @ y, len(y), y.sum()]])
-        else:
-            seen = ~np.isnan(code := pdf[f"{c}__code"].to_numpy(float))
-            k, code = len(plan.vocab[c]), code[seen].astype(int)
-            one = np.concatenate([np.bincount(code, minlength=k), *(np.bincount(f[seen] * k + code, minlength=s * k) for f, s in zip(_features(pdf, c, now, plan), _sizes(c, plan), strict=True))]).astype(float)
-        total = one if total is None else total + one
-    if total is not None:
-        yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
-
-
-def _collect(df: DataFrame, c: str, plan: _Plan) -> np.ndarray:
+        for c in fields:
+            if c in plan.numeric:
+                seen = ~np.isnan(y := pdf[c].to_numpy(float))
+                x, y = _design(pdf, c, now, plan)[seen], y[seen]
+                one = np.concatenate([(x.T @ x).ravel(), x.T @ y, [y @ y, len(y), y.sum()]])
+            else:
+                seen = ~np.isnan(code := pdf[f"{c}__code"].to_numpy(float))
+                k, code = len(plan.vocab[c]), code[seen].astype(int)
+                counts = [np.bincount(f[seen] * k + code, minlength=s * k) for f, s in zip(_features(pdf, c, now, plan), _sizes(c, plan), strict=True)]
+                one = np.concatenate([np.bincount(code, minlength=k), *counts]).astype(float)
+            totals[c] = one if c not in totals else totals[c] + one
+    for c, total in totals.items():
+        yield pd.DataFrame({"field": c, "at": np.arange(len(total)), "v": total})
+
+
+def _collect(df: DataFrame, fields: list[str], plan: _Plan) -> dict[str, np.ndarray]:
     """The sums over all rows: a fixed number of values, whatever the table's size."""
-    rows = df.mapInPandas(partial(_sums, c=c, plan=plan), "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(len(rows))
+    rows = df.mapInPandas(partial(_sums, fields=fields, plan=plan), "field string, at long, v double").groupBy("field", "at").agg(F.sum("v").alias("v")).collect()
+    out = {c: np.zeros(sum(r["field"] == c for r in rows)) for c in fields}
     for r in rows:
-        out[r["at"]] = r["v"]
+        out[r["field"]][r["at"]] = r["v"]
     return out
 
 
@@ -213,15 +215,17 @@ def chained_imputation(
     base = base.withColumn("__span", F.floor(F.col("__t") / F.lit(span_days * _DAY))).withColumn("__row", F.xxhash64("__id"))
     by = Window.partitionBy("__group", "__span").orderBy("__t", "__id")
     whole = Window.partitionBy("__group", "__span")
-    past, ahead = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
+    back = Window.partitionBy("__group", "__span").orderBy(F.col("__t").desc(), F.col("__id").desc())
+    # both frames grow row by row; a frame that shrinks towards its end would cost a square
+    past, ahead = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (by, back))
     cols = [F.col("*"), (F.col("__t") / 3_600_000_000 % 24).alias("__hour"), (F.lag("__id").over(by) == F.col("__id")).alias("__copy")]
     for c in numeric:
         t = F.when(F.col(c).isNotNull(), F.col("__t"))
-        cols += [F.last(c, True).over(past).alias(f"{c}__before"), F.first(c, True).over(ahead).alias(f"{c}__after"), F.avg(c).over(whole).alias(f"{c}__mean")]
-        cols += [(F.col("__t") - F.last(t, True).over(past)).cast("double").alias(f"{c}__t_before"), (F.first(t, True).over(ahead) - F.col("__t")).cast("double").alias(f"{c}__t_after")]
+        cols += [F.last(c, True).over(past).alias(f"{c}__before"), F.last(c, True).over(ahead).alias(f"{c}__after"), F.avg(c).over(whole).alias(f"{c}__mean")]
+        cols += [(F.col("__t") - F.last(t, True).over(past)).cast("double").alias(f"{c}__t_before"), (F.last(t, True).over(ahead) - F.col("__t")).cast("double").alias(f"{c}__t_after")]
     for w in vocab:
         code = F.col(f"{w}__code")
-        cols += [F.last(code, True).over(past).alias(f"{w}__before"), F.first(code, True).over(ahead).alias(f"{w}__after"), F.mode(code).over(whole).alias(f"{w}__mode")]
+        cols += [F.last(code, True).over(past).alias(f"{w}__before"), F.last(code, True).over(ahead).alias(f"{w}__after"), F.mode(code).over(whole).alias(f"{w}__mode")]
     known = base.select(*cols).filter("__copy is not true")
     lone = reduce(Column.__or__, [F.col(c).isNull() for c in numeric] + [F.col(f"{w}__code").isNull() for w in vocab])
     rows = stage(known.drop("__copy").withColumn("__open", lone), "features", ["__open"])
@@ -234,12 +238,12 @@ def chained_imputation(
     if networks is None or not numeric:
         open_ = open_.select("*", *none)
     else:
-        open_ = _with_network(open_, rows, networks, list(numeric))
+        open_ = stage(_with_network(open_, rows, networks, list(numeric)), "open")  # read once in each pass
     limits = bounds or {}
-    once = {c: _collect(closed, c, plan) for c in (*numeric, *vocab)}
+    once = _collect(closed, [*numeric, *vocab], plan)
     for turn in range(rounds):
         for c in (*numeric, *vocab):
-            more = _collect(open_, c, plan)
+            more = _collect(open_, [c], plan)[c]
             sums = once[c] + more if len(once[c]) and len(more) else once[c] if len(once[c]) else more
             plan.models[(turn, c)] = _fit(sums, c, plan, limits.get(c, (-math.inf, math.inf)))
     keep = ["__id", "__group", "__time"]
