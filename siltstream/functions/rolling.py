@@ -73,4 +73,6 @@ def rolling(s: Series, c: Column, window: str | int, func: str | Callable = "mea
     w = frame(s, window, center, closed, forward)
     least = (window if isinstance(window, int) else 1) if min_periods is None else min_periods
     out = over(func, c, w)
-    return F.when(F.count(c).over(w) >= least, out) if least > 0 else out
+    # a count is of values, but its window is full by its rows
+    n = F.count(F.lit(1)).over(w) if func == "count" else F.count(c).over(w)
+    return F.when(n >= least, out) if least > 0 else out

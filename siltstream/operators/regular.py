@@ -52,10 +52,10 @@ def _frame(kind: str, rows: int, **cols: object) -> pd.DataFrame:
     return pd.DataFrame({"kind": [kind] * rows} | {c: cols.get(c, [None] * rows) for c in list(_COLS)[1:]}, columns=list(_COLS))
 
 
-def _walk(batches: Iterable[pd.DataFrame], step: int, silence: int | None, gauge: bool) -> Iterator[pd.DataFrame]:
+def _walk(batches: Iterable[pd.DataFrame], step: int, silence: int | None, gauge: bool, size: int) -> Iterator[pd.DataFrame]:
     """Cells of one partition: ``cell`` (whole), ``part`` (to be added up), ``end`` (first and last reading of a block)."""
     previous = None
-    for block in blocks(batches, 200_000):
+    for block in blocks(batches, size):
         copy = ~breaks(block["id"].to_numpy(), block["t"].to_numpy())
         copy[0] = previous == (block["id"].iloc[0], block["t"].iloc[0])
         previous = (block["id"].iloc[-1], block["t"].iloc[-1])
@@ -74,7 +74,8 @@ def _walk(batches: Iterable[pd.DataFrame], step: int, silence: int | None, gauge
         part = ((of == source[0]) & (cells == (t[0] + step // 2) // step)) | ((of == source[-1]) & (cells == (t[-1] + step // 2) // step))
         for kind, keep in (("cell", ~part), ("part", part)):
             f = g[keep]
-            yield _frame(kind, len(f), **{c: f[c].to_numpy() for c in f})
+            if len(f):
+                yield _frame(kind, len(f), **{c: f[c].to_numpy() for c in f})
         ends = [0, n - 1]
         yield _frame("end", 2, source=source[ends], t=t[ends], id=ids[ends], x=x[ends], opens=[True, False])
 
@@ -85,7 +86,7 @@ def _joints(batches: Iterable[pd.DataFrame], step: int, silence: int | None, gau
         yield s.assign(n=0, x=0.0)[["source", "cell", "amount", "covered", "n", "x", "out"]]
 
 
-def regular_series(readings: DataFrame, step_s: int = 900, silence_s: int | None = 5 * 86400, kind: str = "gauge") -> DataFrame:
+def regular_series(readings: DataFrame, step_s: int = 900, silence_s: int | None = 5 * 86400, kind: str = "gauge", block_rows: int = 200_000) -> DataFrame:
     """A regular series for each source: source, slot_epoch_s, value, n_readings, mean_reading, covered_s, status.
 
     ``readings``: source, id, t (microseconds), x. Rows with a null among them are left out;
@@ -103,7 +104,7 @@ def regular_series(readings: DataFrame, step_s: int = 900, silence_s: int | None
         raise ValueError("the step must have an even number of microseconds")
     how = {"step": step, "silence": silence, "gauge": kind == "gauge"}
     flow = ordered(readings.dropna(subset=["source", "id", "t", "x"]).select("source", "t", "id", "x"), "source", "t", "id")
-    table = stage(flow.mapInPandas(partial(_walk, **how), _SCHEMA), "cells", ["kind"])
+    table = stage(flow.mapInPandas(partial(_walk, **how, size=block_rows), _SCHEMA), "cells", ["kind"])
     of = lambda k: table.filter(F.col("kind") == k)
     w = Window.partitionBy("source").orderBy("t", "id", F.col("opens").desc())
     ends = of("end").select("source", "t", "id", "x", "opens")

@@ -12,6 +12,8 @@ from ..flags import DOUBTFUL
 from ..frame import QC
 from ..operators.grid import climatologicalMean, trueDailyMean
 
+#: Added before rounding, so that means of decimal fractions do not fall just between two results.
+_EPS = 3.1e-7
 _H, _D = 3_600_000_000, 86_400_000_000
 
 
@@ -43,7 +45,7 @@ def _flags(qc: QC, name: str = "x") -> DataFrame:
 
 
 def _values(qc: QC, name: str = "x", digits: int = 5) -> DataFrame:
-    return qc.fields[name].df.select(*qc.keys, "t", F.round("value", digits).alias("value"))
+    return qc.fields[name].df.select(*qc.keys, "t", F.round(F.col("value") + _EPS, digits).alias("value"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,7 +63,7 @@ def _put(name: str, query: Callable, sql: str | None = None, flag: str | None =
     if flag:
         sql = f"{head} SELECT event_type, t, CASE WHEN {flag} THEN 255.0 ELSE -1.0 END AS flag FROM {src} {w}"
     elif value:
-        sql = f"{head} SELECT event_type, t, round({value}, 5) AS value FROM {src} {w}"
+        sql = f"{head} SELECT event_type, t, round({value} + {_EPS}, 5) AS value FROM {src} {w}"
     if sql:
         SQL[name] = sql
 
@@ -111,10 +113,10 @@ def _roll(func: str, **kw) -> Callable:
 
 
 _TIME = f"WINDOW w AS {_O} RANGE BETWEEN {6 * _H - 1} PRECEDING AND CURRENT ROW)"
-for _f, _q in {"mean": "avg(v)", "sum": "sum(v)", "min": "min(v)", "max": "max(v)", "count": "count(v)::DOUBLE", "median": "median(v)", "std": "stddev_samp(v)", "var": "var_samp(v)"}.items():
-    _put(f"rolling_{_f}", _roll(_f, window="6h", center=False), f"WITH {_E} SELECT event_type, t, round({_q} OVER w, 4) AS value FROM e {_TIME}")
-_put("rolling_centered", _roll("mean", window="6h", center=True), f"WITH {_E} SELECT event_type, t, round(avg(v) OVER w, 4) AS value FROM e WINDOW w AS {_O} RANGE BETWEEN {3 * _H - 1} PRECEDING AND {3 * _H} FOLLOWING)")
-_put("rolling_rows", _roll("mean", window=9, center=True, min_periods=5), f"WITH {_E} SELECT event_type, t, round(CASE WHEN count(v) OVER w >= 5 THEN avg(v) OVER w END, 4) AS value FROM e WINDOW w AS {_O} ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)")
+for _f, _q in {"mean": "avg(v)", "sum": "sum(v)", "min": "min(v)", "max": "max(v)", "count": "1.0 * count(v)", "median": "median(v)", "std": "stddev_samp(v)", "var": "var_samp(v)"}.items():
+    _put(f"rolling_{_f}", _roll(_f, window="6h", center=False), f"WITH {_E} SELECT event_type, t, round({_q} OVER w + {_EPS}, 4) AS value FROM e {_TIME}")
+_put("rolling_centered", _roll("mean", window="6h", center=True), f"WITH {_E} SELECT event_type, t, round(avg(v) OVER w + {_EPS}, 4) AS value FROM e WINDOW w AS {_O} RANGE BETWEEN {3 * _H - 1} PRECEDING AND {3 * _H} FOLLOWING)")
+_put("rolling_rows", _roll("mean", window=9, center=True, min_periods=5), f"WITH {_E} SELECT event_type, t, round(CASE WHEN count(v) OVER w >= 5 THEN avg(v) OVER w END + {_EPS}, 4) AS value FROM e WINDOW w AS {_O} ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)")
 _put("rolling_residuals", lambda s, d: _values(_qc(s, d).calculateRollingResiduals("x", window="6h", func="mean", center=False)), value="v - avg(v) OVER w", w=_TIME)
 _put("interpolate_by_rolling", lambda s, d: _values(_qc(s, d).interpolateByRolling("x", window="6h", func="median", center=False)), value="coalesce(v, median(v) OVER w)", w=_TIME)
 _put("zscore_global", lambda s, d: _flags(_qc(s, d).flagZScore("x", thresh=2.5)), flag="abs(v - avg(v) OVER w) > 2.5 * stddev_samp(v) OVER w", w="WINDOW w AS (PARTITION BY event_type)")
@@ -143,7 +145,7 @@ _put("flag_raise", lambda s, d: _flags(_qc(s, d).flagRaise("x", thresh=150, rais
 
 def _grid(f: int, label: str, agg: str, out: str = "value") -> str:
     return f"""WITH {_E}, a AS (SELECT event_type, {label} AS t, {agg} AS value FROM e GROUP BY 1, 2), b AS (SELECT event_type, floor(min(t) / {f})::BIGINT AS p, ceil(max(t) / {f})::BIGINT AS q FROM e GROUP BY 1),
-g AS (SELECT event_type, unnest(range(p, q + 1)) * {f} AS t FROM b) SELECT g.event_type, g.t, round(a.value, 5) AS {out} FROM g LEFT JOIN a ON g.event_type = a.event_type AND g.t = a.t"""
+g AS (SELECT event_type, unnest(range(p, q + 1)) * {f} AS t FROM b) SELECT g.event_type, g.t, round(a.value + {_EPS}, 5) AS {out} FROM g LEFT JOIN a ON g.event_type = a.event_type AND g.t = a.t"""
 
 
 for _m, _l in {"bagg": f"floor(t / {_H})::BIGINT * {_H}", "fagg": f"ceil(t / {_H})::BIGINT * {_H}", "nagg": f"floor((t + {_H // 2}) / {_H})::BIGINT * {_H}"}.items():
@@ -151,17 +153,17 @@ for _m, _l in {"bagg": f"floor(t / {_H})::BIGINT * {_H}", "fagg": f"ceil(t / {_H
 for _f, _q in {"sum": "sum(v)", "median": "median(v)", "count": "count(v)::DOUBLE", "std": "stddev_samp(v)", "last": "arg_max(v, t)"}.items():
     _put(f"resample_{_f}", lambda s, d, f=_f: _values(_qc(s, d).resample("x", freq="6h", func=f)), _grid(6 * _H, f"floor(t / {6 * _H})::BIGINT * {6 * _H}", _q))
 _put("resample_maxna", lambda s, d: _values(_qc(s, d).resample("x", freq="6h", func="mean", maxna=1)), _grid(6 * _H, f"floor(t / {6 * _H})::BIGINT * {6 * _H}", "CASE WHEN count(*) - count(v) <= 1 THEN avg(v) END"))
-_put("resample_flags", lambda s, d: _flags(_qc(s, d).flagRange("x", max=200).resample("x", freq="6h")), _grid(6 * _H, f"floor(t / {6 * _H})::BIGINT * {6 * _H}", "max(CASE WHEN v > 200 THEN 255.0 END)", "f").replace("round(a.value, 5) AS f", "coalesce(a.value, -1.0) AS flag"))
+_put("resample_flags", lambda s, d: _flags(_qc(s, d).flagRange("x", max=200).resample("x", freq="6h")), _grid(6 * _H, f"floor(t / {6 * _H})::BIGINT * {6 * _H}", "max(CASE WHEN v > 200 THEN 255.0 END)", "f").replace(f"round(a.value + {_EPS}, 5) AS f", "coalesce(a.value, -1.0) AS flag"))
 for _m, _j, _c in (("fshift", "t", f"t > g.t - {_H}"), ("bshift", "-t", f"t < g.t + {_H}")):
     _side = "k.t <= g.t AND k.t > g.t - %d" % _H if _m == "fshift" else "k.t >= g.t AND k.t < g.t + %d" % _H
     _put(f"align_{_m}", lambda s, d, m=_m: _values(_qc(s, d).align("x", freq="1h", method=m)), f"""WITH {_E}, b AS (SELECT event_type, floor(min(t) / {_H})::BIGINT AS p, ceil(max(t) / {_H})::BIGINT AS q FROM e GROUP BY 1),
 g AS (SELECT event_type, unnest(range(p, q + 1)) * {_H} AS t FROM b), k AS (SELECT * FROM e WHERE v IS NOT NULL)
-SELECT g.event_type, g.t, round(arg_max(k.v, {_j.replace("t", "k.t")}), 5) AS value FROM g LEFT JOIN k ON g.event_type = k.event_type AND {_side} GROUP BY 1, 2""")
+SELECT g.event_type, g.t, round(arg_max(k.v, {_j.replace("t", "k.t")}) + {_EPS}, 5) AS value FROM g LEFT JOIN k ON g.event_type = k.event_type AND {_side} GROUP BY 1, 2""")
 _put("align_time", lambda s, d: _values(_qc(s, d).align("x", freq="1h", method="time"), digits=4), f"""WITH {_E}, b AS (SELECT event_type, floor(min(t) / {_H})::BIGINT AS p, ceil(max(t) / {_H})::BIGINT AS q FROM e GROUP BY 1),
 g AS (SELECT event_type, unnest(range(p, q + 1)) * {_H} AS t FROM b), k AS (SELECT * FROM e WHERE v IS NOT NULL),
 l AS (SELECT g.*, e.t AS ta FROM g ASOF LEFT JOIN e ON g.event_type = e.event_type AND g.t >= e.t), r AS (SELECT l.*, e.t AS tb FROM l ASOF LEFT JOIN e ON l.event_type = e.event_type AND l.t <= e.t),
 p AS (SELECT r.*, k.t AS qa, k.v AS va FROM r ASOF LEFT JOIN k ON r.event_type = k.event_type AND r.t >= k.t), q AS (SELECT p.*, k.t AS qb, k.v AS vb FROM p ASOF LEFT JOIN k ON p.event_type = k.event_type AND p.t <= k.t)
-SELECT event_type, t, round(CASE WHEN t - ta <= {_H} AND tb - t <= {_H} THEN CASE WHEN qb = qa THEN va ELSE va + (vb - va) * (t - qa) / (qb - qa) END END, 4) AS value FROM q""")
+SELECT event_type, t, round(CASE WHEN t - ta <= {_H} AND tb - t <= {_H} THEN CASE WHEN qb = qa THEN va ELSE va + (vb - va) * (t - qa) / (qb - qa) END END + {_EPS}, 4) AS value FROM q""")
 _put("concat_flags", lambda s, d: _flags(_qc(s, d).copyField("x", target="g").resample("g", freq="6h", func="max").flagRange("g", max=250).concatFlags("g", target="x")), None)
 _put("and_group", lambda s, d: _flags(_two(s, d).flagRange("x", max=50).flagRange("y", max=75).andGroup(["x", "y"], target="z"), "z"), flag="v > 50 AND y > 75")
 _put("or_group", lambda s, d: _flags(_two(s, d).flagRange("x", max=50).flagRange("y", max=75).orGroup(["x", "y"], target="z"), "z"), flag="v > 50 OR y > 75")
@@ -209,20 +211,20 @@ SELECT s.l_returnflag, t, CASE WHEN d > 3 AND n > 1 THEN 255.0 ELSE -1.0 END AS
 _put("drift_from_norm", lambda s, d: _flags(_days(s, d).flagDriftFromNorm(["a", "b", "c"], window="30D", spread=3.0), "c"), f"""WITH {_G}, {_SEG}, m AS (SELECT l_returnflag, seg, avg(abs(a - b)) AS ab, avg(abs(a - c)) AS ac, avg(abs(b - c)) AS bc, count(*) AS n FROM s GROUP BY 1, 2)
 SELECT s.l_returnflag, t, CASE WHEN n > 1 AND ab <= 3 AND ac > 3 AND bc > 3 THEN 255.0 ELSE -1.0 END AS flag FROM s JOIN m ON s.l_returnflag = m.l_returnflag AND s.seg = m.seg""")
 _put("climatological_mean", lambda s, d: _wmo(s, d, climatologicalMean), f"""WITH r AS (SELECT station_id, epoch_us(time_bucket(INTERVAL 10 MINUTE, ts)) AS t, avg(sm1) AS v FROM data_sm1 WHERE sm1 BETWEEN 0 AND 100 AND station_id IS NOT NULL GROUP BY 1, 2),
-w AS (SELECT *, t // {_D} AS day, CASE WHEN t // 60000000 % 1440 IN (390, 750) THEN 1 WHEN t // 60000000 % 1440 = 1230 THEN 2 END AS w FROM r) SELECT station_id, day, round(sum(v * w) / sum(w), 5) AS value FROM w WHERE w IS NOT NULL GROUP BY 1, 2 HAVING sum(w) >= 3""")
+w AS (SELECT *, t // {_D} AS day, CASE WHEN t // 60000000 % 1440 IN (390, 750) THEN 1 WHEN t // 60000000 % 1440 = 1230 THEN 2 END AS w FROM r) SELECT station_id, day, round(sum(v * w) / sum(w) + {_EPS}, 5) AS value FROM w WHERE w IS NOT NULL GROUP BY 1, 2 HAVING sum(w) >= 3""")
 
 
 def _wmo(spark: SparkSession, d: str, mean: Callable) -> DataFrame:
     sm = spark.read.parquet(f"{d}/data_sm1.parquet").filter("sm1 between 0 and 100 and station_id is not null")
     qc = QC.from_long(sm, "ts", "sm1", "sm1", keys=["station_id"]).resample("sm1", freq="10min")
-    return mean(qc.fields["sm1"].df.filter("value is not null"), ("station_id",)).select("station_id", "day", F.round("value", 5).alias("value"))
+    return mean(qc.fields["sm1"].df.filter("value is not null"), ("station_id",)).select("station_id", "day", F.round(F.col("value") + _EPS, 5).alias("value"))
 
 
 _put("true_daily_mean", lambda s, d: _wmo(s, d, trueDailyMean), f"""WITH r AS (SELECT station_id, epoch_us(time_bucket(INTERVAL 10 MINUTE, ts)) AS t, avg(sm1) AS v FROM data_sm1 WHERE sm1 BETWEEN 0 AND 100 AND station_id IS NOT NULL GROUP BY 1, 2),
 h AS (SELECT station_id, floor((t - 600000000) / {_H}.0)::BIGINT AS h, avg(v) AS v FROM r GROUP BY 1, 2), k AS (SELECT *, floor(h / 24.0)::BIGINT AS day FROM h),
 g AS (SELECT *, greatest(coalesce(h - lag(h) OVER w - 1, h - day * 24), CASE WHEN lead(h) OVER w IS NULL THEN day * 24 + 23 - h ELSE 0 END) AS gap FROM k WINDOW w AS (PARTITION BY station_id, day ORDER BY h))
-SELECT station_id, day, round(avg(v), 5) AS value FROM g GROUP BY 1, 2 HAVING max(gap) <= 2""")
-_put("jumps_statistic", lambda s, d: _jump_stat(s, d), f"""WITH {_E} SELECT event_type, t, round(CASE WHEN v IS NOT NULL AND count(v) OVER b >= 3 AND count(v) OVER f >= 3 THEN abs(avg(v) OVER b - avg(v) OVER f) END, 5) AS stat FROM e
+SELECT station_id, day, round(avg(v) + {_EPS}, 5) AS value FROM g GROUP BY 1, 2 HAVING max(gap) <= 2""")
+_put("jumps_statistic", lambda s, d: _jump_stat(s, d), f"""WITH {_E} SELECT event_type, t, round(CASE WHEN v IS NOT NULL AND count(v) OVER b >= 3 AND count(v) OVER f >= 3 THEN abs(avg(v) OVER b - avg(v) OVER f) END + {_EPS}, 5) AS stat FROM e
 WINDOW b AS {_O} RANGE BETWEEN {12 * _H - 1} PRECEDING AND CURRENT ROW), f AS {_O} RANGE BETWEEN 1 FOLLOWING AND {12 * _H} FOLLOWING)""")
 
 
@@ -231,7 +233,7 @@ def _jump_stat(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.changepoints import marked
 
     f = _qc(spark, d).fields["x"].df
-    return marked(Series(f, ("event_type",)), "mean", 50.0, "12h", 3).df.select("event_type", "t", F.round("stat", 5).alias("stat"))
+    return marked(Series(f, ("event_type",)), "mean", 50.0, "12h", 3).df.select("event_type", "t", F.round(F.col("stat") + _EPS, 5).alias("stat"))
 
 
 # algorithms that SQL cannot express, or not in time: compared with brute force in the tests
@@ -247,12 +249,12 @@ _put("flag_lof", lambda s, d: _flags(_days(s, d).flagLOF(["a", "b"], n=20, thres
 _put("assign_lof", lambda s, d: _values(_days(s, d).assignLOF(["a", "b"], target="s", n=20, freq="90D"), "s"))
 _put("knn_score", lambda s, d: _values(_days(s, d).assignKNNScore(["a", "b"], target="s", n=5, freq="30D"), "s", 4), f"""WITH {_G}, {_SEG}, p AS (SELECT x.l_returnflag, x.t, sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2) AS d,
 row_number() OVER (PARTITION BY x.l_returnflag, x.t ORDER BY sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2)) AS r FROM s x JOIN s y ON x.l_returnflag = y.l_returnflag AND x.seg = y.seg AND x.t <> y.t)
-SELECT g.l_returnflag, g.t, round(sum(d), 4) AS value FROM g LEFT JOIN p ON g.l_returnflag = p.l_returnflag AND g.t = p.t AND r <= 5 GROUP BY 1, 2""")
+SELECT g.l_returnflag, g.t, round(sum(d) + {_EPS}, 4) AS value FROM g LEFT JOIN p ON g.l_returnflag = p.l_returnflag AND g.t = p.t AND r <= 5 GROUP BY 1, 2""")
 _put("flag_mv_scores", lambda s, d: _flags(_days(s, d).flagMVScores(["a", "b"], n=5, window="90D"), "a"))
 _put("flag_plateau", lambda s, d: _flags(_days(s, d).flagPlateau("a", min_length="3D", max_length="10D", min_jump=3.0), "a"))
 _put("flag_pattern_dtw", lambda s, d: _flags(_days(s, d).flagPatternByDTW("a", reference=[(i * _D, v) for i, v in enumerate((25.0, 27.0, 24.0))], max_distance=0.4), "a"))
 _put("polynomial_residuals", lambda s, d: _values(_qc(s, d).calculatePolynomialResiduals("x", window="1D", order=2, min_periods=5), digits=3))
-_put("fit_polynomial", lambda s, d: _values(_qc(s, d).fitPolynomial("x", window="1D", order=1, min_periods=3), digits=3), f"""WITH {_E} SELECT event_type, t, round(CASE WHEN v IS NOT NULL AND count(v) OVER w >= 3 THEN regr_intercept(v, h) OVER w + regr_slope(v, h) OVER w * h END, 3) AS value
+_put("fit_polynomial", lambda s, d: _values(_qc(s, d).fitPolynomial("x", window="1D", order=1, min_periods=3), digits=3), f"""WITH {_E} SELECT event_type, t, round(CASE WHEN v IS NOT NULL AND count(v) OVER w >= 3 THEN regr_intercept(v, h) OVER w + regr_slope(v, h) OVER w * h END + {_EPS}, 3) AS value
 FROM (SELECT *, CASE WHEN v IS NOT NULL THEN (t - min(t) OVER (PARTITION BY event_type)) / 3.6e9 END AS h FROM e) WINDOW w AS {_O} RANGE BETWEEN {_D // 2} PRECEDING AND {_D // 2} FOLLOWING)""")
 _put("fit_lowpass", lambda s, d: _values(_days(s, d).fitLowpassFilter("a", cutoff=0.05), "a", 4))
 _put("correct_offset", lambda s, d: _values(_days(s, d).correctOffset("a", max_jump=5.0, spread=3.0, window="20D", min_periods=5), "a", 4))
