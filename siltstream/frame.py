@@ -67,10 +67,12 @@ class QC:
 
     ``QC.from_long(...)`` or ``QC.from_wide(...)`` make one; operators are methods
     (``qc.flagRange("x", min=0)``) and return a new object. ``keys`` name columns that divide a
-    field into independent series, which are also the unit of parallelism.
+    field into independent series, which are also the unit of parallelism; windows of bounded
+    reach are further divided into stretches of ``split`` (None: not).
     """
 
-    def __init__(self, fields: Mapping[str, Field] | None = None, keys: Iterable[str] = (), scheme: str | schemes.Scheme = "float"):
+    def __init__(self, fields: Mapping[str, Field] | None = None, keys: Iterable[str] = (), scheme: str | schemes.Scheme = "float", split: str | None = "90D"):
+        self.split = split
         self.fields, self.keys = dict(fields or {}), tuple(keys)
         self.scheme = schemes.of(scheme)
 
@@ -143,10 +145,10 @@ class QC:
         return self._new(fields)
 
     def _new(self, fields: Mapping[str, Field]) -> QC:
-        return QC(fields, self.keys, self.scheme)
+        return QC(fields, self.keys, self.scheme, self.split)
 
     def with_scheme(self, scheme: str | schemes.Scheme) -> QC:
-        return QC(self.fields, self.keys, scheme)
+        return QC(self.fields, self.keys, scheme, self.split)
 
     # ---- results
 
@@ -266,7 +268,14 @@ class Call:
 
     def univariate(self, name: str) -> QC:
         s = self.masked(name, self.op.mask)
-        out = self.op.func(s, *self.args, **self._known(name))
+        run = lambda x: self.op.func(x, *self.args, **self._known(name))
+        reach = self.op.reach(dict(zip(self.op.order, self.args)) | self.kwargs) if self.op.reach and self.qc.split else None
+        if reach is None:
+            return self.write(name, run(s))
+        from .plans.halo import bounded
+        from .timespan import micros
+
+        out = bounded(s, reach, micros(self.qc.split), run)
         return self.write(name, out)
 
     def _known(self, name: str) -> dict:

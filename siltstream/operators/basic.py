@@ -234,7 +234,7 @@ def transferFlags(call: Call, fields: list[str], targets: list[str], squeeze: bo
     return qc
 
 
-@flagging()
+@flagging(reach=lambda kw: micros(kw["window"]) if isinstance(kw.get("window"), str) else None)
 def propagateFlags(s: Series, window: str | int = 1, method: str = "ffill", call: Call | None = None) -> Series:
     """Carry the flags of the last test forward (or back) over a window of time or rows."""
     if method not in ("ffill", "bfill"):

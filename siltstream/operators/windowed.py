@@ -11,10 +11,21 @@ from pyspark.sql import functions as F
 from ..flags import UNFLAGGED
 from ..frame import QC, Call, Field, Series
 from ..functions.rolling import frame, over, rolling as stat
+from ..plans.halo import bounded
 from ..registry import flagging, register
 from ..timespan import micros
 
 
+def _reach(times: int = 1, default: str | None = "1D", key: str = "window"):
+    """How far a row's result depends on others: a multiple of the window; no bound for windows in rows or over the whole series."""
+
+    def reach(kw: dict) -> int | None:
+        w = kw.get(key, default)
+        return None if w is None or isinstance(w, int) else times * micros(w)
+
+    return reach
+
+
 def _full(s: Series, window: str | int) -> Column:
     """Rows whose backward window lies inside the series."""
     if isinstance(window, int):
@@ -47,9 +58,8 @@ def rolling_(call: Call, fields: list[str], targets: list[str], window: str | in
         df = s.df.select(*on, value.cast("double").alias("value"), F.lit(None).cast("double").alias("flag"), F.array(F.lit(None).cast("double")).alias("hist"))
         return qc._new({**qc.fields, targets[0]: Field(df, (call.meta(),))})
     for f, t in zip(fields, targets, strict=True):
-        s = call.masked(f)
-        w = frame(s, window, center)
-        out = s.with_(out=stat(s, F.col("value"), window, func, min_periods, center), newflag=F.max("flag").over(w))
+        run = lambda s: s.with_(out=stat(s, F.col("value"), window, func, min_periods, center), newflag=F.max("flag").over(frame(s, window, center)))
+        out = run(call.masked(f)) if isinstance(window, int) or not qc.split else bounded(call.masked(f), micros(window), micros(qc.split), run)
         qc = Call(**{**call.__dict__, "qc": qc._new({**qc.fields, t: qc.fields[f]})}).write(t, out)
     return qc
 
@@ -89,7 +99,7 @@ def with_null_run(s: Series, c: Column, name: str = "run") -> Series:
     return s.with_(**{name: F.col("__i") - F.coalesce(F.last(F.when(c.isNotNull(), F.col("__i")), True).over(upto), F.lit(0))})
 
 
-@flagging()
+@flagging(reach=_reach(2))
 def flagByScatterLowpass(s: Series, window: str | int = "1D", thresh: float = 0.0, func: str | Callable = "std", sub_window: str | None = None, sub_thresh: float | None = None, min_periods: int | None = None) -> Series:
     """Windows whose statistic is above ``thresh`` - and, with a sub window, all of whose parts' statistics are above ``sub_thresh``."""
     over_ = stat(s, F.col("value"), window, func, min_periods) > thresh
@@ -118,16 +128,20 @@ def flagZScore(call: Call, fields: list[str], targets: list[str], method: str =
     if axis == 1:
         return _cross(call, targets, method, window, thresh, min_residuals, center)
     for t in targets:
+        def run(s: Series) -> Series:
+            s, mid, dev = _zscore(s, F.col("value"), method, window, center, min_periods)
+            s = s.with_(mid=mid, dev=dev)
+            rest = F.abs(F.col("value") - F.col("mid"))
+            hit = rest > thresh * F.col("dev")
+            if min_residuals:
+                hit = hit & (rest >= min_residuals)
+            if min_periods:
+                hit = hit & (F.count(F.col("value")).over(s.whole if window is None else frame(s, window, center)) >= min_periods)
+            return s.with_(hit=hit)
+
         s = Call(**{**call.__dict__, "qc": qc}).masked(t)
-        s, mid, dev = _zscore(s, F.col("value"), method, window, center, min_periods)
-        s = s.with_(mid=mid, dev=dev)
-        rest = F.abs(F.col("value") - F.col("mid"))
-        hit = rest > thresh * F.col("dev")
-        if min_residuals:
-            hit = hit & (rest >= min_residuals)
-        if min_periods:
-            hit = hit & (F.count(F.col("value")).over(s.whole if window is None else frame(s, window, center)) >= min_periods)
-        qc = Call(**{**call.__dict__, "qc": qc}).write(t, s.with_(hit=hit))
+        s = run(s) if window is None or isinstance(window, int) or not qc.split else bounded(s, 2 * micros(window), micros(qc.split), run)
+        qc = Call(**{**call.__dict__, "qc": qc}).write(t, s)
     return qc
 
 
@@ -160,7 +174,7 @@ def _cross(call: Call, fields: list[str], method: str, window: str | int | None,
     return qc
 
 
-@flagging()
+@flagging(reach=_reach(2, None))
 def flagMAD(s: Series, window: str | int | None = None, z: float = 3.5, min_residuals: float | None = None, min_periods: int | None = None, center: bool = False) -> Series:
     s, mid, dev = _zscore(s, F.col("value"), "modified", window, center, min_periods)
     s = s.with_(mid=mid, dev=dev)
@@ -168,7 +182,7 @@ def flagMAD(s: Series, window: str | int | None = None, z: float = 3.5, min_resi
     return s.with_(hit=(rest > z * F.col("dev")) & (rest >= (min_residuals or 0.0)))
 
 
-@register()
+@register(reach=_reach(1, None))
 def assignZScore(s: Series, window: str | int | None = None, norm_func: str | Callable = "std", model_func: str | Callable = "mean", center: bool = True, min_periods: int | None = None) -> Series:
     """Values as (x - model) / norm; over the whole series the deviation is the population's."""
     if window is None:
@@ -179,7 +193,7 @@ def assignZScore(s: Series, window: str | int | None = None, norm_func: str | Ca
     return s.with_(norm=norm, mid=mid).with_(out=F.try_divide(F.col("value") - F.col("mid"), F.col("norm")))
 
 
-@register(demask=True)
+@register(demask=True, reach=_reach())
 def interpolateByRolling(s: Series, window: str | int = "1D", func: str | Callable = "median", center: bool = True, min_periods: int = 0, flag: float = UNFLAGGED) -> Series:
     """Fill missing values by a rolling statistic; filled rows get ``flag``."""
     s = s.with_(fill=stat(s, F.col("value"), window, func, min_periods, center))
@@ -187,7 +201,7 @@ def interpolateByRolling(s: Series, window: str | int = "1D", func: str | Callab
     return s.with_(out=F.coalesce(F.col("value"), "fill"), newflag=F.when(filled, F.lit(flag)))
 
 
-@register()
+@register(reach=_reach())
 def calculateRollingResiduals(s: Series, window: str | int = "1D", func: str | Callable = "mean", min_periods: int = 0, center: bool = True) -> Series:
     return s.with_(mid=stat(s, F.col("value"), window, func, min_periods, center)).with_(out=F.col("value") - F.col("mid"))
 

@@ -278,3 +278,17 @@ def test_streaming(spark, tmp_path):
         q.awaitTermination(60)
     assert spark.sql("select count(*) from s1 where flag = 255").first()[0] == 2
     assert [r["n"] for r in spark.sql("select n from s2").collect()] == [3]
+
+
+@pytest.mark.parametrize("call", [
+    lambda q: q.rolling("x", window="2h", func="median", center=True), lambda q: q.flagZScore("x", window="3h", thresh=1.2, method="modified"), lambda q: q.flagMAD("x", window="2h", z=2),
+    lambda q: q.flagByScatterLowpass("x", window="2h", thresh=1.0), lambda q: q.flagRange("x", max=1).propagateFlags("x", window="90min"), lambda q: q.calculateRollingResiduals("x", window="2h"),
+    lambda q: q.interpolateByRolling("x", window="1h"), lambda q: q.assignZScore("x", window="4h"),
+])
+def test_long_series_are_cut_without_a_difference(series, read, call):
+    rng = np.random.default_rng(6)
+    qc = series([None if rng.random() < 0.1 else float(v) for v in rng.normal(size=300)], 300)
+    got = [call(QC(qc.fields, qc.keys, split=s)) for s in (None, "13h")]
+    for col in ("value", "flag"):
+        a, b = ([np.nan if v is None else v for v in read(q, col=col)] for q in got)
+        assert np.allclose(a, b, equal_nan=True)
