@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from ..functions.rolling import frame, over, rolling as stat
 from ..plans.halo import bounded
 from ..registry import flagging, register
 from ..timespan import micros
+from .vector import apply
 
 
 def _reach(times: int = 1, default: str | None = "1D", key: str = "window"):
@@ -110,12 +114,42 @@ def flagByScatterLowpass(s: Series, window: str | int = "1D", thresh: float = 0.
     return _cover(s, over_, window)
 
 
+def _medians(pdf: pd.DataFrame, low: int, high: int) -> dict:
+    """Rolling median, and rolling median of the distances from it: a sorted window, as a percentile frame would count each window anew."""
+    t = pdf["t"].to_numpy().tolist()
+
+    def median(values: np.ndarray) -> np.ndarray:
+        v, out, window, a, b = values.tolist(), np.full(len(values), np.nan), [], 0, 0
+        for i, now in enumerate(t):
+            while b < len(t) and t[b] <= now + high:
+                if v[b] == v[b]:
+                    insort(window, v[b])
+                b += 1
+            while t[a] < now + low:
+                if v[a] == v[a]:
+                    del window[bisect_left(window, v[a])]
+                a += 1
+            if k := len(window):
+                out[i] = (window[(k - 1) // 2] + window[k // 2]) / 2
+        return out
+
+    x = pdf["value"].to_numpy(float)
+    middle = median(x)
+    return {"middle": middle, "dev_": median(np.abs(x - middle))}
+
+
 def _zscore(s: Series, c: Column, method: str, window: str | int | None, center: bool, min_periods: int | None) -> tuple[Series, Column, Column]:
     w = s.whole if window is None else frame(s, window, center)
     if method == "standard":
         return s, F.avg(c).over(w), (F.stddev_samp(c).over(w))
     if method != "modified":
         raise ValueError("method is standard or modified")
+    if isinstance(window, str):
+        m = micros(window)
+        low, high = (-(m // 2 - 1), m // 2) if center else (-(m - 1), 0)
+        s = apply(s, partial(_medians, low=low, high=high), {"middle": "double", "dev_": "double"})
+        clean = {k: F.nanvl(k, F.lit(None).cast("double")) for k in ("middle", "dev_")}
+        return s.with_(**clean), F.col("middle"), F.col("dev_")
     s = s.with_(middle=F.percentile(c, F.lit(0.5)).over(w))
     s = s.with_(away=F.abs(c - F.col("middle")))
     return s, F.col("middle"), F.percentile("away", F.lit(0.5)).over(w)
