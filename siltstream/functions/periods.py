@@ -14,9 +14,8 @@ def in_period(ts: Column, start: str, end: str, closed: bool = True) -> Column:
     form = _FORMS.get(len(start or end))
     if form is None or (start and end and len(start) != len(end)):
         raise ValueError("start and end are stamps of one form, such as HH:MM:SS")
-    low = "0" * 0 if start == "" else start
     at = F.date_format(ts, form)
-    a = at >= low if closed else at > low
+    a = at >= start if closed else at > start
     if not end:
         return a
     b = at <= end if closed else at < end

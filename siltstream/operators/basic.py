@@ -201,10 +201,7 @@ def flagManual(s: Series, mdata: DataFrame | None = None, method: str = "left-op
     low = -(2**62)
     before = F.last("m", True).over(w(low, 0))
     strictly = F.last("m", True).over(w(low, -1))
-    after = F.first("m", True).over(w(0, 2**62))
-    ends = F.last("t", True).over(w(low, 0))
     hit = {"right-open": before, "left-open": strictly, "closed": F.coalesce(before, F.lit(False)) | F.coalesce(strictly, F.lit(False))}[method]
-    _ = after, ends
     return Series(u.df.withColumn("hit", hit).filter("own = 1").drop("own", "m"), s.keys)
 
 
