@@ -8,27 +8,33 @@ share of its occurrences that stand in trusted patterns; parts learnt in one tur
 in the next. A last pass over the texts takes what stands in trusted patterns, be it known or
 not, so that names missing from the directory and numbers without a cue are found.
 
-Scale. Texts are read twice and never shuffled: the first pass returns counts of (pattern,
-instance), combined in each task before they are grouped; the turns work on those counts; the
-second pass carries the model. The model keeps patterns and parts seen in at least
-one of ``support_share`` of all candidates (and in three instances), which bounds it: with three
-patterns a candidate at most ``3 * support_share`` patterns, whatever the corpus.
+Scale. The first pass returns counts of (pattern, instance), combined in each task before they
+are grouped; the turns work on those counts. The scores stay a table, of any size: the texts are
+cut into blocks of bounded length, each block asks for the keys that its candidates need, the
+answers are joined from the table and meet the block in one task. No support rises with the corpus.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
-from functools import partial
+from dataclasses import dataclass, fields
+from functools import partial, reduce
+from typing import TYPE_CHECKING
 
+import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import stage
 
+if TYPE_CHECKING:
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 # ---- shapes: fixed values, the public formats of each kind -------------------------------
@@ -170,7 +176,7 @@ def _count(batches: Iterable[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]
 
 @dataclass(frozen=True)
 class Model:
-    """What the second pass knows: patterns with their trust, name parts, pairs of words that only stand together, the same for identity numbers and their shapes, towns of two words."""
+    """What the last pass knows of the keys of a block: patterns with their trust, name parts, pairs of words that only stand together, the same for identity numbers and their shapes, towns of two words."""
 
     names: dict[str, float]
     given: frozenset[str]
@@ -181,7 +187,28 @@ class Model:
     towns: frozenset[str]
 
 
-def learn(documents: DataFrame, directory: DataFrame, text: str = "text", turns: int = 3, support_share: int = 100_000) -> Model:
+#: Least occurrences of a pattern, a shape and a fixed phrase, whatever the size of the corpus.
+LEAST, LEAST_FIXED = 3, 5
+#: Places of the filters of name parts.
+_PLACES = 1 << 20
+
+
+@dataclass(frozen=True)
+class Scores:
+    """What a corpus teaches. ``table``: section (a field of ``Model``), key, trust. ``given``, ``family``: filters of fixed size that no known part fails; they only spare questions, the table decides."""
+
+    table: DataFrame
+    given: bytes
+    family: bytes
+
+
+def _filter(parts: DataFrame) -> bytes:
+    places = np.zeros(_PLACES, dtype=np.uint8)
+    places[parts.select((F.crc32(F.col("part").cast("binary")) % _PLACES).alias("place")).distinct().toPandas()["place"].to_numpy(dtype=np.int64)] = 1
+    return places.tobytes()
+
+
+def learn(documents: DataFrame, directory: DataFrame, text: str = "text", turns: int = 3) -> Scores:
     """Score patterns and instances of a corpus. ``directory``: name_part, part_kind (given or family); it may be partial and wrong in places."""
     edges = stage(
         documents.select(text).mapInPandas(partial(_count, text=text), "kind string, pattern string, a string, b string, n long")
@@ -189,8 +216,6 @@ def learn(documents: DataFrame, directory: DataFrame, text: str = "text", turns:
         "edges", ["kind"],
     )
     names = edges.filter("kind = 'name'")
-    total = names.agg(F.sum("n")).first()[0] or 0
-    least = max(3, total // (3 * support_share))
     seeds = directory.select(F.lower("name_part").alias("part"), "part_kind").dropna().distinct()
     given, family = (seeds.filter(F.col("part_kind") == k).select("part").withColumn("known", F.lit(1)) for k in ("given", "family"))
     trusted = None
@@ -206,7 +231,7 @@ def learn(documents: DataFrame, directory: DataFrame, text: str = "text", turns:
             F.count_distinct(F.when(F.col("kg").isNotNull() & F.col("kf").isNotNull(), F.concat("a", F.lit(" "), "b"))).alias("whole"))
         # often, and nearly always the same: a fixed phrase, not a slot for names
         trust = F.when((F.col("top") >= 0.9 * F.col("n")) & (F.col("n") >= 10), 0.0).otherwise(F.greatest(F.col("good") / F.col("instances"), F.lit(0.001)))
-        trusted = stage(trusted.withColumn("trust", trust).filter(F.col("n") >= least), "patterns")
+        trusted = stage(trusted.withColumn("trust", trust).filter(F.col("n") >= LEAST), "patterns")
         if turn == turns - 1:
             break
         strong = trusted.filter("trust >= 0.5 and instances >= 5 and whole >= 1").select("pattern", F.lit(1).alias("strong"))
@@ -217,28 +242,25 @@ def learn(documents: DataFrame, directory: DataFrame, text: str = "text", turns:
             new = new.filter((F.col("s") >= 0.4 * F.col("n")) & (F.col("s") >= 2)).select("part", F.lit(1).alias("known"))
             learnt.append(stage(base.union(new).dropDuplicates(["part"]), "parts"))
         given, family = learnt
-    pats = trusted.filter("instances >= 3 or trust = 0").select("pattern", "trust").toPandas()
     counted = names.filter("pattern like 'L %'")
-    parts = []
-    for part, base in ((F.substring_index("a", "-", 1), given), (F.col("b"), family)):
-        support = counted.groupBy(part.alias("part")).agg(F.sum("n").alias("n")).filter(F.col("n") >= least // 3)
-        parts.append(frozenset(r["part"] for r in base.join(support, "part", "left_semi").select("part").toPandas().to_dict("records")))
     # two words that hardly ever stand without each other are a phrase: parts of names meet many others
     own, by_a, by_b = counted.groupBy("a", "b").agg(F.sum("n").alias("n")), Window.partitionBy("a"), Window.partitionBy("b")
     own = own.filter("a <> ''").withColumn("na", F.sum("n").over(by_a)).withColumn("nb", F.sum("n").over(by_b))
-    fixed = own.filter((F.col("n") >= max(5, least)) & (F.col("n") >= 0.9 * F.col("na")) & (F.col("n") >= 0.9 * F.col("nb"))).select("a", "b").toPandas()
+    fixed = own.filter((F.col("n") >= LEAST_FIXED) & (F.col("n") >= 0.9 * F.col("na")) & (F.col("n") >= 0.9 * F.col("nb"))).select(F.concat("a", F.lit(" "), "b"), F.lit(1.0))
     ids = edges.filter("kind = 'id'")
-    floor = max(3, (ids.agg(F.sum("n")).first()[0] or 0) // (3 * support_share))
     by = ids.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("b") == "1", F.col("n")).otherwise(0)).alias("cued"), F.countDistinct("a").alias("shapes"))
-    by = stage(by.filter(F.col("n") >= floor).withColumn("trust", F.col("cued") / F.col("n")), "idpatterns")
-    idp = by.select("pattern", "trust").toPandas()
+    by = stage(by.filter(F.col("n") >= LEAST).withColumn("trust", F.col("cued") / F.col("n")), "idpatterns")
     # a shape that hardly ever stands outside trusted patterns needs no pattern
     near = ids.filter("pattern like 'L %' or pattern like 'R %'").join(by.filter("trust >= 0.5 and cued >= 3").select("pattern", F.lit(1).alias("strong")), "pattern", "left")
-    shapes = near.groupBy("a").agg(F.sum("n").alias("n"), F.sum(F.when((F.col("strong") == 1) | (F.col("b") == "1"), F.col("n")).otherwise(0)).alias("s")).filter(F.col("n") >= floor)
-    shp = shapes.select("a", (F.col("s") / F.col("n")).alias("trust")).toPandas()
+    shapes = near.groupBy("a").agg(F.sum("n").alias("n"), F.sum(F.when((F.col("strong") == 1) | (F.col("b") == "1"), F.col("n")).otherwise(0)).alias("s")).filter(F.col("n") >= LEAST)
     towns = edges.filter("kind = 'town'").groupBy("pattern", "a").agg(F.sum("n").alias("n")).groupBy("pattern").agg(F.sum("n").alias("all"), F.max_by("a", F.when(F.col("a") != "", F.col("n"))).alias("second"), F.max(F.when(F.col("a") != "", F.col("n"))).alias("top"))
-    two = towns.filter("second is not null and top >= 2 and top >= 0.5 * all").select("pattern", "second").limit(support_share).toPandas()
-    return Model(dict(zip(pats["pattern"], pats["trust"], strict=True)), parts[0], parts[1], frozenset(f"{a} {b}" for a, b in zip(fixed["a"], fixed["b"], strict=True)), dict(zip(idp["pattern"], idp["trust"], strict=True)), dict(zip(shp["a"], shp["trust"], strict=True)), frozenset(f"{a} {b}" for a, b in zip(two["pattern"], two["second"], strict=True)))
+    two = towns.filter("second is not null and top >= 2 and top >= 0.5 * all").select(F.concat("pattern", F.lit(" "), "second"), F.lit(1.0)).limit(100_000)
+    sections = {
+        "names": trusted.filter("instances >= 3 or trust = 0").select("pattern", "trust"), "given": given.select("part", F.lit(1.0)), "family": family.select("part", F.lit(1.0)),
+        "fixed": fixed, "ids": by.select("pattern", "trust"), "shapes": shapes.select("a", F.col("s") / F.col("n")), "towns": two,
+    }
+    table = stage(reduce(DataFrame.union, (df.toDF("key", "trust").select(F.lit(k).alias("section"), "key", "trust") for k, df in sections.items())), "scores")
+    return Scores(table, _filter(given), _filter(family))
 
 
 def _address_end(text: str, end: int, towns: frozenset[str]) -> int:
@@ -293,8 +315,9 @@ def find(text: str | None, model: Model) -> list[tuple[int, int, str]]:
     for small in (False, True):
         for s, e, g, f in _name_spans(text, small):
             kg, kf = g.partition("-")[0] in model.given if g else False, f in model.family
-            if small and not (kg or kf):
+            if small and not (kg or (not g and kf)):
                 continue
+            phrase = f"{g} {f}" in model.fixed
             trust = [model.names.get(p) for p in _patterns(text, s, e)]
             known = [x for x in trust if x is not None]
             best = max(known, default=-1.0)
@@ -303,7 +326,7 @@ def find(text: str | None, model: Model) -> list[tuple[int, int, str]]:
             slot, both = best >= 0.5, (kg or not g) and kf
             if slot and not kg and not kf and best < 0.75 and sum(x >= 0.3 for x in known) < 2:
                 continue  # one pattern alone must be a sure one to bring in an unknown name
-            if not (kg and kf) and f"{g} {f}" in model.fixed:
+            if not (kg and kf) and phrase:
                 continue
             if small or "\n" in text[s:e]:
                 good = slot and (kg or both) and (small or both)
@@ -316,38 +339,87 @@ def find(text: str | None, model: Model) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-def _found(batches: Iterable[pd.DataFrame], id_: str, text: str, model: Model) -> Iterator[pd.DataFrame]:
+class _Asked(dict):
+    """A section of the model that notes the keys it is asked for. It knows none; ``likely`` tells whether a key may be known."""
+
+    def __init__(self, likely: bytes | None = None) -> None:
+        super().__init__()
+        self.keys_, self.likely = set(), likely
+
+    def get(self, key: str, default: float | None = None) -> float | None:
+        self.keys_.add(key)
+        return default
+
+    def __contains__(self, key: str) -> bool:
+        self.keys_.add(key)
+        return self.likely is not None and self.likely[zlib.crc32(key.encode()) % _PLACES] == 1
+
+
+def _blocks(batches: Iterable[pd.DataFrame], text: str, chars: int) -> Iterator[pd.DataFrame]:
+    """Documents with the number of their block; a block ends with the document that reaches ``chars`` (a document counts as 100 at least)."""
+    size, first = 0, TaskContext.get().partitionId() << 32
     for pdf in batches:
-        rows = [(i, kind, t[s:e]) for i, t in zip(pdf[id_], pdf[text], strict=True) for s, e, kind in find(t, model)]
-        if rows:
-            yield pd.DataFrame(rows, columns=[id_, "pii_kind", "pii_text"]).drop_duplicates()
+        sizes = pdf[text].map(lambda t: max(100, len(t)) if t else 100).to_numpy(dtype=np.int64)
+        before = size + np.cumsum(sizes) - sizes
+        yield pdf.assign(block_=first + before // chars)
+        size += int(sizes.sum())
 
 
-def _masked(batches: Iterable[pd.DataFrame], text: str, model: Model) -> Iterator[pd.DataFrame]:
+def _questions(batches: Iterable[pd.DataFrame], text: str, given: bytes, family: bytes) -> Iterator[pd.DataFrame]:
+    """The keys that ``find`` needs in each block."""
     for pdf in batches:
-        new, n = [], []
-        for t in pdf[text]:
-            spans = find(t, model)
-            at, parts = 0, []
-            for s, e, kind in spans:
-                parts += [t[at:s], f"[{kind.upper()}]"]
-                at = e
-            new.append(t if not spans else "".join(parts) + t[at:])
-            n.append(len(spans))
-        yield pdf.assign(**{text: new, "n_replaced": n})
+        for block, texts in pdf.groupby("block_")[text]:
+            asked = Model(_Asked(), _Asked(given), _Asked(family), _Asked(), _Asked(), _Asked(), _Asked())
+            for t in texts:
+                find(t, asked)
+            rows = [(block, f.name, k) for f in fields(Model) for k in getattr(asked, f.name).keys_]
+            if rows:
+                yield pd.DataFrame(rows, columns=["block_", "section", "key"])
+
+
+def _model(answers: pd.DataFrame) -> Model:
+    of = {k: dict(zip(g["key"], g["trust"], strict=True)) for k, g in answers.groupby("section")}
+    return Model(**{f.name: of.get(f.name, {}) if f.name in ("names", "ids", "shapes") else frozenset(of.get(f.name, ())) for f in fields(Model)})
+
+
+def _answered(documents: DataFrame, scores: Scores, id_: str, text: str, chars: int) -> PandasCogroupedOps:
+    """Blocks of documents, each beside the scores of the keys it asks for."""
+    kind = dict(documents.dtypes)[id_]
+    blocks = stage(documents.select(id_, text).mapInPandas(partial(_blocks, text=text, chars=chars), f"`{id_}` {kind}, `{text}` string, block_ long"), "blocks")
+    asked = blocks.select("block_", text).mapInPandas(partial(_questions, text=text, given=scores.given, family=scores.family), "block_ long, section string, key string")
+    return blocks.groupBy("block_").cogroup(asked.join(scores.table, ["section", "key"]).groupBy("block_"))
+
+
+def _found(pdf: pd.DataFrame, answers: pd.DataFrame, id_: str, text: str) -> pd.DataFrame:
+    model = _model(answers)
+    rows = [(i, kind, t[s:e]) for i, t in zip(pdf[id_], pdf[text], strict=True) for s, e, kind in find(t, model)]
+    return pd.DataFrame(rows, columns=[id_, "pii_kind", "pii_text"]).drop_duplicates()
+
+
+def _masked(pdf: pd.DataFrame, answers: pd.DataFrame, id_: str, text: str) -> pd.DataFrame:
+    model, new, n = _model(answers), [], []
+    for t in pdf[text]:
+        spans = find(t, model)
+        at, parts = 0, []
+        for s, e, kind in spans:
+            parts += [t[at:s], f"[{kind.upper()}]"]
+            at = e
+        new.append(t if not spans else "".join(parts) + t[at:])
+        n.append(len(spans))
+    return pd.DataFrame({id_: pdf[id_], text: new, "n_replaced": n})
 
 
-def extract(documents: DataFrame, model: Model, id_: str = "doc_id", text: str = "text") -> DataFrame:
+def extract(documents: DataFrame, scores: Scores, id_: str = "doc_id", text: str = "text", block_chars: int = 1_000_000) -> DataFrame:
     """The distinct items of each document, as they stand in its text: id, pii_kind, pii_text.
 
     Null and empty texts have none; repeated documents repeat their items; other columns are not
-    read; an empty table gives an empty result.
+    read; an empty table gives an empty result. The size of the blocks does not change the result.
     """
     kind = dict(documents.dtypes)[id_]
-    return documents.select(id_, text).mapInPandas(partial(_found, id_=id_, text=text, model=model), f"`{id_}` {kind}, pii_kind string, pii_text string")
+    return _answered(documents.filter(F.col(text) != ""), scores, id_, text, block_chars).applyInPandas(partial(_found, id_=id_, text=text), f"`{id_}` {kind}, pii_kind string, pii_text string")
 
 
-def redact(documents: DataFrame, model: Model, id_: str = "doc_id", text: str = "text") -> DataFrame:
+def redact(documents: DataFrame, scores: Scores, id_: str = "doc_id", text: str = "text", block_chars: int = 1_000_000) -> DataFrame:
     """Every document with its items replaced by ``[EMAIL]``, ``[PHONE]``, ``[ID_NUMBER]``, ``[ADDRESS]`` or ``[NAME]``: id, text, n_replaced. A null text stays null."""
     kind = dict(documents.dtypes)[id_]
-    return documents.select(id_, text).mapInPandas(partial(_masked, text=text, model=model), f"`{id_}` {kind}, `{text}` string, n_replaced int")
+    return _answered(documents, scores, id_, text, block_chars).applyInPandas(partial(_masked, id_=id_, text=text), f"`{id_}` {kind}, `{text}` string, n_replaced int")

@@ -68,19 +68,19 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(_sized_sources(spark, d), _table(spark, d, "mix_targets"))
 
 
-def _model(spark: SparkSession, d: str) -> tuple[DataFrame, pii.Model]:
+def _scores(spark: SparkSession, d: str) -> tuple[DataFrame, pii.Scores]:
     docs = _table(spark, d, "documents")
     return docs, pii.learn(docs, _table(spark, d, "directory_names"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    docs, model = _model(spark, d)
-    return pii.extract(docs, model)
+    docs, scores = _scores(spark, d)
+    return pii.extract(docs, scores)
 
 
 def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
-    docs, model = _model(spark, d)
-    return pii.redact(docs, model)
+    docs, scores = _scores(spark, d)
+    return pii.redact(docs, scores)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -176,6 +176,15 @@ def test_personal_information(spark):
     assert pii.extract(df.limit(0), pii.learn(df.limit(0), directory)).collect() == []
 
 
+def test_a_rare_name_is_found_in_a_large_corpus(spark):
+    docs = [(i, "Alpha Beta " * 50_000) for i in range(7)] + [(7, "we met Ada Quill there."), (8, "ada quill, as we heard")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    scores = pii.learn(df, spark.createDataFrame([("Ada", "given"), ("Quill", "family"), ("Never", "given")], "name_part string, part_kind string"))
+    assert {r["key"] for r in scores.table.filter("section = 'given'").collect()} == {"ada", "never"}
+    assert [tuple(r) for r in pii.extract(df, scores).collect()] == [(7, "name", "Ada Quill")]
+    assert [tuple(r) for r in pii.extract(df.filter("doc_id >= 7"), scores, block_chars=1).collect()] == [(7, "name", "Ada Quill")]
+
+
 @pytest.mark.parametrize(("text", "kind", "item"), [
     ("mail a.b+c (at) x-y.example now", "email", "a.b+c (at) x-y.example"), ("to a_b7[at]mx[dot]host[dot]example.", "email", "a_b7[at]mx[dot]host[dot]example"),
     ("ring (030) 23125/849, evenings", "phone", "(030) 23125/849"), ("ring 933-555-0194 ext. 92 if", "phone", "933-555-0194 ext. 92"), ("(01632 960144) was", "phone", "01632 960144"),
