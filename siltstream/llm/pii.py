@@ -20,7 +20,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 from functools import partial, reduce
 from typing import TYPE_CHECKING
 
@@ -176,7 +176,7 @@ def _count(batches: Iterable[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]
 
 @dataclass(frozen=True)
 class Model:
-    """What the last pass knows of the keys of a block: patterns with their trust, name parts, pairs of words that only stand together, the same for identity numbers and their shapes, towns of two words."""
+    """What the last pass knows of the keys of a block: patterns with their trust, name parts, pairs of words that only stand together, the same for identity numbers and their shapes, towns of two words, patterns with the family part that fills them (1 where known names with it are spared)."""
 
     names: dict[str, float]
     given: frozenset[str]
@@ -185,6 +185,7 @@ class Model:
     ids: dict[str, float]
     shapes: dict[str, float]
     towns: frozenset[str]
+    phrases: dict[str, float] = field(default_factory=dict)
 
 
 #: Least occurrences of a pattern, a shape and a fixed phrase, whatever the size of the corpus.
@@ -224,18 +225,23 @@ def learn(documents: DataFrame, directory: DataFrame, text: str = "text", turns:
         half = names.withColumn("g", F.substring_index("a", "-", 1))
         marked = half.join(given.withColumnsRenamed({"part": "g", "known": "kg"}), "g", "left").join(family.withColumnsRenamed({"part": "b", "known": "kf"}), "b", "left")
         known = F.when(F.col("kg").isNotNull() | F.col("kf").isNotNull(), 1).otherwise(0)
-        # how often the most frequent family part fills the pattern
-        marked = marked.withColumn("one", F.sum("n").over(Window.partitionBy("pattern", "b")))
-        trusted = marked.groupBy("pattern").agg(
-            F.sum("n").alias("n"), F.count("*").alias("instances"), F.sum(known).alias("good"), F.max("one").alias("top"),
-            F.count_distinct(F.when(F.col("kg").isNotNull() & F.col("kf").isNotNull(), F.concat("a", F.lit(" "), "b"))).alias("whole"))
-        # often, and nearly always the same: a fixed phrase, not a slot for names
-        trust = F.when((F.col("top") >= 0.9 * F.col("n")) & (F.col("n") >= 10), 0.0).otherwise(F.greatest(F.col("good") / F.col("instances"), F.lit(0.001)))
-        trusted = stage(trusted.withColumn("trust", trust).filter(F.col("n") >= LEAST), "patterns")
+        # a span whose parts are both known is no mere phrase, however often it recurs, where other known names stand too
+        whole = F.when(F.col("kf").isNotNull() & (F.col("kg").isNotNull() | (F.col("a") == "")), 1).otherwise(0)
+        both = F.when(F.col("kg").isNotNull() & F.col("kf").isNotNull(), 1).otherwise(0)
+        per = marked.groupBy("pattern", "b").agg(F.sum("n").alias("one"), F.count("*").alias("instances"), F.sum(known).alias("good"), F.sum(both).alias("both"), F.sum(whole).alias("whole"))
+        # the most frequent family part of the pattern
+        per = per.groupBy("pattern").agg(
+            F.sum("one").alias("n"), F.sum("instances").alias("instances"), F.sum("good").alias("good"), F.sum("both").alias("whole"), F.max(F.struct("one", "b", F.col("instances").alias("i"), (F.col("good") - F.col("whole")).alias("g"), F.col("whole").alias("w"), "both")).alias("top"))
+        # often, and nearly always the same: a fixed phrase, which neither is a name here nor counts for those beside it
+        phrase = (F.col("top.one") >= 0.9 * F.col("n")) & (F.col("n") >= 10)
+        per = per.withColumn("phrase", F.when(phrase, F.col("top.b"))).withColumn("instances", F.col("instances") - F.when(phrase, F.col("top.i") - F.col("top.w")).otherwise(0)).withColumn("good", F.col("good") - F.when(phrase, F.col("top.g")).otherwise(0))
+        trust = F.greatest(F.when(F.col("instances") > 0, F.col("good") / F.col("instances")), F.lit(0.001))
+        spare = F.when(F.col("whole") > F.col("top.both"), 1.0).otherwise(0.0)
+        trusted = stage(per.filter(F.col("n") >= LEAST).select("pattern", "n", "instances", "whole", "phrase", spare.alias("spare"), trust.alias("trust")), "patterns")
         if turn == turns - 1:
             break
-        strong = trusted.filter("trust >= 0.5 and instances >= 5 and whole >= 1").select("pattern", F.lit(1).alias("strong"))
-        seen = names.filter("pattern not like 'B %'").join(strong, "pattern", "left")
+        strong = trusted.filter("trust >= 0.5 and instances >= 5 and whole >= 1").select("pattern", "phrase", F.lit(1).alias("strong"))
+        seen = names.filter("pattern not like 'B %'").join(strong, "pattern", "left").withColumn("strong", F.when(F.col("phrase").isNull() | (F.col("b") != F.col("phrase")), F.col("strong")))
         learnt = []
         for part, other, base in ((F.substring_index("a", "-", 1), "b", given), (F.col("b"), "a", family)):
             new = seen.withColumn("part", part).filter("part <> ''").groupBy("part").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("strong") == 1, F.col("n")).otherwise(0)).alias("s"), F.countDistinct(other).alias("others"))
@@ -256,8 +262,9 @@ def learn(documents: DataFrame, directory: DataFrame, text: str = "text", turns:
     towns = edges.filter("kind = 'town'").groupBy("pattern", "a").agg(F.sum("n").alias("n")).groupBy("pattern").agg(F.sum("n").alias("all"), F.max_by("a", F.when(F.col("a") != "", F.col("n"))).alias("second"), F.max(F.when(F.col("a") != "", F.col("n"))).alias("top"))
     two = towns.filter("second is not null and top >= 2 and top >= 0.5 * all").select(F.concat("pattern", F.lit(" "), "second"), F.lit(1.0)).limit(100_000)
     sections = {
-        "names": trusted.filter("instances >= 3 or trust = 0").select("pattern", "trust"), "given": given.select("part", F.lit(1.0)), "family": family.select("part", F.lit(1.0)),
+        "names": trusted.filter("instances >= 3").select("pattern", "trust"), "given": given.select("part", F.lit(1.0)), "family": family.select("part", F.lit(1.0)),
         "fixed": fixed, "ids": by.select("pattern", "trust"), "shapes": shapes.select("a", F.col("s") / F.col("n")), "towns": two,
+        "phrases": trusted.filter("phrase is not null and pattern not like 'B %'").select(F.concat("pattern", F.lit(" "), "phrase"), "spare"),
     }
     table = stage(reduce(DataFrame.union, (df.toDF("key", "trust").select(F.lit(k).alias("section"), "key", "trust") for k, df in sections.items())), "scores")
     return Scores(table, _filter(given), _filter(family))
@@ -318,12 +325,14 @@ def find(text: str | None, model: Model) -> list[tuple[int, int, str]]:
             if small and not (kg or (not g and kf)):
                 continue
             phrase = f"{g} {f}" in model.fixed
-            trust = [model.names.get(p) for p in _patterns(text, s, e)]
+            patterns = _patterns(text, s, e)
+            trust = [model.names.get(p) for p in patterns]
+            filled = [x for p in patterns[:2] if (x := model.phrases.get(f"{p} {f}")) is not None]
             known = [x for x in trust if x is not None]
             best = max(known, default=-1.0)
-            if trust[0] == 0.0 or trust[1] == 0.0:  # part of a fixed phrase
-                continue
             slot, both = best >= 0.5, (kg or not g) and kf
+            if filled and not (both and min(filled) == 1.0):  # part of a fixed phrase
+                continue
             if slot and not kg and not kf and best < 0.75 and sum(x >= 0.3 for x in known) < 2:
                 continue  # one pattern alone must be a sure one to bring in an unknown name
             if not (kg and kf) and phrase:
@@ -369,7 +378,7 @@ def _questions(batches: Iterable[pd.DataFrame], text: str, given: bytes, family:
     """The keys that ``find`` needs in each block."""
     for pdf in batches:
         for block, texts in pdf.groupby("block_")[text]:
-            asked = Model(_Asked(), _Asked(given), _Asked(family), _Asked(), _Asked(), _Asked(), _Asked())
+            asked = Model(_Asked(), _Asked(given), _Asked(family), _Asked(), _Asked(), _Asked(), _Asked(), _Asked())
             for t in texts:
                 find(t, asked)
             rows = [(block, f.name, k) for f in fields(Model) for k in getattr(asked, f.name).keys_]
@@ -379,7 +388,7 @@ def _questions(batches: Iterable[pd.DataFrame], text: str, given: bytes, family:
 
 def _model(answers: pd.DataFrame) -> Model:
     of = {k: dict(zip(g["key"], g["trust"], strict=True)) for k, g in answers.groupby("section")}
-    return Model(**{f.name: of.get(f.name, {}) if f.name in ("names", "ids", "shapes") else frozenset(of.get(f.name, ())) for f in fields(Model)})
+    return Model(**{f.name: of.get(f.name, {}) if f.name in ("names", "ids", "shapes", "phrases") else frozenset(of.get(f.name, ())) for f in fields(Model)})
 
 
 def _answered(documents: DataFrame, scores: Scores, id_: str, text: str, chars: int) -> PandasCogroupedOps:

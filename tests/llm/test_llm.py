@@ -185,6 +185,16 @@ def test_a_rare_name_is_found_in_a_large_corpus(spark):
     assert [tuple(r) for r in pii.extract(df.filter("doc_id >= 7"), scores, block_chars=1).collect()] == [(7, "name", "Ada Quill")]
 
 
+def test_only_the_phrase_that_fills_a_context_is_vetoed(spark):
+    # a known person on 40 signature lines, and others on the same line; a phrase in another context
+    docs = [(i, f"text {i}\n-- \nAda Quill, office") for i in range(40)] + [(40, "text\n-- \nTom Berg, office"), (41, "x\nid 7\nEva Lind sent it")]
+    docs += [(100 + i, f"row\nid {i}\n{w} By hand") for i, w in enumerate(["Posted", "Written", "Signed", "Checked"] * 10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    names = [("Ada", "given"), ("Tom", "given"), ("Eva", "given"), ("Quill", "family"), ("Berg", "family"), ("Lind", "family"), ("Posted", "given")]
+    found = {(r["doc_id"], r["pii_text"]) for r in pii.extract(df, pii.learn(df, spark.createDataFrame(names, "name_part string, part_kind string"))).collect()}
+    assert found == {(i, "Ada Quill") for i in range(40)} | {(40, "Tom Berg"), (41, "Eva Lind")}
+
+
 @pytest.mark.parametrize(("text", "kind", "item"), [
     ("mail a.b+c (at) x-y.example now", "email", "a.b+c (at) x-y.example"), ("to a_b7[at]mx[dot]host[dot]example.", "email", "a_b7[at]mx[dot]host[dot]example"),
     ("ring (030) 23125/849, evenings", "phone", "(030) 23125/849"), ("ring 933-555-0194 ext. 92 if", "phone", "933-555-0194 ext. 92"), ("(01632 960144) was", "phone", "01632 960144"),
