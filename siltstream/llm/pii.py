@@ -147,9 +147,9 @@ def _id_spans(text: str) -> Iterator[tuple[int, int, int]]:
     for m in ID.finditer(text):
         s = m.group()
         digits = sum(c.isdigit() for c in s)
-        if not 6 <= digits <= 12 or len(s) > 20:
-            continue
         cue = CUE.search(text[max(0, m.start() - 48) : m.start()])
+        if not cue and (not 6 <= digits <= 12 or len(s) > 20):
+            continue
         yield m.start(), m.end(), m.start() - len(cue.group()) if cue else -1
 
 

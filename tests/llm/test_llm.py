@@ -206,6 +206,12 @@ def test_shapes(text, kind, item):
     assert (item, kind) in [(text[s:e], k) for s, e, k in pii.find(text, empty)]
 
 
+@pytest.mark.parametrize(("text", "item"), [("NIR 2 84 05 75 123 456 78, merci", "2 84 05 75 123 456 78"), ("NIR: 284057512345678.", "284057512345678"), ("passport ABCD-12EF", "ABCD-12EF"), ("part 284057512345678.", None)])
+def test_a_cue_needs_no_number_of_digits(text, item):
+    empty = pii.Model({}, frozenset(), frozenset(), frozenset(), {}, {}, frozenset())
+    assert [text[s:e] for s, e, k in pii.find(text, empty) if k == "id_number"] == ([item] if item else [])
+
+
 @pytest.mark.parametrize("text", ["pin tool@4.91 now", "git clone git@code.host.example:qc/x.git", "scp me@logger-7:/data/x.dat .", "ls pic@2x.png", "order 62-4247-4247", "version 29.50.003.41", "192.0.2.63"])
 def test_no_items(text):
     empty = pii.Model({}, frozenset(), frozenset(), frozenset(), {}, {}, frozenset())
