@@ -56,8 +56,13 @@ def _both(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Flags of the tail model at a risk of one reading in a hundred, confirmed at eight times the threshold."""
-    return implausible(_both(spark, d), risk=0.01, confirm=8.0).select("field", F.col("id").alias("reading_id"), "kind")
+    """Flags of the tail model at a risk of one reading in a thousand; what it finds is checked at eight times the 90th percentile."""
+    return implausible(_both(spark, d), risk=1e-3, confirm=8.0).select("field", F.col("id").alias("reading_id"), "kind")
+
+
+def p4_tail(spark: SparkSession, d: str) -> DataFrame:
+    """Flags of the tail model alone, unchecked: its cutoff decides."""
+    return implausible(_both(spark, d), risk=1e-3).select("field", F.col("id").alias("reading_id"), "kind", F.round("cutoff", 6).alias("cutoff"))
 
 
 def _series(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +80,7 @@ def p5_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": p3_found, "p3_filled": p3_filled, "p4_found": p4_found, "p5_found": p5_found, "p5_series": p5_series,
+    "p3_found": p3_found, "p3_filled": p3_filled, "p4_found": p4_found, "p4_tail": p4_tail, "p5_found": p5_found, "p5_series": p5_series,
 }
 
 

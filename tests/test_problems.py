@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstream.operators.imputation import chained_imputation
 from siltstream.operators.regular import regular_series
-from siltstream.operators.spikes import implausible, residuals, tails
+from siltstream.operators.spikes import histogram, implausible, quantile, residuals, tails
 from siltstream.plans.cells import number, word
 
 LONG = "field string, source string, id long, t long, x double"
@@ -61,24 +61,58 @@ def test_implausible_equals_brute_force(spark):
 def test_edges_of_blocks(spark):
     """Tiny blocks: every window and stretch crosses some."""
     rows = _readings(np.random.default_rng(5), 200)
-    found, stretches, lengths = residuals(spark.createDataFrame(rows, LONG), block_rows=17)
-    d = {r["id"]: r["d"] for r in found.collect()}
+    found, stretches, lengths, parts = residuals(spark.createDataFrame(rows, LONG), block_rows=17)
+    d = {r["id"]: abs(r["r"]) for r in found.collect()}
     x = np.array([r[4] for r in rows])
     assert len(d) == len(x)
     for i in range(len(x)):
         assert d[i] == pytest.approx(abs(x[i] - np.median(x[max(0, i - 6) : i + 7])))
     want = np.diff(np.flatnonzero(np.append(np.insert(np.abs(np.diff(x)) > 0.001 + 1e-9, 0, True), True)))
     assert sorted(n for r in lengths.collect() for n in [r["n"]] * r["times"]) == sorted(want)
-    assert max(r["n"] for r in stretches.collect()) == max(want)
+    whole = {r["piece"]: r["stretch"] for r in stretches.collect()}
+    of = {r["id"]: whole[r["piece"]] if r["piece"] >= 0 else r["n"] for r in found.collect()}
+    assert [of[i] for i in range(len(x))] == list(np.repeat(want, want))
+    assert parts.count() == found.select("part").distinct().count()
+
+
+def _parted(spark, d):
+    rows = [("f", "s", i % 3, i, i * 97_000_000, float(v)) for i, v in enumerate(d)]
+    return spark.createDataFrame(rows, "field string, source string, part long, id long, t long, r double")
 
 
 def test_tail_fit(spark):
     rng = np.random.default_rng(0)
-    d = rng.exponential(1.0, 20_000)
-    df = spark.createDataFrame([("f", "s", i, float(v)) for i, v in enumerate(d)], "field string, source string, id long, d double")
-    r = tails(df, risk=1e-3, cap=100.0).first()
-    assert r["level_d"] == pytest.approx(np.quantile(d, 0.9), abs=1e-9)
-    assert abs(r["shape"]) < 0.1 and r["cutoff"] == pytest.approx(-np.log(1e-3), rel=0.15)
+    d = rng.exponential(1.0, 100_000) * rng.choice([-1, 1], 100_000)
+    r = tails(histogram(_parted(spark, d)), risk=1e-3).first()
+    assert abs(r["shape"]) < 0.15 and r["cutoff"] == pytest.approx(-np.log(1e-3), rel=0.15)
+    # spikes, however large, do not move the cutoff much; the risk does
+    d[:1500] *= 1000
+    bent = tails(histogram(_parted(spark, d)), risk=1e-3).first()
+    assert bent["cutoff"] < 2.5 * r["cutoff"]
+    assert tails(histogram(_parted(spark, d)), risk=1e-5).first()["cutoff"] > 1.3 * bent["cutoff"]
+
+
+def test_tail_decides(spark):
+    """Without a check the rows follow from the risk; a seasonal residual is no spike."""
+    rng = np.random.default_rng(1)
+    x = 20 + rng.normal(0, 0.3, 5000)
+    x[rng.choice(5000, 40, replace=False)] += 15
+    df = spark.createDataFrame([("f", "s", i, i * 600_000_000, float(v)) for i, v in enumerate(x)], LONG)
+    n = [implausible(df, risk=k).count() for k in (0.05, 1e-2, 1e-4)]
+    assert n[0] > n[1] > n[2] >= 40
+    # a jump of 2 for one reading every day at noon is usual there (the term is winsorised at the floor)
+    daily = 20 + rng.normal(0, 0.01, 5000) + np.where(np.arange(5000) % 24 == 12, 2.0, 0.0)
+    df = spark.createDataFrame([("f", "s", i, i * 3_600_000_000, float(v)) for i, v in enumerate(daily)], LONG)
+    season = tails(histogram(residuals(df)[0], cells=8, floor=3.0), floor=0.01).first()["season"]
+    assert season[4] == pytest.approx(2 / 3, abs=0.05) and abs(season[0]) < 0.01
+
+
+def test_exact_quantile(spark):
+    rng = np.random.default_rng(4)
+    for d in (rng.normal(0, 1, 3000), np.zeros(50), np.round(rng.normal(0, 1, 500), 1), np.array([3.0])):
+        rows = _parted(spark, d)
+        got = quantile(rows, histogram(rows), rows.select("field", "source", "part").distinct(), 0.9).first()["level_d"]
+        assert got == pytest.approx(np.quantile(np.abs(d), 0.9), abs=1e-12)
 
 
 def test_spikes_awkward_input(spark):
