@@ -174,8 +174,8 @@ def tails(bins: DataFrame, level: float = 0.85, risk: float = 1e-3, floor: float
     cells = bins.groupBy(*keys, "cell").agg((F.sum("w") / F.sum("n")).alias("usual"))
     season = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("cell", "usual"))).alias("season"))  # at most 24
     e = bins.join(season, keys).withColumn("e", F.abs(F.col("s") / F.col("n") - F.element_at("season", F.col("cell"))))
-    # bins of one value count together; a bin stands at the middle of its rows, and quantiles lie between bins in proportion
-    e = e.groupBy(*keys, "e").agg(F.sum("n").alias("n"))
+    # binned again without time of day and sign; a bin's mean stands at the middle of its rows, and quantiles lie between bins in proportion
+    e = e.groupBy(*keys, F.floor(F.log2(F.greatest("e", F.lit(EPS))) * _BINS).alias("bin")).agg(F.sum("n").alias("n"), (F.sum(F.col("e") * F.col("n")) / F.sum("n")).alias("e"))
     w = Window.partitionBy(*keys).orderBy("e")
     e = e.withColumn("mid", F.sum("n").over(w) - F.col("n") / 2).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
     e = e.withColumn("mid0", F.lag("mid").over(w)).withColumn("e0", F.lag("e").over(w))
