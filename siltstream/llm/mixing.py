@@ -1,7 +1,7 @@
 """Mixing sources to target weights, measured in tokens.
 
-Every document gets a uniform random key from a hash of its id. The keys of a source are
-range-partitioned: a key's leading bits name its range. Token counts are summed by (source,
+Every document gets a uniform random key, a hash of its id written in hexadecimal digits. The
+keys of a source are range-partitioned: a key's first three digits name its range. Token counts are summed by (source,
 range) - combined before the shuffle, so a hot source costs no more than its 4,096 ranges - and
 prefix sums over the ranges find the one that holds the source's budget. Only that range is
 sorted and summed row by row; ranges below it are taken whole, ranges above it not at all.
@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 4096
-
 
 def plan_mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """One row for each target: source, target_share, max_repeats, docs, tokens, budget, epochs, remainder, reachable.
@@ -36,7 +34,7 @@ def plan_mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = No
 
 
 def _key(seed: int) -> Column:
-    return F.xxhash64(F.col("doc_id"), F.lit(seed))
+    return F.md5(F.concat_ws("-", F.col("doc_id").cast("string"), F.lit(str(seed))).cast("binary"))
 
 
 def mix_sources(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 1) -> DataFrame:
@@ -45,19 +43,22 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total_tokens: int | None =
     ``sized``: doc_id, source, n_tokens. The last document of a source is the one with which its
     budget is not exceeded, so a source falls short by less than one document unless its budget
     is out of reach. Documents without a source, or of a source without target, are not used;
-    documents of 0 tokens take part (they cost nothing). ``targets`` is a list of sources, one
+    documents of 0 tokens take part (they cost nothing), no more than ``max_repeats`` times
+    either; a source of nothing but such documents has no budget and gives none. ``targets`` is a list of sources, one
     row each (repeated or null sources are ignored); it is joined by broadcast if it is small
     enough for Spark's own limit. Repeated doc_ids are different documents. Empty tables give an
     empty result.
     """
     sized = sized.select("doc_id", "source", F.col("n_tokens").cast("long")).filter("source is not null")
     plan = plan_mix(sized, targets, total_tokens).select("source", "epochs", "remainder", "max_repeats")
-    docs = sized.withColumn("key", _key(seed)).withColumn("range", F.shiftrightunsigned("key", 52).cast("int"))
+    docs = sized.withColumn("key", _key(seed)).withColumn("range", F.substring("key", 1, 3))
     by_range = docs.groupBy("source", "range").agg(F.sum("n_tokens").alias("tokens")).join(plan, "source")
     upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("range"))
     by_range = by_range.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("tokens"))
-    # whole: the range lies below the cut; cut: the budget ends inside it
-    state = F.when(F.col("upto") <= F.col("remainder"), 2).when(F.col("before") < F.col("remainder"), 1).otherwise(0)
+    # whole: the range lies below the cut; cut: the budget ends inside it. Without a remainder there is no further pass,
+    # not even of documents that cost nothing, and none beyond max_repeats
+    again = (F.col("remainder") > 0) & (F.col("epochs") < F.col("max_repeats"))
+    state = F.when(~again, 0).when(F.col("upto") <= F.col("remainder"), 2).when(F.col("before") < F.col("remainder"), 1).otherwise(0)
     by_range = by_range.withColumn("state", state).select("source", "range", "epochs", "remainder", "before", "state")
     rows = docs.join(by_range, ["source", "range"])
     more = F.sum("n_tokens").over(Window.partitionBy("source", "range").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))

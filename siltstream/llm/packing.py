@@ -6,6 +6,10 @@ independently. Items are dealt to workers by hash in blocks of bounded size. Ins
 longest items (class 1) open a bin each; the space they leave is filled with the shorter items
 that fit (largest first, into the fullest bin that has room), and what remains is packed
 harmonically class by class, the space left in those bins again filled by shorter items.
+
+``harmonic`` is the plain form: classes are filled independently of each other and nothing else
+goes into their bins. It needs no Python, but leaves a good part of the room empty (the report
+of both is a query), so ``pack_documents`` refills.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -75,6 +79,39 @@ def _packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(bin=of)[["capacity", "block", "bin", "doc_id", "part", "start", "size"]]
 
 
+def _items(sized: DataFrame, capacities: DataFrame, block_items: int) -> tuple[DataFrame, DataFrame]:
+    """What needs no packing (full packs of split documents, documents without room) as result rows, and the items to be packed: capacity, block, doc_id, part, start, size."""
+    caps = capacities.select(F.col("capacity_tokens").cast("long").alias("capacity")).filter("capacity >= 1").distinct()
+    docs = sized.select("doc_id", F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n"), F.monotonically_increasing_id().alias("row"))
+    n_blocks = max(1, -(-docs.count() // block_items))
+    items = docs.crossJoin(F.broadcast(caps))  # a few sizes
+    rest = items.withColumn("full", F.floor(F.col("n") / F.col("capacity"))).withColumn("rest", F.col("n") % F.col("capacity"))
+    big = rest.filter("full > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)))
+    name = F.concat_ws("-", F.lit("full"), F.col("row"), F.col("part"))
+    out_big = big.select(F.col("capacity").alias("capacity_tokens"), name.alias("pack_key"), "doc_id", F.col("part").cast("int"), (F.col("part") * F.col("capacity")).alias("start_token"), F.col("capacity").alias("n_tokens"))
+    none = rest.filter("n = 0").select(F.col("capacity").alias("capacity_tokens"), F.lit(None).cast("string").alias("pack_key"), "doc_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("start_token"), F.lit(0).cast("long").alias("n_tokens"))
+    small = rest.filter("rest > 0").select(
+        "capacity", F.pmod(F.xxhash64("doc_id", "row"), F.lit(n_blocks)).alias("block"), "doc_id", F.col("full").cast("int").alias("part"), (F.col("full") * F.col("capacity")).alias("start"), F.col("rest").alias("size"))
+    return out_big.union(none), small
+
+
+_NAMES = ("capacity_tokens", "pack_key", "doc_id", "part", "start_token", "n_tokens")
+
+
+def harmonic(sized: DataFrame, capacities: DataFrame, block_items: int = 100_000) -> DataFrame:
+    """Plain harmonic packing, with the columns and cases of ``pack_documents``.
+
+    Items of class k (longer than a (k+1)-th, at most a k-th of the capacity) fill bins by k,
+    each class and block on its own; only the last bin of each holds fewer.
+    """
+    done, small = _items(sized, capacities, block_items)
+    k = F.floor(F.col("capacity") / F.col("size"))
+    w = Window.partitionBy("capacity", "k", "block").orderBy("doc_id", "part", "start", "size")
+    bin_ = F.floor((F.row_number().over(w) - 1) / F.col("k"))
+    out = small.withColumn("k", k).withColumn("bin", bin_)
+    return done.union(out.select("capacity", F.concat_ws("-", "k", "block", "bin"), "doc_id", "part", "start", "size").toDF(*_NAMES))
+
+
 def pack_documents(sized: DataFrame, capacities: DataFrame, block_items: int = 100_000) -> DataFrame:
     """Assign every document to packs of each capacity: capacity_tokens, pack_key, doc_id, part, start_token, n_tokens.
 
@@ -87,21 +124,11 @@ def pack_documents(sized: DataFrame, capacities: DataFrame, block_items: int = 1
     The items of a block are at most about ``block_items``; the number of blocks follows from a
     count. Each block leaves at most its last few bins partly filled.
     """
-    caps = capacities.select(F.col("capacity_tokens").cast("long").alias("capacity")).filter("capacity >= 1").distinct()
-    docs = sized.select("doc_id", F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n"), F.monotonically_increasing_id().alias("row"))
-    n_blocks = max(1, -(-docs.count() // block_items))
-    items = docs.crossJoin(F.broadcast(caps))  # a few sizes
-    rest = items.withColumn("full", F.floor(F.col("n") / F.col("capacity"))).withColumn("rest", F.col("n") % F.col("capacity"))
-    big = rest.filter("full > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)))
-    name = F.concat_ws("-", F.lit("full"), F.col("row"), F.col("part"))
-    out_big = big.select(F.col("capacity").alias("capacity_tokens"), name.alias("pack_key"), "doc_id", F.col("part").cast("int"), (F.col("part") * F.col("capacity")).alias("start_token"), F.col("capacity").alias("n_tokens"))
-    none = rest.filter("n = 0").select(F.col("capacity").alias("capacity_tokens"), F.lit(None).cast("string").alias("pack_key"), "doc_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("start_token"), F.lit(0).cast("long").alias("n_tokens"))
-    small = rest.filter("rest > 0").select(
-        "capacity", F.pmod(F.xxhash64("doc_id", "row"), F.lit(n_blocks)).alias("block"), "doc_id", F.col("full").cast("int").alias("part"), (F.col("full") * F.col("capacity")).alias("start"), F.col("rest").alias("size"))
+    done, small = _items(sized, capacities, block_items)
     schema = f"capacity long, block long, bin long, doc_id {dict(sized.dtypes)['doc_id']}, part int, start long, size long"
     packed = small.groupBy("capacity", "block").applyInPandas(_packed, schema)
     packed = packed.select(F.col("capacity").alias("capacity_tokens"), F.concat_ws("-", "block", "bin").alias("pack_key"), "doc_id", "part", F.col("start").alias("start_token"), F.col("size").alias("n_tokens"))
-    return out_big.union(packed).union(none)
+    return done.union(packed)
 
 
 def pack_report(packed: DataFrame) -> DataFrame:

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..plans.cells import number
 from ..plans.ordered import micros
 from ..plans.scratch import stage
+from ..queries.problems import usable as _usable
 from . import pii
 from .mixing import mix_report, mix_sources
 from .nearest import nearest_in_time
-from .packing import pack_documents, pack_report
+from .packing import harmonic, pack_documents, pack_report
 from .runs import collapse_runs
 from .tokens import token_sizes
 
@@ -51,7 +52,33 @@ def p6_packs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    return pack_report(p6_packs(spark, d))
+    """How full the packs are: of harmonic packing with the room refilled (the packs of ``p6_packs``), and of the plain form."""
+    sized = stage(token_sizes(_table(spark, d, "documents"), ["doc_id"]), "sizes")
+    caps = _table(spark, d, "token_packs")
+    return pack_report(pack_documents(sized, caps)).withColumn("method", F.lit("refilled")).union(pack_report(harmonic(sized, caps)).withColumn("method", F.lit("plain")))
+
+
+def _in_characters(spark: SparkSession, d: str) -> DataFrame:
+    """Documents measured in characters, which SQL can count."""
+    return _table(spark, d, "documents").select("doc_id", "source", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_tokens"))
+
+
+def p6_parts_chars(spark: SparkSession, d: str) -> DataFrame:
+    """The packs of ``p6_packs``, but in characters, without their names: every part of every document, and whether its pack holds no more than its capacity."""
+    out = pack_documents(_in_characters(spark, d), _table(spark, d, "token_packs"))
+    used = out.groupBy("capacity_tokens", "pack_key").agg(F.sum("n_tokens").alias("used"))
+    fits = F.col("pack_key").isNull() | (F.col("used") <= F.col("capacity_tokens"))
+    return out.join(used.filter("pack_key is not null"), ["capacity_tokens", "pack_key"], "left").select("capacity_tokens", "doc_id", F.col("part").cast("long").alias("part"), "start_token", "n_tokens", fits.alias("fits"))
+
+
+def p7_mix_chars(spark: SparkSession, d: str) -> DataFrame:
+    """The mix measured in characters."""
+    return mix_sources(_in_characters(spark, d), _table(spark, d, "mix_targets"))
+
+
+def p7_shares_chars(spark: SparkSession, d: str) -> DataFrame:
+    out = mix_report(_in_characters(spark, d), _table(spark, d, "mix_targets"))
+    return out.select("source", "target_share", F.round("reached_share", 9).alias("reached_share"), "docs", "tokens", "asked", "docs_used", "tokens_used", "max_repeats", "most_repeats", "reachable")
 
 
 def _sized_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -85,16 +112,19 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p2_found": p2_found, "p2_runs": p2_runs, "p6_packs": p6_packs, "p6_report": p6_report,
-    "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted,
+    "p6_parts_chars": p6_parts_chars, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_mix_chars": p7_mix_chars, "p7_shares_chars": p7_shares_chars, "p8_found": p8_found, "p8_redacted": p8_redacted,
 }
 
 
-def _usable(table: str, value: str) -> str:
-    return (
-        f"SELECT DISTINCT station_id, reading_id, ts, {value} AS x FROM {table} WHERE station_id IS NOT NULL AND ts IS NOT NULL AND reading_id IS NOT NULL AND {value} IS NOT NULL "
-        f"AND NOT isnan({value}) AND NOT isinf({value}) AND NOT ({value} = floor({value}) AND ({value} < 0 OR {value} > 100))"
-    )
-
+_MIX = """
+WITH d AS (SELECT doc_id, source, coalesce(length(text), 0)::BIGINT AS n_tokens, md5(doc_id || '-1') AS key FROM documents WHERE source IS NOT NULL),
+s AS (SELECT source, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY 1),
+t AS (SELECT m.source, target_share, greatest(coalesce(max_repeats, 1), 0) AS max_repeats, coalesce(docs, 0) AS docs, coalesce(tokens, 0) AS tokens FROM mix_targets m LEFT JOIN s ON m.source = s.source),
+p AS (SELECT *, floor(target_share * sum(tokens) OVER ())::BIGINT AS asked FROM t), b AS (SELECT *, least(asked, tokens * max_repeats) AS budget FROM p),
+e AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs FROM b), r AS (SELECT *, budget - epochs * tokens AS remainder FROM e),
+c AS (SELECT d.*, r.epochs, r.remainder, r.max_repeats, sum(n_tokens) OVER (PARTITION BY d.source ORDER BY key, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN r ON d.source = r.source),
+mix AS (SELECT doc_id, source, n_tokens, (epochs + CASE WHEN remainder > 0 AND epochs < max_repeats AND upto <= remainder THEN 1 ELSE 0 END)::INT AS repeats FROM c)
+"""
 
 _RUNS = f"""
 WITH u AS ({_usable("data_sm1", "sm1")}),
@@ -106,6 +136,14 @@ g AS (SELECT station_id, run, arg_min(reading_id, (ts, reading_id)) AS first_rea
 """
 
 SQL: dict[str, str] = {
+    "p6_parts_chars": """
+WITH d AS (SELECT doc_id, coalesce(length(text), 0)::BIGINT AS n FROM documents), c AS (SELECT DISTINCT capacity_tokens::BIGINT AS capacity_tokens FROM token_packs WHERE capacity_tokens >= 1),
+x AS (SELECT *, unnest(range(0, greatest(1, (n + capacity_tokens - 1) // capacity_tokens))) AS part FROM d, c)
+SELECT capacity_tokens, doc_id, part, part * capacity_tokens AS start_token, least(capacity_tokens, n - part * capacity_tokens) AS n_tokens, true AS fits FROM x""",
+    "p7_mix_chars": f"{_MIX} SELECT doc_id, source, n_tokens, repeats FROM mix WHERE repeats > 0",
+    "p7_shares_chars": f"""{_MIX}, u AS (SELECT source, count(*) AS docs_used, sum(n_tokens * repeats)::BIGINT AS tokens_used, max(repeats) AS most_repeats FROM mix WHERE repeats > 0 GROUP BY 1)
+SELECT r.source, target_share, round(coalesce(tokens_used, 0) / sum(tokens_used) OVER (), 9) AS reached_share, docs, tokens, asked, coalesce(docs_used, 0) AS docs_used, coalesce(tokens_used, 0) AS tokens_used,
+max_repeats, coalesce(most_repeats, 0) AS most_repeats, asked <= tokens * max_repeats AS reachable FROM r LEFT JOIN u ON r.source = u.source""",
     "p1_found": f"""
 WITH l AS ({_usable("data_sm1", "sm1")}), r AS ({_usable("data_sm2", "sm2")}),
 c AS (

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from siltstream.llm import pii
 from siltstream.llm.mixing import mix_report, mix_sources
 from siltstream.llm.nearest import nearest_in_time
-from siltstream.llm.packing import pack, pack_documents, pack_report
+from siltstream.llm.packing import harmonic, pack, pack_documents, pack_report
 from siltstream.llm.runs import collapse_runs, segment
 from siltstream.llm.tokens import TOKENIZERS, count, token_sizes
 
@@ -108,6 +108,33 @@ def test_packs_hold_every_token_once(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, n_tokens long"), caps).collect() == []
 
 
+def test_plain_harmonic_packs(spark):
+    rng = np.random.default_rng(2)
+    docs = [(i, int(n)) for i, n in enumerate(rng.integers(0, 700, 800))] + [(5, 90), (5, 90), (900, None)]
+    caps = spark.createDataFrame([(256,)], "capacity_tokens int")
+    sized = spark.createDataFrame(docs, "doc_id long, n_tokens long")
+    out = harmonic(sized, caps, block_items=300).collect()
+    assert sum(r["n_tokens"] for r in out) == sum(n or 0 for _, n in docs)
+    fill, of = {}, {}
+    for r in out:
+        if r["pack_key"] is not None:
+            fill[r["pack_key"]] = fill.get(r["pack_key"], 0) + r["n_tokens"]
+            of.setdefault(r["pack_key"], []).append(256 // r["n_tokens"])
+    assert max(fill.values()) <= 256 and all(len(set(k)) == 1 and len(k) <= k[0] for k in of.values())
+    plain, refilled = pack_report(harmonic(sized, caps)).first(), pack_report(pack_documents(sized, caps)).first()
+    assert plain["tokens"] == refilled["tokens"] and plain["filled_share"] < refilled["filled_share"]
+    assert harmonic(sized.limit(0), caps).collect() == []
+
+
+def test_mixing_keeps_max_repeats(spark):
+    """A source out of reach whose documents mostly cost nothing."""
+    sized = spark.createDataFrame([(i, "a", 0) for i in range(3000)] + [(i, "a", 7) for i in range(3000, 3040)] + [(i, "b", 100) for i in range(4000, 5000)] + [(i, "c", 0) for i in range(6000, 6010)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.8, 2), ("b", 0.1, 1), ("c", 0.1, 3)], "source string, target_share double, max_repeats int")
+    out = mix_sources(sized, targets).toPandas()
+    assert out[out["source"] == "a"]["repeats"].unique().tolist() == [2] and (out["source"] == "a").sum() == 3040
+    assert out[out["source"] == "b"]["repeats"].max() == 1 and not (out["source"] == "c").any()
+
+
 def test_mixing(spark):
     docs = [(i, "abc"[i % 3] if i % 10 else None, 10 + i % 7) for i in range(3000)]
     sized = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
