@@ -11,6 +11,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +33,7 @@ def stage(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a scan of it.
 
     ``by``: partition columns of the table, so that a later filter on them reads only its own
-    files. The table is removed when the session's JVM ends.
+    files. The table is removed by ``drop``, or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
@@ -41,4 +42,19 @@ def stage(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).parquet(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
+
+
+#: Where the tables of this session lie, by the scan that ``stage`` returned.
+_PATHS: dict[int, str] = {}
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete stage tables that no later result reads, before the session ends."""
+    for t in tables:
+        if path := _PATHS.pop(id(t), None):
+            hadoop = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
