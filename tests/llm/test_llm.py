@@ -13,7 +13,7 @@ from siltstream.llm.mixing import mix_report, mix_sources
 from siltstream.llm.nearest import nearest_in_time
 from siltstream.llm.packing import harmonic, pack, pack_documents, pack_report
 from siltstream.llm.runs import collapse_runs, segment
-from siltstream.llm.tokens import TOKENIZERS, count, token_sizes
+from siltstream.llm.tokens import _encoding, count, token_sizes, TOKENIZERS
 
 ROW = "entity string, id long, t long"
 needs_tokenizer = pytest.mark.skipif(not os.path.exists(os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")), reason="no tokenizer files")
@@ -157,7 +157,8 @@ def test_token_counts(spark):
     path = os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
     long = "some words, " * 60_000
     assert count(None, path) == count("", path) == 0 and count("Hello world", path) == 2
-    assert count(long, path) == 60_000 * count("some words, ", path) // 1 - 0 or count(long, path) > 100_000
+    # cut for encoding: as many tokens as in one piece
+    assert count(long, path) == len(_encoding(path).encode_ordinary(long))
     df = spark.createDataFrame([(1, "Hello world", "x"), (2, None, "y")], "doc_id long, text string, n_tokens string").drop("n_tokens")
     assert {r["doc_id"]: r["n_tokens"] for r in token_sizes(df, ["doc_id"]).collect()} == {1: 2, 2: 0}
 
@@ -206,10 +207,11 @@ def test_personal_information(spark):
 def test_a_rare_name_is_found_in_a_large_corpus(spark):
     docs = [(i, "Alpha Beta " * 50_000) for i in range(7)] + [(7, "we met Ada Quill there."), (8, "ada quill, as we heard")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    scores = pii.learn(df, spark.createDataFrame([("Ada", "given"), ("Quill", "family"), ("Never", "given")], "name_part string, part_kind string"))
+    scores = pii.learn(df, spark.createDataFrame([("Ada", "given"), ("Quill", "family"), ("Never", "given")], "name_part string, part_kind string"), block_chars=100_000)
+    assert scores.blocks > 30
     assert {r["key"] for r in scores.table.filter("section = 'given'").collect()} == {"ada", "never"}
     assert [tuple(r) for r in pii.extract(df, scores).collect()] == [(7, "name", "Ada Quill")]
-    assert [tuple(r) for r in pii.extract(df.filter("doc_id >= 7"), scores, block_chars=1).collect()] == [(7, "name", "Ada Quill")]
+    assert [tuple(r) for r in pii.extract(df.filter("doc_id >= 7"), scores).collect()] == [(7, "name", "Ada Quill")]
 
 
 def test_only_the_phrase_that_fills_a_context_is_vetoed(spark):
@@ -222,6 +224,26 @@ def test_only_the_phrase_that_fills_a_context_is_vetoed(spark):
     assert found == {(i, "Ada Quill") for i in range(40)} | {(40, "Tom Berg"), (41, "Eva Lind")}
 
 
+def test_contexts_decide_beyond_shapes(spark):
+    """Seeds teach contexts; these bring in looser shapes, and throw out good shapes where no seed stands."""
+    docs = [(i, f"Ring me under +49 30 55{i:04d} 7, thanks") for i in range(20)] + [(50, "Ring me under 123 456 789, thanks"), (51, "total 123 456 789, thanks")]
+    docs += [(100 + i, f"parcels to {i + 1} Mill Road, Overton 12345 please") for i in range(20)] + [(150, "parcels to 7 Old Garth, Overton 12345 please"), (151, "plot 7 Old Garth, Overton 12345 is dry")]
+    docs += [(200 + i, f"mail to ada.q{i}@post.example now") for i in range(20)] + [(250, "mail to x99@post.example now")] + [(300 + i, f"push as bot{i}@build.local again") for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {}
+    for r in pii.extract(df, pii.learn(df, spark.createDataFrame([("Ada", "given")], "name_part string, part_kind string"))).collect():
+        got.setdefault(r["doc_id"], []).append((r["pii_kind"], r["pii_text"]))
+    assert all(got[i] == [("phone", f"+49 30 55{i:04d} 7")] for i in range(20)) and got[50] == [("phone", "123 456 789")] and 51 not in got
+    assert all(got[100 + i] == [("address", f"{i + 1} Mill Road, Overton 12345")] for i in range(20)) and got[150] == [("address", "7 Old Garth, Overton 12345")] and 151 not in got
+    assert all(got[200 + i] == [("email", f"ada.q{i}@post.example")] for i in range(20)) and got[250] == [("email", "x99@post.example")] and not any(300 + i in got for i in range(20))
+
+
+def test_tokens_around_a_span():
+    text = "He  said\n it's 12_x: Ada-Lee, then\nmore"
+    assert pii._before(text, text.index("Ada")) == "x :" and pii._before(text, text.index("12")) == "\n it's" and pii._before(text, 2) == "^ he" and pii._before("", 0) == "^ ^"
+    assert pii._after(text, text.index(", then")) == ", then" and pii._after(text, len(text) - 4) == "more $" and pii._after("a  \n b", 1) == "\n b"
+
+
 @pytest.mark.parametrize(("text", "kind", "item"), [
     ("mail a.b+c (at) x-y.example now", "email", "a.b+c (at) x-y.example"), ("to a_b7[at]mx[dot]host[dot]example.", "email", "a_b7[at]mx[dot]host[dot]example"),
     ("ring (030) 23125/849, evenings", "phone", "(030) 23125/849"), ("ring 933-555-0194 ext. 92 if", "phone", "933-555-0194 ext. 92"), ("(01632 960144) was", "phone", "01632 960144"),
@@ -229,17 +251,14 @@ def test_only_the_phrase_that_fills_a_context_is_vetoed(spark):
     ("passport X3 537 177?", "id_number", "X3 537 177"), ("NIE X-3095637-U.", "id_number", "X-3095637-U"),
 ])
 def test_shapes(text, kind, item):
-    empty = pii.Model({}, frozenset(), frozenset(), frozenset(), {}, {}, frozenset())
-    assert (item, kind) in [(text[s:e], k) for s, e, k in pii.find(text, empty)]
+    assert (item, kind) in [(text[s:e], k) for s, e, k in pii.find(text, {})]
 
 
 @pytest.mark.parametrize(("text", "item"), [("NIR 2 84 05 75 123 456 78, merci", "2 84 05 75 123 456 78"), ("NIR: 284057512345678.", "284057512345678"), ("passport ABCD-12EF", "ABCD-12EF"), ("part 284057512345678.", None)])
 def test_a_cue_needs_no_number_of_digits(text, item):
-    empty = pii.Model({}, frozenset(), frozenset(), frozenset(), {}, {}, frozenset())
-    assert [text[s:e] for s, e, k in pii.find(text, empty) if k == "id_number"] == ([item] if item else [])
+    assert [text[s:e] for s, e, k in pii.find(text, {}) if k == "id_number"] == ([item] if item else [])
 
 
 @pytest.mark.parametrize("text", ["pin tool@4.91 now", "git clone git@code.host.example:qc/x.git", "scp me@logger-7:/data/x.dat .", "ls pic@2x.png", "order 62-4247-4247", "version 29.50.003.41", "192.0.2.63"])
 def test_no_items(text):
-    empty = pii.Model({}, frozenset(), frozenset(), frozenset(), {}, {}, frozenset())
-    assert pii.find(text, empty) == []
+    assert pii.find(text, {}) == []
