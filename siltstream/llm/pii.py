@@ -459,7 +459,7 @@ def decide(candidates: Iterable[Candidate], model: Model) -> list[tuple[int, int
         sure = x & SEED or (best is not None and best >= 0.5 and min(known) > 0.02)
         if sure or (get("shapes").get(a, 0.0) >= 0.9 and (best is None or best > 0.02)):
             numbers.append((s, e, item, x & SEED))
-        elif int(c) >= 9 and accepted("phone", a, 0, patterns):
+        elif int(c) >= 9 and max(best or 0.0, get("shapes").get(a, 0.0)) < 0.2 and accepted("phone", a, 0, patterns):  # what numbers of identity look like, or stand beside, is no unknown form of a phone
             of["phone"].append((s, e, item, a, "", "", SEED, patterns))
     for s, e, item, a, _, _, x, patterns in of["phone"]:
         if accepted("phone", a, x, patterns) and not any(p < e and s < q and q - p >= e - s and cue for p, q, _, cue in numbers):

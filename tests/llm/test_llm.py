@@ -226,14 +226,14 @@ def test_only_the_phrase_that_fills_a_context_is_vetoed(spark):
 
 def test_contexts_decide_beyond_shapes(spark):
     """Seeds teach contexts; these bring in looser shapes, and throw out good shapes where no seed stands."""
-    docs = [(i, f"Ring me under +49 30 55{i:04d} 7, thanks") for i in range(20)] + [(50, "Ring me under 123 456 789, thanks"), (51, "total 123 456 789, thanks")]
+    docs = [(i, f"Ring me under +49 30 55{i:04d}, thanks") for i in range(20)] + [(50, "Ring me under 123 456 789, thanks"), (51, "total 123 456 789, thanks")]
     docs += [(100 + i, f"parcels to {i + 1} Mill Road, Overton 12345 please") for i in range(20)] + [(150, "parcels to 7 Old Garth, Overton 12345 please"), (151, "plot 7 Old Garth, Overton 12345 is dry")]
     docs += [(200 + i, f"mail to ada.q{i}@post.example now") for i in range(20)] + [(250, "mail to x99@post.example now")] + [(300 + i, f"push as bot{i}@build.local again") for i in range(20)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {}
     for r in pii.extract(df, pii.learn(df, spark.createDataFrame([("Ada", "given")], "name_part string, part_kind string"))).collect():
         got.setdefault(r["doc_id"], []).append((r["pii_kind"], r["pii_text"]))
-    assert all(got[i] == [("phone", f"+49 30 55{i:04d} 7")] for i in range(20)) and got[50] == [("phone", "123 456 789")] and 51 not in got
+    assert all(got[i] == [("phone", f"+49 30 55{i:04d}")] for i in range(20)) and got[50] == [("phone", "123 456 789")] and 51 not in got
     assert all(got[100 + i] == [("address", f"{i + 1} Mill Road, Overton 12345")] for i in range(20)) and got[150] == [("address", "7 Old Garth, Overton 12345")] and 151 not in got
     assert all(got[200 + i] == [("email", f"ada.q{i}@post.example")] for i in range(20)) and got[250] == [("email", "x99@post.example")] and not any(300 + i in got for i in range(20))
 
