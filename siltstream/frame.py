@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import schemes
 from .flags import BAD, FILTER_ALL, UNFLAGGED, is_flagged
+from .plans.cells import match
 from .plans.ordered import micros as stamp_micros
 from .registry import OPERATORS, Op
 
@@ -62,6 +63,14 @@ class Series:
         return Window.partitionBy(*self.by()).orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _single(df: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
+    """One row for each key and time."""
+    n = F.row_number().over(Window.partitionBy(*(*keys, "t")).orderBy("value", "flag"))
+    again = F.col("__n") > 1
+    wrong = F.when(~again, True).otherwise(F.raise_error(F.lit("ValueError: two rows of one key and time")).cast("boolean"))
+    return df.withColumn("__n", n).filter(wrong if how == "raise" else ~again).drop("__n")
+
+
 class QC:
     """Fields with their flag histories; immutable, lazily evaluated.
 
@@ -79,8 +88,15 @@ class QC:
     # ---- sources
 
     @classmethod
-    def from_long(cls, df: DataFrame, time: str, value: str, name: str | None = None, field: str | None = None, keys: Iterable[str] = (), flag: str | None = None, **kw) -> QC:
-        """One field ``name``, or one for each value of the column ``field``. NaN counts as missing; rows without a time are left out."""
+    def from_long(cls, df: DataFrame, time: str, value: str, name: str | None = None, field: str | None = None, keys: Iterable[str] = (), flag: str | None = None, duplicates: str = "keep", **kw) -> QC:
+        """One field ``name``, or one for each value of the column ``field``. NaN counts as missing; rows without a time are left out.
+
+        Operators take it that keys and time name one row. ``duplicates``: ``keep`` trusts the
+        table, ``raise`` makes a second row of one time an error when the plan runs, ``first``
+        keeps one of them (a row with the least value; both cost a shuffle). A null key is a key.
+        """
+        if duplicates not in ("keep", "raise", "first"):
+            raise ValueError("duplicates is keep, raise or first")
         keys = tuple(keys)
         t, v = stamp_micros(df, time), F.col(value).cast("double")
         cols = [*(F.col(k) for k in keys), t.alias("t"), F.nanvl(v, F.lit(None).cast("double")).alias("value")]
@@ -90,13 +106,15 @@ class QC:
         names = [name or value] if field is None else sorted(r[0] for r in df.select(field).distinct().collect() if r[0] is not None)
         meta = ({"func": "importedFlags", "args": (), "kwargs": {}},) if flag else ()
         fields = {n: Field((df if field is None else df.filter(F.col(field) == n)).select(*cols, given, hist).filter("t is not null"), meta) for n in names}
+        if duplicates != "keep":
+            fields = {n: replace(f, df=_single(f.df, keys, duplicates)) for n, f in fields.items()}
         return cls(fields, keys, **kw)
 
     @classmethod
     def from_wide(cls, df: DataFrame, time: str, values: Iterable[str], keys: Iterable[str] = (), **kw) -> QC:
         out: dict[str, Field] = {}
         for v in values:
-            out |= cls.from_long(df.filter(F.col(v).isNotNull() | F.lit(True)), time, v, keys=keys).fields
+            out |= cls.from_long(df, time, v, keys=keys).fields
         return cls(out, keys, **kw)
 
     # ---- container
@@ -168,7 +186,7 @@ class QC:
         for n, f in self.fields.items():
             value = F.col("value") if nodata is None else F.coalesce("value", F.lit(float(nodata)))
             one = f.df.select(*on, value.alias(f"{n}__data"), self.scheme.external(f).alias(f"{n}__flags"))
-            out = one if out is None else out.join(one, on, "full_outer")
+            out = one if out is None else match(out, one, on, "full_outer")
         if out is None:
             raise ValueError("no field")
         return out.withColumn("ts", F.timestamp_micros("t")).select(*self.keys, "ts", *(c for n in self.fields for c in (f"{n}__data", f"{n}__flags")))

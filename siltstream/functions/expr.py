@@ -7,7 +7,7 @@ import math
 from collections.abc import Callable, Sequence
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..flags import BAD, DOUBTFUL, FILTER_ALL, FILTER_NONE, GOOD, UNFLAGGED, is_flagged
@@ -48,22 +48,43 @@ def environment(s: Series) -> dict[str, Callable]:
     def shifted(x: Column, n: int = 1) -> Column:
         return F.lag(x, n).over(s.order)
 
-    def longest_gap(x: Column) -> Column:
-        # the position of the last value before each row; a run of missing rows is as long as its distance
-        i = F.row_number().over(s.order)
-        return F.coalesce(i - F.last(F.when(x.isNotNull(), i), True).over(s.order.rowsBetween(-(2**31) + 1, 0)), i)
+    def column(x: Column) -> Column:
+        """The expression as a column of its own, which a window function may read though it holds one."""
+        name = f"__step{sum(c.startswith('__step') for c in s.df.columns)}"
+        s.df = s.df.withColumn(name, x)
+        return F.col(name)
+
+    def mad(x: Column) -> Column:
+        return median(column(F.abs(x - median(x))))
+
+    def mad_score(x: Column) -> Column:
+        return divide(x - median(x), mad(x))
+
+    def valid(x: Column, max_nan_total: int | None = None, max_nan_consec: int | None = None) -> Column:
+        out = F.lit(True)
+        if max_nan_total is not None:
+            out &= F.sum(F.when(x.isNull(), 1).otherwise(0)).over(w) <= max_nan_total
+        if max_nan_consec is not None:
+            # missing rows in a row have their position and their rank among the missing in common
+            run = column(F.row_number().over(s.order) - F.count(F.when(x.isNull(), 1)).over(s.order.rowsBetween(-(2**31) + 1, 0)))
+            size = column(F.sum(F.when(x.isNull(), 1).otherwise(0)).over(Window.partitionBy(*s.by(), run)))
+            out &= F.max(size).over(w) <= max_nan_consec
+        return out
+
+    def span_of(x: Column, target_range: tuple[float, float] = (0.0, 1.0)) -> Column:
+        low, high = target_range
+        return scale(x) * (high - low) + low
 
     return {
         "sum": reduce_(F.sum), "mean": reduce_(F.avg), "min": reduce_(F.min), "max": reduce_(F.max), "std": reduce_(F.stddev_pop), "var": reduce_(F.var_pop),
-        "median": median, "count": reduce_(F.count), "len": lambda x: F.count(F.lit(1)).over(w), "cv": cv, "scale": scale, "diff": lambda x: x - shifted(x), "shift": shifted,
+        "median": median, "count": reduce_(F.count), "len": lambda x: F.count(F.lit(1)).over(w), "cv": cv, "scale": span_of, "mad": mad, "madScore": mad_score, "diff": lambda x: x - shifted(x), "shift": shifted,
         "zScore": lambda x: F.try_divide(x - F.avg(x).over(w), F.stddev_samp(x).over(w)), "iqsScore": lambda x: F.try_divide(x - median(x), quantile(x, 0.75) - quantile(x, 0.25)),
         "id": lambda x: x, "abs": F.abs, "exp": F.exp, "sqrt": F.sqrt, "sign": F.signum, "round": F.round,
         "log": lambda x: F.when(x > 0, F.ln(x)).when(x == 0, float("-inf")), "nanLog": lambda x: F.when(x > 0, F.ln(x)).when(x == 0, 2.2250738585072014e-308),
         "clip": lambda x, lower=None, upper=None: F.when(x.isNull(), None).otherwise(_clip(x, lower, upper)),
         "deltaT": lambda x: (F.col("t") - F.lag("t").over(s.order)) / 1e6, "derivative": lambda x: F.try_divide(x - shifted(x), (F.col("t") - F.lag("t").over(s.order)) / 1e6),
         "rateOfChange": lambda x: F.try_divide(x - shifted(x), shifted(x)), "relativeDifference": lambda x: F.try_divide(x - shifted(x), F.abs(x) + F.abs(shifted(x))),
-        "maxGap": longest_gap,
-        "isValid": lambda x, max_missing=None: F.lit(True) if max_missing is None else F.sum(F.when(x.isNull(), 1).otherwise(0)).over(w) <= max_missing,
+        "isValid": valid,
     }
 
 
@@ -73,9 +94,6 @@ def _clip(x: Column, lower: float | None, upper: float | None) -> Column:
     return x if upper is None else F.least(x, F.lit(float(upper)))
 
 
-#: Reducers of two steps, whose inner statistic must be a column of its own before it is aggregated again.
-TWO_STEP = ("mad", "madScore")
-
 _BINARY = {
     ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: divide, ast.Mod: modulo, ast.Pow: lambda a, b: F.pow(F.lit(a), F.lit(b)),
 }
@@ -146,7 +164,7 @@ def compile_expression(text: str, fields: dict[str, tuple], s: Series, dfilter:
             if node.func.id == "isflagged":
                 return flagged(node)
             if node.func.id in env:
-                plain = lambda x: x.value if isinstance(x, ast.Constant) else -x.operand.value if isinstance(x, ast.UnaryOp) and isinstance(x.operand, ast.Constant) else go(x)
+                plain = lambda x: tuple(plain(e) for e in x.elts) if isinstance(x, (ast.Tuple, ast.List)) else x.value if isinstance(x, ast.Constant) else -x.operand.value if isinstance(x, ast.UnaryOp) and isinstance(x.operand, ast.Constant) else go(x)
                 return env[node.func.id](go(node.args[0]), *[plain(a) for a in node.args[1:]], **{k.arg: plain(k.value) for k in node.keywords})
             raise NameError(f"unknown function {node.func.id}")
         raise TypeError(f"not allowed in an expression: {type(node).__name__}")

@@ -12,6 +12,7 @@ from ..flags import UNFLAGGED, is_flagged
 from ..frame import QC, Call, Field, Series
 from ..functions.expr import compile_expression, evaluate
 from ..functions.periods import in_period
+from ..plans.cells import match
 from ..registry import flagging, processing, register
 from ..timespan import micros
 
@@ -84,7 +85,7 @@ def selectTime(call: Call, field: str, target: str, mode: str = "periodic", sele
         df = s.df.withColumn("in", inside)
     elif mode == "selection_field":
         chosen = qc.fields[selection_field].df.filter("value <> 0").select(*qc.keys, "t", F.lit(True).alias("in"))  # type: ignore[index]
-        df = s.df.join(chosen, [*qc.keys, "t"], "left").withColumn("in", F.coalesce("in", F.lit(False)))
+        df = match(s.df, chosen, [*qc.keys, "t"], "left").withColumn("in", F.coalesce("in", F.lit(False)))
     else:
         raise ValueError("mode is periodic or selection_field")
     out = Series(df, qc.keys).with_(raw=F.col("value"), masked=F.lit(False), out=F.when(~F.col("in"), F.col("value")), newflag=F.when(F.col("in"), F.lit(UNFLAGGED)))
@@ -95,13 +96,18 @@ def selectTime(call: Call, field: str, target: str, mode: str = "periodic", sele
 
 
 def _aligned(call: Call, fields: Sequence[str], mask: bool = True) -> DataFrame:
-    """The fields side by side: ``v0, f0, h0, v1, ..``; all must have the same times."""
+    """The fields side by side: ``v0, f0, h0, v1, ..``. All must have the same times: a time that one lacks is an error when the plan runs."""
     out = None
     for i, n in enumerate(fields):
         s = call.masked(n, mask)
         one = s.df.select(*call.qc.keys, "t", F.col("value").alias(f"v{i}"), F.col("flag").alias(f"f{i}"), F.col("hist").alias(f"h{i}"))
-        out = one if out is None else out.join(one, [*call.qc.keys, "t"])
-    return out  # type: ignore[return-value]
+        here = one.withColumn(f"here{i}", F.lit(True))
+        out = here if out is None else match(out, here, [*call.qc.keys, "t"], "full_outer")
+    marks = [F.col(f"here{i}") for i in range(len(fields))]
+    if len(marks) > 1:
+        everywhere = reduce(Column.__and__, [F.coalesce(m, F.lit(False)) for m in marks])
+        out = out.filter(F.when(everywhere, True).otherwise(F.raise_error(F.lit(f"ValueError: the fields {', '.join(fields)} have different times; align them first")).cast("boolean")))  # type: ignore[union-attr]
+    return out.drop(*(f"here{i}" for i in range(len(fields))))  # type: ignore[union-attr]
 
 
 def _expressions(call: Call, fields: Sequence[str], func: str | Callable, n: int) -> tuple[DataFrame, list[Column]]:
@@ -116,7 +122,7 @@ def _expressions(call: Call, fields: Sequence[str], func: str | Callable, n: int
         out = out * n
     if len(out) != n:
         raise ValueError(f"the expression gives {len(out)} results for {n} targets")
-    return df, out
+    return s.df, out
 
 
 @register(multivariate=True, handles_target=True)
@@ -131,7 +137,7 @@ def flagGeneric(call: Call, fields: list[str], targets: list[str], func: str | C
     for i, t in enumerate(targets):
         if t not in qc:
             qc = qc._new({**qc.fields, t: Field(qc.fields[fields[0]].df.withColumns({"value": F.lit(None).cast("double"), "flag": F.lit(None).cast("double"), "hist": F.array().cast("array<double>")}))})
-        old = qc.fields[t].df.join(hits.select(*qc.keys, "t", F.col(f"hit{i}").alias("hit")), [*qc.keys, "t"], "left")
+        old = match(qc.fields[t].df, hits.select(*qc.keys, "t", F.col(f"hit{i}").alias("hit")), [*qc.keys, "t"], "left")
         old = old.withColumn("hit", F.col("hit") & ~is_flagged(F.col("flag"), call.dfilter))
         qc = Call(**{**call.__dict__, "qc": qc}).write(t, Series(old, qc.keys))
     return qc
@@ -145,7 +151,7 @@ def processGeneric(call: Call, fields: list[str], targets: list[str], func: str
     for i, t in enumerate(targets):
         new = df.select(*qc.keys, "t", results[i].cast("double").alias("out"), *([] if t in qc else ["h0", "f0"]))
         if t in qc:
-            both = qc.fields[t].df.join(new, [*qc.keys, "t"], "left").withColumn("masked", F.lit(False))
+            both = match(qc.fields[t].df, new, [*qc.keys, "t"], "left").withColumn("masked", F.lit(False))
             qc = Call(**{**call.__dict__, "qc": qc}).write(t, Series(both, qc.keys))
         else:
             empty = new.select(*qc.keys, "t", F.col("out").alias("value"), F.lit(None).cast("double").alias("flag"), F.array(F.lit(None).cast("double")).alias("hist"))
@@ -192,7 +198,7 @@ def flagManual(s: Series, mdata: DataFrame | None = None, method: str = "left-op
         return _in_spans(s, spans, F.lit(True))
     marks = mdata.select(*s.keys, "t", (F.col("value") == mflag).alias("m"))  # type: ignore[union-attr]
     if method in ("ontime", "plain"):
-        df = s.df.join(marks.filter("m").select(*s.keys, "t", F.lit(True).alias("hit")).distinct(), [*s.keys, "t"], "left")
+        df = match(s.df, marks.filter("m").select(*s.keys, "t", F.lit(True).alias("hit")).distinct(), [*s.keys, "t"], "left")
         return Series(df, s.keys)
     both = s.df.select("*", F.lit(None).cast("boolean").alias("m"), F.lit(1).alias("own"))
     other = marks.select(*s.keys, "t", "m").select(*[F.col(c) if c in (*s.keys, "t", "m") else (F.lit(0) if c == "own" else F.lit(None).cast(dict(both.dtypes)[c])).alias(c) for c in both.columns])
@@ -218,7 +224,7 @@ def transferFlags(call: Call, fields: list[str], targets: list[str], squeeze: bo
         if t not in qc:
             bare = src.df.withColumns({"flag": F.lit(None).cast("double"), "hist": F.array().cast("array<double>")})
             qc = qc._new({**qc.fields, t: Field(bare)})
-        df = qc.fields[t].df.join(src.df.select(*on, F.col("hist").alias("sh"), F.col("flag").alias("sf")), on, "left")
+        df = match(qc.fields[t].df, src.df.select(*on, F.col("hist").alias("sh"), F.col("flag").alias("sf")), on, "left")
         none = F.transform(F.sequence(F.lit(1), F.lit(max(1, len(src.meta)))), lambda _: F.lit(None).cast("double"))
         free = F.lit(True) if overwrite else ~is_flagged(F.col("flag"), call.dfilter)
         if squeeze:
@@ -249,13 +255,13 @@ def _group(call: Call, fields: list[str], targets: list[str], group: QC | Sequen
     others = [call.qc] if group is None else ([group] if isinstance(group, QC) else list(group))
     qc, on = call.qc, [*call.qc.keys, "t"]
     parts = [o.fields[f].df.select(*on, is_flagged(F.col("flag"), call.dfilter).alias(f"x{i}_{j}")) for i, o in enumerate(others) for j, f in enumerate(fields) if f in o]
-    joined = reduce(lambda a, b: a.join(b, on, "full_outer"), parts)
+    joined = reduce(lambda a, b: match(a, b, on, "full_outer"), parts)
     flags = [F.coalesce(c, F.lit(False)) for c in joined.columns if c not in on]
     hit = joined.select(*on, reduce(Column.__and__ if every else Column.__or__, flags).alias("hit"))
     for t in targets:
         if t not in qc:
             qc = qc._new({**qc.fields, t: qc.fields[fields[0]] if len(fields) == 1 else Field(qc.fields[fields[0]].df.withColumns({"value": F.lit(None).cast("double"), "flag": F.lit(None).cast("double"), "hist": F.array().cast("array<double>")}))})
-        df = qc.fields[t].df.join(hit, on, "left").withColumn("hit", F.col("hit") & ~is_flagged(F.col("flag"), call.dfilter))
+        df = match(qc.fields[t].df, hit, on, "left").withColumn("hit", F.col("hit") & ~is_flagged(F.col("flag"), call.dfilter))
         qc = Call(**{**call.__dict__, "qc": qc}).write(t, Series(df, qc.keys))
     return qc
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -12,11 +11,12 @@ from pyspark.sql import functions as F
 
 from ..frame import Series
 from ..functions.rolling import over
+from ..plans.cells import match
 from ..registry import flagging, register
 from ..timespan import micros
 
 
-def _reduce(pdf: pd.DataFrame, keys: tuple[str, ...], half: int, best: Callable | None) -> pd.DataFrame:
+def _reduce(pdf: pd.DataFrame, keys: tuple[str, ...], half: int, best: Callable) -> pd.DataFrame:
     """Of each neighbourhood of detected points, in order of time, its winner; later neighbourhoods overrule earlier ones."""
     pdf = pdf.sort_values("t")
     t, stat = pdf["t"].to_numpy(), pdf["stat"].to_numpy(float)
@@ -24,7 +24,7 @@ def _reduce(pdf: pd.DataFrame, keys: tuple[str, ...], half: int, best: Callable
     for i in range(len(t)):
         a, b = np.searchsorted(t, t[i] - half), np.searchsorted(t, t[i] + half, side="right")
         mark[a:b] = False
-        mark[a + int(best(stat[a:b]) if best else np.argmax(stat[a:b]))] = True
+        mark[a + int(best(stat[a:b]))] = True
     return pdf.loc[mark, [*keys, "t"]]
 
 
@@ -62,13 +62,24 @@ def marked(
     s = s.with_(found=F.coalesce(F.col("stat") > limit, F.lit(False)))
     half = (micros(reduce_window) if reduce_window else b + f) // 2
     few = s.df.filter("found").select(*s.keys, "t", "stat")
-    kinds = dict(few.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*s.keys, "t"))
-    kept = few.groupBy(*s.by()).applyInPandas(partial(_reduce, keys=s.keys, half=half, best=reduce_func), schema)
+    if reduce_func is None:
+        # of the neighbourhoods that hold a point the last overrules the others, and there the greatest statistic wins, the earliest of equals
+        n = Series(few, s.keys)
+        best = F.max(F.struct("stat", (-F.col("t")).alias("back"))).over(n.span(-half, half))
+        n = n.with_(best=-best["back"]).with_(winner=F.last("best").over(n.span(0, half)))
+        kept = n.df.filter("winner = t").select(*s.keys, "t")
+    else:
+        kinds = dict(few.dtypes)
+        schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*s.keys, "t"))
+
+        def thin(pdf: pd.DataFrame) -> pd.DataFrame:
+            return _reduce(pdf, s.keys, half, reduce_func)
+
+        kept = few.groupBy(*s.by()).applyInPandas(thin, schema)
     # the mark moves to the next row with a value
     s = s.with_(prior=F.last(F.when(F.col("value").isNotNull(), F.col("t")), True).over(s.past))
     kept = kept.select(*s.keys, F.col("t").alias("prior"), F.lit(True).alias("cp"))
-    df = s.df.join(kept, [*s.keys, "prior"], "left")
+    df = match(s.df, kept, [*s.keys, "prior"], "left")
     return Series(df.withColumn("cp", F.coalesce("cp", F.lit(False)) & F.col("value").isNotNull()), s.keys)
 
 

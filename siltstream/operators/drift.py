@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..frame import QC, Call, Series
 from ..kernels import numeric as k
+from ..plans.cells import match
 from ..registry import flagging, register
 from ..timespan import micros
 from .changepoints import clusters, marked
@@ -21,7 +22,7 @@ from .vector import apply, blocks_of
 def _wide(call: Call, fields: Sequence[str], window: str, how: str = "inner") -> Series:
     on = [*call.qc.keys, "t"]
     parts = [call.masked(f).df.select(*on, F.col("value").alias(f"v{i}")) for i, f in enumerate(fields)]
-    s = Series(reduce(lambda a, b: a.join(b, on, how), parts), call.qc.keys)
+    s = Series(reduce(lambda a, b: match(a, b, on, how), parts), call.qc.keys)
     s = Series(s.df.dropna(subset=[f"v{i}" for i in range(len(fields))]), s.keys)
     return s.with_(segment=blocks_of(s, window))
 
@@ -56,11 +57,11 @@ def flagDriftFromNorm(call: Call, fields: list[str], targets: list[str], window:
         return pd.Series(res)
 
     bad = g.select(*s.keys, "segment", out("d").alias("bad"))
-    rows = s.df.select(*s.keys, "t", "segment").join(bad, [*s.keys, "segment"])
+    rows = match(s.df.select(*s.keys, "t", "segment"), bad, [*s.keys, "segment"])
     qc = call.qc
     for i, t in enumerate(targets):
         hit = rows.select(*s.keys, "t", F.get("bad", F.lit(i)).alias("hit"))
-        qc = Call(**{**call.__dict__, "qc": qc}).write(t, Series(qc.fields[t].df.join(hit, [*s.keys, "t"], "left"), s.keys))
+        qc = Call(**{**call.__dict__, "qc": qc}).write(t, Series(match(qc.fields[t].df, hit, [*s.keys, "t"], "left"), s.keys))
     return qc
 
 
@@ -74,8 +75,8 @@ def flagDriftFromReference(call: Call, fields: list[str], targets: list[str], re
             continue
         s = _wide(call, [t, reference], freq)
         bad = s.df.groupBy(*s.keys, "segment").agg((dist(F.col("v0"), F.col("v1")) > thresh).alias("hit"), F.count("*").alias("n")).filter("n > 1")
-        hit = s.df.select(*s.keys, "t", "segment").join(bad, [*s.keys, "segment"]).select(*s.keys, "t", "hit")
-        qc = Call(**{**call.__dict__, "qc": qc}).write(t, Series(qc.fields[t].df.join(hit, [*s.keys, "t"], "left"), s.keys))
+        hit = match(s.df.select(*s.keys, "t", "segment"), bad, [*s.keys, "segment"]).select(*s.keys, "t", "hit")
+        qc = Call(**{**call.__dict__, "qc": qc}).write(t, Series(match(qc.fields[t].df, hit, [*s.keys, "t"], "left"), s.keys))
     return qc
 
 
@@ -132,7 +133,7 @@ def correctDrift(call: Call, field: str, target: str, maintenance_field: str = "
     u = s.df.select(*qc.keys, "t", F.lit(None).cast("struct<e:bigint,segment:double>").alias("g")).union(spans.select(*qc.keys, F.col("s").alias("t"), F.struct(F.col("e").cast("long").alias("e"), "segment")))
     last = F.last("g", True).over(Series(u, qc.keys).order.rangeBetween(Window.unboundedPreceding, 0))
     lab = u.withColumn("l", last).filter("g is null").select(*qc.keys, "t", F.when(F.col("l.e") >= F.col("t"), F.col("l.segment")).alias("segment"))
-    s = Series(s.df.join(lab.distinct(), [*qc.keys, "t"], "left"), s.keys)
+    s = Series(match(s.df, lab.distinct(), [*qc.keys, "t"], "left"), s.keys)
     s = apply(s, partial(_drift, model=model, cal=cal_range), {"new": "double"}, reads=["value", "segment"])
     return here.write(target, s.with_(out=F.nanvl("new", F.lit(None).cast("double"))))
 
@@ -143,7 +144,7 @@ def correctDrift(call: Call, field: str, target: str, maintenance_field: str = "
 def _with_cluster(call: Call, field: str, cluster_field: str) -> Series:
     s = call.masked(field)
     c = call.qc.fields[cluster_field].df.select(*s.keys, "t", F.col("value").alias("cluster"))
-    return Series(s.df.join(c, [*s.keys, "t"], "left"), s.keys)
+    return Series(match(s.df, c, [*s.keys, "t"], "left"), s.keys)
 
 
 def _regimes(pdf: pd.DataFrame, spread: float, frac: float, method: str) -> dict:
@@ -175,7 +176,7 @@ def assignRegimeAnomaly(call: Call, field: str, target: str, cluster_field: str
     """Negates the labels of regimes outside the normal cluster, in the cluster field."""
     s = _odd(_with_cluster(call, field, cluster_field), spread, frac, method)
     odd = s.df.select(*s.keys, "t", "odd")
-    df = call.qc.fields[cluster_field].df.join(odd, [*s.keys, "t"], "left").withColumns({"masked": F.lit(False), "out": F.when(F.col("odd"), -F.col("value")).otherwise(F.col("value"))})
+    df = match(call.qc.fields[cluster_field].df, odd, [*s.keys, "t"], "left").withColumns({"masked": F.lit(False), "out": F.when(F.col("odd"), -F.col("value")).otherwise(F.col("value"))})
     return call.write(cluster_field, Series(df, s.keys))
 
 

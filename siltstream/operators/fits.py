@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..frame import QC, Call, Series
 from ..functions.rolling import frame
 from ..kernels import numeric as k
+from ..plans.cells import match
+from ..plans.halo import bounded
 from ..registry import register
 from ..timespan import micros
 from .vector import apply
@@ -46,10 +48,14 @@ def _fitted(s: Series, window: str | int, order: int, min_periods: int) -> Serie
         kernel = partial(_poly, window=None if rows else micros(window), rows=rows, order=order, least=min_periods)  # type: ignore[arg-type]
         s = apply(s, kernel, {"fit": "double"})
         return s.with_(fit=F.nanvl("fit", F.lit(None).cast("double")))
+    # sums of powers of the time since a near origin, or they would lose their digits: stretches of eight windows
     w = micros(window)
+    return bounded(s, w // 2 + 1, 8 * w, partial(_power_sums, w=w, order=order, min_periods=min_periods))
+
+
+def _power_sums(s: Series, w: int, order: int, min_periods: int) -> Series:
     win = s.span(-(w // 2), w // 2)
-    # times relative to a window's own row need sums of powers of t; hours since the first row keep them small
-    s = s.with_(h=(F.col("t") - F.min("t").over(s.whole)) / 3.6e9)
+    s = s.with_(h=(F.col("t") - F.min("t").over(s.whole)) / w)
     own = F.when(F.col("value").isNotNull(), F.col("h"))
     p = [F.sum(F.pow(own, F.lit(i))).over(win) for i in range(2 * order + 1)]
     q = [F.sum(F.pow(own, F.lit(i)) * F.col("value")).over(win) for i in range(order + 1)]
@@ -118,7 +124,7 @@ def fitMomentFM(call: Call, fields: list[str], targets: list[str], ratio: int =
     s = apply(s, kernel, {f"o{i}": "double" for i in range(len(cols))}, reads=cols)
     qc = call.qc
     for i, t in enumerate(targets):
-        df = qc.fields[t].df.join(s.df.select(*on, F.nanvl(f"o{i}", F.lit(None).cast("double")).alias("out")), on, "left").withColumn("masked", F.lit(False))
+        df = match(qc.fields[t].df, s.df.select(*on, F.nanvl(f"o{i}", F.lit(None).cast("double")).alias("out")), on, "left").withColumn("masked", F.lit(False))
         qc = Call(**{**call.__dict__, "qc": qc}).write(t, Series(df, qc.keys))
     return qc
 

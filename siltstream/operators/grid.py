@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import QC, Call, Field, Series
+from ..plans.cells import match
 from ..registry import register
 from ..timespan import micros
 from .windowed import with_null_run
 
-#: How each method is undone.
+_DAY, _HOUR = 86_400_000_000, 3_600_000_000
+#: How each method is undone (fixed values, but that forward and backward aggregation undo each other).
 INVERSE = {"fagg": "bagg", "bagg": "fagg", "nagg": "nagg", "fshift": "bshift", "bshift": "fshift", "nshift": "nshift", "mshift": "sshift", "sshift": "mshift", "froll": "broll", "broll": "froll", "nroll": "nroll", "match": "match"}
 
 
@@ -51,7 +53,7 @@ def _nearest(df: DataFrame, index: DataFrame, keys: tuple[str, ...], way: str, t
     """For each row of df the stamp ``g`` of the index that is next (f), previous (b), nearest (n) or equal (m)."""
     on = [*keys, "t"]
     if way == "m":
-        return df.join(index.select(*on, F.col("t").alias("g")).distinct(), on, "left")
+        return match(df, index.select(*on, F.col("t").alias("g")).distinct(), on, "left")
     u = df.select(*on, F.lit(None).cast("long").alias("x")).distinct().union(index.select(*on, F.col("t").alias("x")))
     w = Window.partitionBy(*([F.col(k) for k in keys] or [F.lit(0)]))
     past = F.last("x", True).over(w.orderBy("t").rangeBetween(Window.unboundedPreceding, 0))
@@ -61,7 +63,7 @@ def _nearest(df: DataFrame, index: DataFrame, keys: tuple[str, ...], way: str, t
     if tol is not None:
         g = F.when(F.abs(g - F.col("t")) <= tol, g)
     labels = u.withColumn("g", g).filter("x is null").select(*on, "g")
-    return df.join(labels, on, "left")
+    return match(df, labels, on, "left")
 
 
 def _label(df: DataFrame, index: DataFrame, keys: tuple[str, ...], way: str, tol: int | None, freq: int | None) -> DataFrame:
@@ -82,7 +84,7 @@ def regrid(
     flags = "max" if flags is None else flags
     index = index.select(*on).distinct()
     if method == "match":
-        return index.join(src.select(*on, "value", "flag", "hist"), on, "left")
+        return match(index, src.select(*on, "value", "flag", "hist"), on, "left")
     if kind == "roll":
         if tol is None:
             raise ValueError("rolling methods need a tolerance")
@@ -91,7 +93,7 @@ def regrid(
         w = {"f": s.span(-(tol - 1), 0), "b": s.span(0, tol - 1), "n": s.span(-(tol // 2), tol // 2)}[way]
         from ..functions.rolling import over
 
-        d = over(data or "mean", F.col("value"), w)
+        d = F.lit(None).cast("double") if data is None else F.lit(float(data)) if isinstance(data, (int, float)) else over(data, F.col("value"), w)
         h = F.array(*(F.max(F.get("hist", F.lit(i))).over(w) for i in range(n))) if n else F.array().cast("array<double>")
         return s.df.withColumns({"d": d, "fl": F.max("flag").over(w), "h": h}).filter("new = 1").select(*on, F.col("d").alias("value"), F.col("fl").alias("flag"), F.col("h").alias("hist"))
     if method in ("mshift", "sshift"):
@@ -104,16 +106,16 @@ def regrid(
         agg = lab.groupBy(*keys, "g").agg(F.min_by("value", order).alias("value"), F.min_by("flag", order).alias("flag"), F.min_by("hist", order).alias("hist"))
     elif kind == "agg":
         lab = _label(src, index, keys, way, tol, freq).filter("g is not null")
-        agg = lab.groupBy(*keys, "g").agg(aggregate(data if data is not None else "mean", F.col("value")).alias("value"), aggregate(flags, F.col("flag")).alias("flag"), _hist(n, flags))
+        agg = lab.groupBy(*keys, "g").agg((F.lit(None).cast("double") if data is None else aggregate(data, F.col("value"))).alias("value"), aggregate(flags, F.col("flag")).alias("flag"), _hist(n, flags))
     else:
         raise ValueError(f"unknown method {method!r}")
     agg = agg.withColumnRenamed("g", "t")
-    if not broadcast or freq is not None:
-        return index.join(agg, on, "left")
+    if not broadcast or kind == "shift":
+        return match(index, agg, on, "left")
     # every new stamp takes the aggregate of the group that its nearest source row belongs to
     own = _nearest(index, src.select(*on), keys, {"f": "b", "b": "f", "n": "n"}[way], tol).withColumnRenamed("g", "s")
     of = _label(src, index, keys, way, tol, freq).filter("g is not null").select(*keys, F.col("t").alias("s"), "g")
-    return own.join(of, [*keys, "s"], "left").join(agg.withColumnRenamed("t", "g"), [*keys, "g"], "left").select(*on, "value", "flag", "hist")
+    return match(match(own, of, [*keys, "s"], "left"), agg.withColumnRenamed("t", "g"), [*keys, "g"], "left").select(*on, "value", "flag", "hist")
 
 
 def _pillars(src: DataFrame, keys: tuple[str, ...], index: DataFrame, n: int, tol: int | None, method: str) -> DataFrame:
@@ -140,8 +142,9 @@ def _apply(call: Call, field: str, index, method: str, tolerance, data, flags, b
     src = Field(s.df.select(*qc.keys, "t", "value", "flag", "hist"), f.meta)
     name = None
     if method == "invert":
-        name, method, tolerance = _inverse(f)
-        index = name
+        name, method, last = _inverse(f)
+        index, tolerance = name if index is None else index, last if tolerance is None else tolerance
+        broadcast = broadcast or method.endswith("agg")
     tol = micros(tolerance) if isinstance(tolerance, str) else tolerance
     freq = None
     if isinstance(index, DataFrame):
@@ -186,10 +189,17 @@ def reindex(call: Call, field: str, target: str, index=None, method: str = "matc
 
 @register(handles_target=True)
 def resample(call: Call, field: str, target: str, freq: str = "1D", func: str | Callable = "mean", method: str = "bagg", maxna: int | None = None, maxna_group: int | None = None, squeeze: bool = False) -> QC:
-    """Aggregate to a regular grid; a cell with too many missing values, or too long a run of them, gets none."""
+    """Aggregate to a regular grid; a cell with too many missing values, or too long a run of them, gets none. ``func`` may also be climatologicalMean or trueDailyMean (days only)."""
     qc = call.qc if field == target else call.copy([field], [target])
     here = Call(**{**call.__dict__, "qc": qc})
-    out = _apply(here, target, freq, method, None, func, "max", True, squeeze, False)
+    daily = func in _DAILY or getattr(func, "__name__", "") in _DAILY
+    if daily and micros(freq) != _DAY:
+        raise ValueError("the daily means of the meteorological services need a freq of one day")
+    out = _apply(here, target, freq, method, None, "mean" if daily else func, "max", False, squeeze, False)
+    if daily:
+        mean = _DAILY[func if isinstance(func, str) else func.__name__](here.masked(target).df, qc.keys).select(*qc.keys, (F.col("day") * _DAY).alias("t"), F.col("value").alias("mean"))
+        f = out.fields[target]
+        out = out._new({**out.fields, target: Field(match(f.df, mean, [*qc.keys, "t"], "left").withColumn("value", F.col("mean")).drop("mean"), f.meta)})
     if maxna is None and maxna_group is None:
         return out
     f, keys = micros(freq), qc.keys
@@ -200,7 +210,7 @@ def resample(call: Call, field: str, target: str, freq: str = "1D", func: str |
     for c, x in (("na", maxna), ("run", maxna_group)):
         limit = limit if x is None else limit | (F.col(c) > x)
     bad = bad.filter(limit).select(*keys, F.col("g").alias("t"), F.lit(True).alias("bad"))
-    df = out.fields[target].df.join(bad, [*keys, "t"], "left").withColumn("value", F.when(F.col("bad").isNull(), F.col("value"))).drop("bad")
+    df = match(out.fields[target].df, bad, [*keys, "t"], "left").withColumn("value", F.when(F.col("bad").isNull(), F.col("value"))).drop("bad")
     return out._new({**out.fields, target: Field(df, out.fields[target].meta)})
 
 
@@ -209,7 +219,7 @@ def align(call: Call, field: str, target: str, freq: str = "1D", method: str = "
     """Shift or interpolate to a regular grid: time or linear, pad, fshift, bshift, nshift."""
     how = {"time": "mshift", "linear": "mshift", "pad": "fshift"}.get(method, method)
     qc = call.qc if field == target else call.copy([field], [target])
-    return _apply(Call(**{**call.__dict__, "qc": qc}), target, freq, how, micros(freq), None, None, True, False, overwrite)
+    return _apply(Call(**{**call.__dict__, "qc": qc}), target, freq, how, micros(freq), None, None, False, False, overwrite)
 
 
 @register(mask=False, handles_target=True)
@@ -241,20 +251,24 @@ def concatFlags(call: Call, field: str, target: str | None, method: str = "auto"
 
 
 def climatologicalMean(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Daily mean of the readings at 06:30, 12:30 and, counted twice, 20:30; at least three of the four must be there: keys, day, value."""
-    minute = F.floor(F.col("t") / 60_000_000) % 1440
-    w = F.when(minute.isin(390, 750), 1).when(minute == 1230, 2)
-    own = df.filter((F.col("t") % 60_000_000 == 0) & F.col("value").isNotNull()).withColumn("w", w).filter("w is not null").withColumn("day", F.floor(F.col("t") / 86_400_000_000))
-    return own.groupBy(*keys, "day").agg(F.sum("w").alias("n"), (F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("value")).filter("n >= 3").drop("n")
+    """A third of the readings at 06:30, 12:30 and, doubled, 20:30 of each day; null if one of them is missing: keys, day, value. Days without a row at any of these times are left out."""
+    minute = F.col("t") % _DAY / 60_000_000
+    weight = F.when(minute.isin(390, 750), 1).when(minute == 1230, 2)
+    own = df.withColumn("w", weight).filter("w is not null").withColumn("day", F.floor(F.col("t") / _DAY))
+    return own.groupBy(*keys, "day").agg(F.when(F.count("value") >= 3, F.sum(F.col("value") * F.col("w")) / F.count("value")).alias("value"))
 
 
 def trueDailyMean(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Daily mean of hourly means (hours end at ten minutes past); a day with more than two missing hours in a row has none: keys, day, value."""
-    hour = F.floor((F.col("t") - 600_000_000) / 3_600_000_000)
-    hours = df.withColumn("hour", hour).groupBy(*keys, "hour").agg(F.avg("value").alias("value")).filter("value is not null").withColumn("day", F.floor(F.col("hour") / 24))
-    w = Window.partitionBy(*keys, "day").orderBy("hour")
-    gap = F.greatest(F.coalesce(F.col("hour") - F.lag("hour").over(w) - 1, F.col("hour") - F.col("day") * 24), F.when(F.lead("hour").over(w).isNull(), F.col("day") * 24 + 23 - F.col("hour")).otherwise(0))
-    return hours.withColumn("gap", gap).groupBy(*keys, "day").agg(F.max("gap").alias("gap"), F.avg("value").alias("value")).filter("gap <= 2").drop("gap")
+    """Mean of the readings ten minutes before each full hour, which belong to the day of that hour; null on a day that lacks more than two hours in a row: keys, day, value. Days without a row at these times are left out."""
+    at = F.col("t") + 600_000_000
+    own = df.withColumn("at", at).filter(F.col("at") % _HOUR == 0).withColumn("day", F.floor(F.col("at") / _DAY))
+    hours = F.array_sort(F.collect_set(F.when(F.col("value").isNotNull(), F.floor(F.col("at") % _DAY / _HOUR))))  # at most 24
+    out = own.groupBy(*keys, "day").agg(F.avg("value").alias("mean"), hours.alias("hours"))
+    gaps = F.zip_with(F.concat("hours", F.array(F.lit(24).cast("long"))), F.concat(F.array(F.lit(-1).cast("long")), "hours"), lambda a, b: a - b - 1)
+    return out.select(*keys, "day", F.when(F.array_max(gaps) <= 2, F.col("mean")).alias("value"))
+
+
+_DAILY = {"climatologicalMean": climatologicalMean, "trueDailyMean": trueDailyMean}
 
 
 def equidistant(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

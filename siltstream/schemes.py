@@ -73,6 +73,7 @@ class Structured(Scheme):
     """struct(quality_flag, quality_cause, quality_comment): NIL, OK, DOUBTFUL or BAD with a cause and a comment naming the test."""
 
     dfilter = GOOD + 1
+    #: The words for quality.
     forward = {"NIL": UNFLAGGED, "OK": GOOD, "DOUBTFUL": DOUBTFUL, "BAD": BAD}
 
     def internal(self, flag: object) -> float:
@@ -98,7 +99,8 @@ class Positional(Scheme):
     dfilter = DOUBTFUL + 1
 
     def internal(self, flag: object) -> float:
-        return {-6: UNFLAGGED, -5: UNFLAGGED, -4: UNFLAGGED, -3: UNFLAGGED, -2: UNFLAGGED, -1: UNFLAGGED, 0: UNFLAGGED, 1: DOUBTFUL, 2: BAD}.get(flag, flag)  # type: ignore[call-overload]
+        # fixed values: the digits of the vocabulary
+        return {-6: UNFLAGGED, -5: UNFLAGGED, -2: UNFLAGGED, -1: UNFLAGGED, 0: UNFLAGGED, 1: DOUBTFUL, 2: BAD}.get(flag, flag)  # type: ignore[call-overload]
 
     def external(self, field: Field) -> Column:
         if len(field.meta) > 18:
