@@ -40,9 +40,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Every usable SM1 reading in exactly one run, singles included: runs by station, their readings, the longest, their whole duration."""
+    """Every usable SM1 reading in exactly one run, singles included."""
     out = collapse_runs(_readings(spark, d, "data_sm1", "sm1"), 0.01, 3 * 3600 * 1_000_000, 1)
-    return out.groupBy(F.col("entity").alias("station_id")).agg(F.count("*").alias("n_runs"), F.sum("n_events").alias("n_readings"), F.max("n_events").alias("longest"), F.sum("duration_us").alias("duration_us"))
+    return out.select(F.col("entity").alias("station_id"), F.col("first_id").alias("first_reading_id"), F.col("last_id").alias("last_reading_id"), F.col("n_events").alias("n"), "duration_us")
+
+
+def p2_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of at least three readings near one level: a drift within the tolerance of each step is cut into levels."""
+    out = collapse_runs(_readings(spark, d, "data_sm1", "sm1"), 0.01, 3 * 3600 * 1_000_000, 3, level_penalty=2.0)
+    return out.select(F.col("entity").alias("station_id"), F.col("first_id").alias("first_reading_id"), F.col("last_id").alias("last_reading_id"), F.col("n_events").alias("n"), "duration_us", "low", "high")
 
 
 def p6_packs(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +117,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p2_found": p2_found, "p2_runs": p2_runs, "p6_packs": p6_packs, "p6_report": p6_report,
+    "p1_found": p1_found, "p2_found": p2_found, "p2_runs": p2_runs, "p2_levels": p2_levels, "p6_packs": p6_packs, "p6_report": p6_report,
     "p6_parts_chars": p6_parts_chars, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_mix_chars": p7_mix_chars, "p7_shares_chars": p7_shares_chars, "p8_found": p8_found, "p8_redacted": p8_redacted,
 }
 
@@ -153,5 +159,5 @@ c AS (
 SELECT sm1_reading_id, arg_min(sm2_reading_id, (d, sm2_reading_id)) AS sm2_reading_id FROM c WHERE d <= 300000000 GROUP BY sm1_reading_id
 """,
     "p2_found": f"{_RUNS} SELECT station_id, first_reading_id, last_reading_id FROM g WHERE n >= 3",
-    "p2_runs": f"{_RUNS} SELECT station_id, count(*) AS n_runs, sum(n)::BIGINT AS n_readings, max(n) AS longest, sum(duration_us)::BIGINT AS duration_us FROM g GROUP BY 1",
+    "p2_runs": f"{_RUNS} SELECT station_id, first_reading_id, last_reading_id, n, duration_us FROM g",
 }

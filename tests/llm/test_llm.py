@@ -12,7 +12,7 @@ from siltstream.llm import pii
 from siltstream.llm.mixing import mix_report, mix_sources
 from siltstream.llm.nearest import nearest_in_time
 from siltstream.llm.packing import harmonic, pack, pack_documents, pack_report
-from siltstream.llm.runs import collapse_runs, segment
+from siltstream.llm.runs import collapse_runs, segment, segment_levels, segment_steps
 from siltstream.llm.tokens import _encoding, count, token_sizes, TOKENIZERS
 
 ROW = "entity string, id long, t long"
@@ -51,6 +51,37 @@ def test_segmentation_is_optimal(cost):
     assert price(set(segment(cost).tolist())) == pytest.approx(best)
 
 
+@given(st.lists(st.sampled_from([0.0, 0.5, 1.0, 1.5, float("inf")]), min_size=1, max_size=30))
+def test_steps_need_no_programme(cost):
+    assert segment_steps(np.array(cost)).tolist() == segment(np.array(cost)).tolist()
+
+
+@given(st.lists(st.integers(0, 6), min_size=1, max_size=25), st.sampled_from([0.3, 1.0, 4.0]))
+@settings(deadline=None)
+def test_pruned_levels_cost_least(values, penalty):
+    x = np.array(values) / 2
+    cost = lambda a, b: ((x[a:b] - x[a:b].mean()) ** 2).sum()
+    best = [0.0]
+    for i in range(1, len(x) + 1):
+        best.append(min(best[a] + cost(a, i) + penalty for a in range(i)))
+    at = [*segment_levels(x, 1.0, penalty).tolist(), len(x)]
+    assert at[0] == 0 and sum(cost(a, b) + penalty for a, b in zip(at, at[1:], strict=False)) == pytest.approx(best[-1])
+
+
+def test_levels_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(np.repeat(rng.integers(0, 3, 40), rng.integers(1, 9, 40)) + 0.004 * rng.integers(-2, 3, 1)[0] + np.arange(1, 2) * 0, 3)
+    drift = 20 + np.arange(60) * 0.008  # each step within the tolerance, the whole far beyond it
+    rows = [("a", i, i * 10, float(v)) for i, v in enumerate(x)] + [("b", 1000 + i, i * 10, float(v)) for i, v in enumerate(drift)]
+    rows += rows[5:9] + [("b", 2000, 5, None), (None, 2001, 5, 1.0)]
+    df = spark.createDataFrame(rows, "entity string, id long, t long, x double").repartition(3)
+    one, *others = ({tuple(r) for r in collapse_runs(df, 0.01, 1000, 1, level_penalty=2.0, block_rows=n).collect()} for n in (10_000, 7, 1))
+    assert all(o == one for o in others)
+    assert sum(r[3] for r in one) == len(x) + 60 and len([r for r in one if r[0] == "b"]) > 3
+    assert len([r for r in collapse_runs(df, 0.01, 1000).collect() if r["entity"] == "b"]) == 1
+    assert collapse_runs(df.limit(0), 0.01, level_penalty=1.0).collect() == []
+
+
 def test_runs_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = []
