@@ -28,16 +28,19 @@ def _closer(a: Column, b: Column, t: Column) -> Column:
     return F.when(a.isNull(), b).when(b.isNull(), a).when(da < db, a).when(db < da, b).otherwise(F.least(a, b))
 
 
-def _ends(right: DataFrame, width: int) -> DataFrame:
-    """For each bucket that has one, the nearest right row of the bucket before it and of the bucket after it."""
-    own = right.withColumn("bucket", F.floor(F.col("t") / width)).groupBy("entity", "bucket").agg(F.min(F.struct("t", "id")).alias("first"), F.max(F.struct("t", F.negative("id").alias("id"))).alias("last"))
+def _ends(buckets: DataFrame) -> DataFrame:
+    """The first and last right row of each bucket that has one. Of two rows at one time the one with the smaller id is both."""
+    return buckets.groupBy("entity", "bucket").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def _sides(ends: DataFrame) -> DataFrame:
+    """For each bucket the nearest right row of the bucket before it and of the bucket after it."""
     none = F.lit(None).cast("struct<t:bigint,id:bigint>")
     last = F.struct(F.col("last.t").alias("t"), F.negative("last.id").alias("id"))
-    sides = own.select("entity", F.explode(F.array(
+    return ends.select("entity", F.explode(F.array(
         F.struct((F.col("bucket") + 1).alias("bucket"), last.alias("before"), none.alias("after")),
         F.struct((F.col("bucket") - 1).alias("bucket"), none.alias("before"), F.col("first").alias("after")),
     )).alias("s")).select("entity", "s.*")
-    return sides
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_us: int, first_width_us: int | None = None) -> DataFrame:
@@ -55,16 +58,18 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_us: int, first_
     cols = ["entity", "id", "t"]
     left = left.select(F.col("entity"), F.col("id").cast("long"), F.col("t").cast("long")).dropna()
     right = right.select(F.col("entity"), F.col("id").cast("long"), F.col("t").cast("long")).dropna()
-    none = F.lit(None).cast("struct<t:bigint,id:bigint>")
     bucket = F.floor(F.col("t") / width)
     reach = lambda w: F.least(F.col("t") - (F.floor(F.col("t") / w) - 1) * w, (F.floor(F.col("t") / w) + 2) * w - 1 - F.col("t"))
 
     # ring 1: merge of both sides in each bucket; right rows of adjacent buckets come as their nearest ends
-    mine = left.select(*cols, bucket.alias("bucket"), F.lit(1).alias("side"), none.alias("r"))
-    own = right.select(*cols, bucket.alias("bucket"), F.lit(0).alias("side"), F.struct("t", "id").alias("r"))
-    near = _ends(right, width).select("entity", F.coalesce(F.col("before"), F.col("after")).alias("r"), "bucket")
-    near = near.select("entity", F.col("r.id").alias("id"), F.col("r.t").alias("t"), "bucket", F.lit(0).alias("side"), "r")
-    both = mine.union(own).union(near.select(*mine.columns))
+    mine = left.select(*cols, bucket.alias("bucket"), F.lit(1).cast("byte").alias("side"))
+    own = right.select(*cols, bucket.alias("bucket"), F.lit(0).cast("byte").alias("side"))
+    ends = _ends(own.select("entity", "bucket", F.struct("t", "id").alias("first"), F.struct("t", F.negative("id").alias("id")).alias("last")))
+    ends = stage(ends, "ends")  # each ring makes its own of the ring before it
+    near = _sides(ends).select("entity", F.coalesce(F.col("before"), F.col("after")).alias("r"), "bucket")
+    near = near.select("entity", F.col("r.id").alias("id"), F.col("r.t").alias("t"), "bucket", F.lit(0).cast("byte").alias("side"))
+    # what a row says is not said twice in the shuffle
+    both = mine.union(own).union(near).repartition("entity", "bucket").withColumn("r", F.when(F.col("side") == 0, F.struct("t", "id")))
     # a right row at the same time sorts before the left row; of equal times the smallest id is the last before and the first after
     past = Window.partitionBy("entity", "bucket").orderBy(F.col("t"), F.col("side"), F.col("id").desc())
     ahead = Window.partitionBy("entity", "bucket").orderBy(F.col("t").desc(), F.col("side"), F.col("id").desc())
@@ -83,7 +88,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_us: int, first_
             break
         width *= 2  # exactly twice, so that old buckets nest in new ones
         rest = table.filter("open").withColumn("bucket", F.floor(F.col("t") / width))
-        sides = _ends(right, width).groupBy("entity", "bucket").agg(F.max("before").alias("before"), F.min("after").alias("after"))
+        ends = _ends(ends.withColumn("bucket", F.floor(F.col("bucket") / 2)))
+        sides = _sides(ends).groupBy("entity", "bucket").agg(F.max("before").alias("before"), F.min("after").alias("after"))
         best = F.when(F.col("rt").isNotNull(), F.struct(F.col("rt").alias("t"), F.col("rid").alias("id")))
         seen = rest.join(sides, ["entity", "bucket"], "left").select(*cols, _closer(best, _closer(F.col("before"), F.col("after"), F.col("t")), F.col("t")).alias("best"))
     out = reduce(DataFrame.union, done).withColumn("distance_us", F.abs(F.col("rt") - F.col("t"))).filter(F.col("distance_us") <= tolerance_us)
