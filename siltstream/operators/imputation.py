@@ -8,7 +8,8 @@ hash of the row's id, so a rerun gives the same values.
 
 Both models are fitted from sums that add up over rows (products of features, counts of
 feature and class), so a fit is one distributed pass that returns one small matrix a task.
-Complete rows enter those sums once. The repeated passes read only rows with a missing cell,
+Values far from the line between
+their neighbours, and outside the bounds, are kept but enter no fit. Complete rows enter those sums once. The repeated passes read only rows with a missing cell,
 which the stage table keeps in files of their own, and recompute their fills from the models so
 far; no fill is ever stored between passes.
 """
@@ -42,6 +43,9 @@ class _Plan:
     centre: dict[str, float]
     scale: dict[str, float]
     rounds: int
+    expected: bool = False
+    trim: dict[str, float] = field(default_factory=dict)  # farthest from the line between its neighbours that a value may be to enter a fit
+    bounds: dict[str, tuple[float, float]] = field(default_factory=dict)
     models: dict = field(default_factory=dict)  # (round, field) -> coefficients, spread | log tables
 
 
@@ -107,7 +111,9 @@ def _predict(pdf: pd.DataFrame, c: str, model: tuple, now: dict[str, np.ndarray]
     if c in plan.numeric:
         beta, spread, low, high = model
         u, v = _hash01(ids, 2 * turn), _hash01(ids, 2 * turn + 1)
-        drawn = _design(pdf, c, now, plan) @ beta + spread * np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
+        mean = _design(pdf, c, now, plan) @ beta
+        now[f"{c}__expected"] = np.clip(mean, low, high)
+        drawn = mean + spread * np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
         return np.where(np.isnan(x := pdf[c].to_numpy(float)), np.clip(drawn, low, high), x)
     prior, tables = model
     score = np.tile(prior, (len(pdf), 1))
@@ -134,8 +140,11 @@ def _sums(batches: Iterable[pd.DataFrame], fields: list[str], plan: _Plan) -> It
         now = _chain(pdf, plan)
         for c in fields:
             if c in plan.numeric:
-                seen = ~np.isnan(y := pdf[c].to_numpy(float))
-                x, y = _design(pdf, c, now, plan)[seen], y[seen]
+                x, y = _design(pdf, c, now, plan), pdf[c].to_numpy(float)
+                low, high = plan.bounds.get(c, (-math.inf, math.inf))
+                with np.errstate(invalid="ignore"):
+                    seen = (np.abs(y - (x[:, 1] * plan.scale[c] + plan.centre[c])) <= plan.trim.get(c, math.inf)) & (y >= low) & (y <= high)
+                x, y = x[seen], y[seen]
                 one = np.concatenate([(x.T @ x).ravel(), x.T @ y, [y @ y, len(y), y.sum()]])
             else:
                 seen = ~np.isnan(code := pdf[f"{c}__code"].to_numpy(float))
@@ -156,6 +165,26 @@ def _collect(df: DataFrame, fields: list[str], plan: _Plan) -> dict[str, np.ndar
     return out
 
 
+def _trims(rows: DataFrame, numeric: list[str], level: float = 0.95) -> dict[str, float]:
+    """For each numeric field how far ``level`` of its values are at most from the line between their neighbours, by logarithmic bins: faulty readings beyond that would bend a fit, and widen its residuals."""
+    bins = []
+    for c in numeric:
+        a, b = F.col(f"{c}__t_before"), F.col(f"{c}__t_after")
+        line = F.col(f"{c}__before") + (F.col(f"{c}__after") - F.col(f"{c}__before")) * F.coalesce(F.try_divide(a, a + b), F.lit(0.5))
+        bins.append(F.struct(F.lit(c).alias("field"), F.ceil(F.log2(F.greatest(F.abs(F.col(c) - line), F.lit(1e-9))) * 4).alias("bin")))
+    counts = rows.select(F.explode(F.array(*bins)).alias("b")).select("b.*").filter("bin is not null").groupBy("field", "bin").count().collect() if bins else []  # at most a few hundred rows
+    out = {}
+    for c in numeric:
+        own = sorted((r["bin"], r["count"]) for r in counts if r["field"] == c)
+        total, upto = sum(n for _, n in own), 0
+        for b, n in own:
+            upto += n
+            if upto >= level * total:
+                out[c] = 2 ** (b / 4)
+                break
+    return out
+
+
 def _fit(sums: np.ndarray, c: str, plan: _Plan, bounds: tuple[float, float]) -> tuple:
     if c in plan.numeric:
         k = 5 + len(plan.numeric) - 1 + sum(len(plan.vocab[w]) - 1 for w in plan.words)
@@ -182,6 +211,8 @@ def _filled(batches: Iterable[pd.DataFrame], plan: _Plan, keep: list[str]) -> It
         for c in plan.numeric:
             out[c] = now[c]
             out[f"{c}_filled"] = pdf[c].isna().to_numpy()
+            if plan.expected:
+                out[f"{c}_expected"] = np.where(out[f"{c}_filled"], now.get(f"{c}__expected", np.nan), now[c])
         for w in plan.words:
             out[w] = np.array(plan.vocab[w], dtype=object)[now[w]]
             out[f"{w}_filled"] = pdf[f"{w}__code"].isna().to_numpy()
@@ -190,14 +221,17 @@ def _filled(batches: Iterable[pd.DataFrame], plan: _Plan, keep: list[str]) -> It
 
 def chained_imputation(
     table: DataFrame, row_id: str, group: str, time: str, numeric: dict[str, Callable[[Column], Column]], words: dict[str, list[str]],
-    networks: DataFrame | None = None, bounds: dict[str, tuple[float, float]] | None = None, rounds: int = 3, span_days: int = 7,
+    networks: DataFrame | None = None, bounds: dict[str, tuple[float, float]] | None = None, rounds: int = 3, span_days: int = 7, expected: bool = False,
 ) -> DataFrame:
     """Every row of ``table`` once, with all its missing cells filled and marked.
 
     ``numeric``: field -> function that gives null where the cell is missing; ``words``: field ->
     valid words (at most 1,000); any other word counts as missing. ``networks``: group, network:
-    where a group has no reading in a span, its network's mean helps. Result: row_id, group,
-    time, and for each field its value and ``<field>_filled``.
+    where a group has no reading at all, its network's mean helps. Neighbours in time are sought
+    in the row's own calendar cell of ``span_days`` and, where that has none, in the cells beside
+    it; a group without a valid cell near takes its mean and most usual word over all time.
+    Result: row_id, group, time, and for each field its value and ``<field>_filled``; with
+    ``expected`` also ``<field>_expected``, the fill of a numeric field without its drawn residual.
 
     Copies (equal row_id, group and time) count once. Rows without group or time are filled from
     the overall models. A field without any valid cell gets its overall mean of 0, or its first
@@ -231,14 +265,12 @@ def chained_imputation(
     rows = stage(known.drop("__copy").withColumn("__open", lone), "features", ["__open"])
 
     stats = rows.agg(*(f(c).alias(f"{c}_{k}") for c in numeric for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
-    plan = _Plan(tuple(numeric), tuple(vocab), vocab, {c: stats[f"{c}_m"] or 0.0 for c in numeric}, {c: stats[f"{c}_s"] or 1.0 for c in numeric}, rounds)
+    plan = _Plan(tuple(numeric), tuple(vocab), vocab, {c: stats[f"{c}_m"] or 0.0 for c in numeric}, {c: stats[f"{c}_s"] or 1.0 for c in numeric}, rounds, expected, _trims(rows, list(numeric)), dict(bounds or {}))
     open_, closed = rows.filter("__open"), rows.filter("not __open")
     none = [F.lit(None).cast("double").alias(f"{c}__network") for c in numeric]
     closed = closed.select("*", *none)
-    if networks is None or not numeric:
-        open_ = open_.select("*", *none)
-    else:
-        open_ = stage(_with_network(open_, rows, networks, list(numeric)), "open")  # read once in each pass
+    open_ = _with_group(_with_edges(open_, rows, list(numeric), list(vocab)), rows, networks, list(numeric), list(vocab))
+    open_ = stage(open_, "open")  # read once in each pass
     limits = bounds or {}
     once = _collect(closed, [*numeric, *vocab], plan)
     for turn in range(rounds):
@@ -248,19 +280,51 @@ def chained_imputation(
             plan.models[(turn, c)] = _fit(sums, c, plan, limits.get(c, (-math.inf, math.inf)))
     keep = ["__id", "__group", "__time"]
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([f"`{k}` {kind[k]}" for k in keep] + [f"`{c}` double, `{c}_filled` boolean" for c in numeric] + [f"`{w}` string, `{w}_filled` boolean" for w in vocab])
+    schema = ", ".join([f"`{k}` {kind[k]}" for k in keep] + [f"`{c}` double, `{c}_filled` boolean" + (f", `{c}_expected` double" if expected else "") for c in numeric] + [f"`{w}` string, `{w}_filled` boolean" for w in vocab])
     filled = open_.mapInPandas(partial(_filled, plan=plan, keep=keep), schema)
     name = [F.element_at(F.array(*(F.lit(x) for x in v)), (F.col(f"{w}__code") + 1).cast("int")).alias(w) for w, v in vocab.items()]
-    untouched = closed.select(*keep, *(x for c in numeric for x in (F.col(c), F.lit(False).alias(f"{c}_filled"))), *(x for w, col in zip(vocab, name, strict=True) for x in (col, F.lit(False).alias(f"{w}_filled"))))
+    untouched = closed.select(*keep, *(x for c in numeric for x in (F.col(c), F.lit(False).alias(f"{c}_filled"), *([F.col(c).alias(f"{c}_expected")] if expected else []))), *(x for w, col in zip(vocab, name, strict=True) for x in (col, F.lit(False).alias(f"{w}_filled"))))
     return untouched.union(filled).withColumnsRenamed({"__id": row_id, "__group": group, "__time": time})
 
 
-def _with_network(open_: DataFrame, rows: DataFrame, networks: DataFrame, numeric: list[str]) -> DataFrame:
-    """The network's mean, for rows whose group has no value in their span: those alone are joined."""
+def _with_edges(open_: DataFrame, rows: DataFrame, numeric: list[str], words: list[str]) -> DataFrame:
+    """Neighbours from the calendar cells beside a row's own, for the rows that lack one in their own; those alone are joined."""
+    values = {c: c for c in numeric} | {w: f"{w}__code" for w in words}
+    lacks = reduce(Column.__or__, [F.col(f"{k}__before").isNull() | F.col(f"{k}__after").isNull() for k in values]) & F.col("__group").isNotNull()
+    ends = []
+    for k, v in values.items():
+        t = F.when(F.col(v).isNotNull(), F.col("__t"))
+        ends += [F.min_by(v, t).alias(f"{k}__first"), F.max_by(v, t).alias(f"{k}__last"), F.min(t).alias(f"{k}__first_t"), F.max(t).alias(f"{k}__last_t")]
+    edges = rows.filter("__group is not null").groupBy("__group", "__span").agg(*ends)
+    of = lambda side: [c for k in values for c in ((f"{k}__{side}", f"{k}__{side}_t"))]
+    before = edges.select("__group", (F.col("__span") + 1).alias("__span"), *of("last"))
+    after = edges.select("__group", (F.col("__span") - 1).alias("__span"), *of("first"))
+    both = open_.filter(lacks).join(before, ["__group", "__span"], "left").join(after, ["__group", "__span"], "left")
+    new = {}
+    for k in values:
+        new |= {f"{k}__before": F.coalesce(f"{k}__before", f"{k}__last"), f"{k}__after": F.coalesce(f"{k}__after", f"{k}__first")}
+    for c in numeric:
+        new[f"{c}__t_before"] = F.coalesce(f"{c}__t_before", (F.col("__t") - F.col(f"{c}__last_t")).cast("double"))
+        new[f"{c}__t_after"] = F.coalesce(f"{c}__t_after", (F.col(f"{c}__first_t") - F.col("__t")).cast("double"))
+    return open_.filter(~F.coalesce(lacks, F.lit(False))).unionByName(both.withColumns(new).select(open_.columns))
+
+
+def _with_group(open_: DataFrame, rows: DataFrame, networks: DataFrame | None, numeric: list[str], words: list[str]) -> DataFrame:
+    """The group's mean over all time, else its network's, and its most usual word, for rows whose group has none in their cell: those alone are joined."""
     names = [f"{c}__network" for c in numeric]
-    bare = reduce(Column.__or__, [F.col(f"{c}__mean").isNull() for c in numeric]) & F.col("__group").isNotNull()
-    nets = networks.select(F.col(networks.columns[0]).cast("string").alias("__group"), F.col(networks.columns[1]).alias("__network")).dropna().dropDuplicates(["__group"])
-    by_group = rows.groupBy("__group").agg(*(x for c in numeric for x in (F.sum(c).alias(f"{c}_s"), F.count(c).alias(f"{c}_n"))))
-    by_net = by_group.join(nets, "__group").groupBy("__network").agg(*(F.try_divide(F.sum(f"{c}_s"), F.sum(f"{c}_n")).alias(f"{c}__network") for c in numeric))
-    joined = open_.filter(bare).join(nets, "__group", "left").join(by_net, "__network", "left").select(*open_.columns, *names)
-    return open_.filter(~F.coalesce(bare, F.lit(False))).select("*", *(F.lit(None).cast("double").alias(n) for n in names)).union(joined)
+    bare = reduce(Column.__or__, [F.col(f"{c}__mean").isNull() for c in numeric] + [F.col(f"{w}__mode").isNull() for w in words]) & F.col("__group").isNotNull()
+    by_group = rows.filter("__group is not null").groupBy("__group").agg(*(x for c in numeric for x in (F.sum(c).alias(f"{c}_s"), F.count(c).alias(f"{c}_n"))))
+    joined = open_.filter(bare).join(by_group, "__group", "left")
+    own = {n: F.try_divide(F.col(f"{c}_s"), F.col(f"{c}_n")) for c, n in zip(numeric, names, strict=True)}
+    if networks is not None:
+        nets = networks.select(F.col(networks.columns[0]).cast("string").alias("__group"), F.col(networks.columns[1]).alias("__network")).dropna().dropDuplicates(["__group"])
+        by_net = by_group.join(nets, "__group").groupBy("__network").agg(*(F.try_divide(F.sum(f"{c}_s"), F.sum(f"{c}_n")).alias(f"{c}__net") for c in numeric))
+        joined = joined.join(nets, "__group", "left").join(by_net, "__network", "left")
+        own = {n: F.coalesce(v, F.col(f"{c}__net")) for (n, v), c in zip(own.items(), numeric, strict=True)}
+    for w in words:
+        usual = rows.filter(F.col(f"{w}__code").isNotNull() & F.col("__group").isNotNull()).groupBy("__group", f"{w}__code").agg(F.count("*").alias("n"))
+        usual = usual.groupBy("__group").agg(F.max_by(f"{w}__code", F.struct("n", -F.col(f"{w}__code"))).alias(f"{w}__usual"))
+        joined = joined.join(usual, "__group", "left")
+        own[f"{w}__mode"] = F.coalesce(f"{w}__mode", f"{w}__usual")
+    none = {n: F.lit(None).cast("double") for n in names}
+    return open_.filter(~F.coalesce(bare, F.lit(False))).withColumns(none).unionByName(joined.withColumns(own).select(*open_.columns, *names)) if names or words else open_

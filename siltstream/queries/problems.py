@@ -12,6 +12,7 @@ from ..operators.imputation import chained_imputation
 from ..operators.regular import regular_series
 from ..operators.spikes import both_fields, implausible
 from ..plans.cells import number
+from ..plans.cells import word as norm_word
 from ..plans.ordered import micros
 
 #: Numeric field and word field of each sensor table.
@@ -22,14 +23,14 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _imputed(spark: SparkSession, d: str, table: str) -> DataFrame:
+def _imputed(spark: SparkSession, d: str, table: str, readings: DataFrame | None = None, **kw) -> DataFrame:
     value, word = _TABLES[table]
     # a vocabulary is a fixed list, so it may come to the driver
     names = sorted(r[0] for r in _table(spark, d, "class_names").filter(F.col("vocab") == word).select("class_name").distinct().limit(1001).collect() if r[0])
     finite = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
     return chained_imputation(
-        _table(spark, d, table), "reading_id", "station_id", "ts", {value: number, "battery": finite}, {word: names},
-        networks=_table(spark, d, "stations").select("station_id", "network"), bounds={value: (0.0, 100.0)},
+        _table(spark, d, table) if readings is None else readings, "reading_id", "station_id", "ts", {value: number, "battery": finite}, {word: names},
+        networks=_table(spark, d, "stations").select("station_id", "network"), bounds={value: (0.0, 100.0)}, **kw,
     )
 
 
@@ -42,6 +43,35 @@ def p3_filled(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+def p3_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out accuracy: every twentieth valid cell is hidden and filled. Errors (median, and root of the mean square, which faulty readings among the hidden make large) of the fill, of the fill without its drawn residual, of a straight line between the neighbours in time, and of the station's mean; share of right words beside that of the most usual word of the station."""
+    out = []
+    for table, (value, word) in _TABLES.items():
+        df = _table(spark, d, table).dropDuplicates(["reading_id"]).filter("station_id is not null")
+        hide = lambda k: F.pmod(F.xxhash64("reading_id", F.lit(k)), F.lit(20)) == 0
+        masked = df.withColumns({value: F.when(~hide(1), F.col(value)), word: F.when(~hide(2), F.col(word))})
+        fills = _imputed(spark, d, table, masked, expected=True).select("reading_id", F.col(value).alias("fill"), f"{value}_expected", F.col(word).alias("fill_word"))
+        w = Window.partitionBy("station_id").orderBy("ts", "reading_id")
+        back = Window.partitionBy("station_id").orderBy(F.col("ts").desc(), F.col("reading_id").desc())
+        seen, t = F.when(~hide(1), number(F.col(value))), micros(df, "ts")
+        p = F.last(F.when(seen.isNotNull(), F.struct(t.alias("t"), seen.alias("x"))), True)
+        plain = df.select("reading_id", "station_id", number(F.col(value)).alias("truth"), norm_word(F.col(word)).alias("word"), hide(1).alias("h"), hide(2).alias("hw"), t.alias("t"),
+                          p.over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("a"), p.over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("b"))
+        line = F.coalesce(F.col("a.x") + (F.col("b.x") - F.col("a.x")) * F.try_divide(F.col("t") - F.col("a.t"), F.col("b.t") - F.col("a.t")), F.col("a.x"), F.col("b.x"))
+        usual = plain.filter("not hw and word is not null").groupBy("station_id", "word").count().groupBy("station_id").agg(F.max_by("word", F.struct("count", "word")).alias("usual"))
+        mean = plain.filter("not h").groupBy("station_id").agg(F.avg("truth").alias("mean"))
+        names = _table(spark, d, "class_names").filter(F.col("vocab") == word).select(norm_word(F.col("class_name")).alias("word"), F.lit(True).alias("valid")).distinct()
+        j = plain.join(fills, "reading_id").join(mean, "station_id", "left").join(usual, "station_id", "left").join(names, "word", "left")
+        rms = lambda c: F.sqrt(F.avg(F.when(F.col("h") & F.col("truth").isNotNull(), (c - F.col("truth")) ** 2)))
+        mid = lambda c: F.percentile_approx(F.when(F.col("h") & F.col("truth").isNotNull(), F.abs(c - F.col("truth"))), 0.5, 10_000)
+        right = lambda c: F.avg(F.when(F.col("hw") & F.col("valid"), (c == F.col("word")).cast("double")))
+        out.append(j.agg(
+            F.lit(value).alias("field"), F.count(F.when(F.col("h"), F.col("truth"))).alias("hidden"), rms(F.col("fill")).alias("rmse_fill"), rms(F.col(f"{value}_expected")).alias("rmse_expected"), rms(line).alias("rmse_line"), rms(F.col("mean")).alias("rmse_mean"),
+            mid(F.col("fill")).alias("median_fill"), mid(F.col(f"{value}_expected")).alias("median_expected"), mid(line).alias("median_line"), mid(F.col("mean")).alias("median_mean"),
+            right(norm_word(F.col("fill_word"))).alias("words_right"), right(F.col("usual")).alias("words_usual")))
+    return reduce(DataFrame.union, out)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for table, (value, word) in _TABLES.items():
@@ -89,7 +119,7 @@ def p5_counter(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": p3_found, "p3_filled": p3_filled, "p4_found": p4_found, "p4_tail": p4_tail, "p5_found": p5_found, "p5_series": p5_series, "p5_counter": p5_counter,
+    "p3_found": p3_found, "p3_filled": p3_filled, "p3_scores": p3_scores, "p4_found": p4_found, "p4_tail": p4_tail, "p5_found": p5_found, "p5_series": p5_series, "p5_counter": p5_counter,
 }
 
 
