@@ -15,7 +15,7 @@ from .registry import OPERATORS
 
 _NAMES = {"nan": float("nan"), "NAN": float("nan"), "inf": float("inf"), "GOOD": GOOD, "BAD": BAD, "UNFLAGGED": UNFLAGGED, "DOUBTFUL": DOUBTFUL, "FILTER_ALL": FILTER_ALL, "FILTER_NONE": FILTER_NONE, "True": True, "False": False, "None": None}
 #: Statistics that may be given by their bare name.
-_STATS = frozenset("sum mean median min max std var count sem skew kurt first last linear time zScore madScore iqsScore scale mad cv diff abs exp log nanLog id".split())
+_STATS = frozenset("sum mean median min max std var count sem skew kurt first last linear time zScore madScore iqsScore scale mad cv diff abs exp log nanLog id climatologicalMean trueDailyMean".split())
 
 
 def _read(source: str | Path) -> str:

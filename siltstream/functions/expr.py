@@ -84,7 +84,10 @@ def environment(s: Series) -> dict[str, Callable]:
         "clip": lambda x, lower=None, upper=None: F.when(x.isNull(), None).otherwise(_clip(x, lower, upper)),
         "deltaT": lambda x: (F.col("t") - F.lag("t").over(s.order)) / 1e6, "derivative": lambda x: F.try_divide(x - shifted(x), (F.col("t") - F.lag("t").over(s.order)) / 1e6),
         "rateOfChange": lambda x: F.try_divide(x - shifted(x), shifted(x)), "relativeDifference": lambda x: F.try_divide(x - shifted(x), F.abs(x) + F.abs(shifted(x))),
-        "isValid": valid,
+        "isValid": valid, "evaluate": valid,
+        "stdQC": lambda x, max_nan_total=None, max_nan_consec=None: F.when(valid(x, max_nan_total, max_nan_consec), F.stddev_samp(x).over(w)),
+        "varQC": lambda x, max_nan_total=None, max_nan_consec=None: F.when(valid(x, max_nan_total, max_nan_consec), F.var_samp(x).over(w)),
+        "meanQC": lambda x, max_nan_total=None, max_nan_consec=None: F.when(valid(x, max_nan_total, max_nan_consec), F.avg(x).over(w)),
     }
 
 

@@ -239,6 +239,11 @@ def fit_curve(model: Callable, x: np.ndarray, y: np.ndarray, start: np.ndarray,
     return p if np.isfinite(p).all() else None
 
 
+def pd_fill(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each value, or the last one before it."""
+    return x[at[np.maximum(np.searchsorted(at, np.arange(len(x)), side="right") - 1, 0)]]
+
+
 def interpolate(t: np.ndarray, x: np.ndarray, method: str = "time", gap_limit: int | None = None, extrapolate: str | None = None, order: int = 2) -> np.ndarray:
     """Fill gaps shorter than ``gap_limit`` values (None: all inner ones), and the ends if asked for."""
     out, known = x.copy(), ~np.isnan(x)
@@ -252,8 +257,20 @@ def interpolate(t: np.ndarray, x: np.ndarray, method: str = "time", gap_limit: i
             near = np.sort(at[np.argsort(np.abs(pos[at] - pos[i]), kind="stable")[: order + 1]])
             w = np.array([np.prod([(pos[i] - pos[k]) / (pos[j] - pos[k]) for k in near if k != j]) for j in near])
             line[i] = w @ x[near]
-    else:
+    elif method in ("time", "linear", "slinear", "index", "values"):
+        if method in ("slinear", "index", "values"):
+            pos = t.astype(float)
         line = np.interp(pos, pos[at], x[at])
+    elif method in ("nearest", "zero"):
+        pos = t.astype(float)
+        after = np.clip(np.searchsorted(at, np.arange(len(x))), 0, len(at) - 1)
+        before = np.maximum(np.searchsorted(at, np.arange(len(x)), side="right") - 1, 0)
+        left, right = at[before], at[after]
+        line = x[left if method == "zero" else np.where(pos - pos[left] <= pos[right] - pos, left, right)]
+    elif method in ("pad", "ffill"):
+        line = pd_fill(x, at)
+    else:
+        raise ValueError(f"unknown interpolation {method!r}")
     edges = np.flatnonzero(np.diff(np.concatenate([[0], (~known).astype(int), [0]])))
     for a, b in edges.reshape(-1, 2):
         inner = a > 0 and b < len(x)

@@ -7,7 +7,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..frame import QC, Call, Series
@@ -27,6 +27,11 @@ def _wide(call: Call, fields: Sequence[str], window: str, how: str = "inner") ->
     return s.with_(segment=blocks_of(s, window))
 
 
+def _distance(metric: str, a: Column, b: Column) -> Column:
+    """The mean distance of two fields in a group of rows."""
+    return {"cityblock": lambda: F.avg(F.abs(a - b)), "euclidean": lambda: F.sqrt(F.avg((a - b) * (a - b)))}[metric]()
+
+
 def deviants(d: np.ndarray, sizes: np.ndarray, spread: float, frac: float, method: str) -> np.ndarray:
     """Members outside the one cluster that holds more than ``frac`` of all; none if there is no such cluster."""
     of = k.linkage_clusters(d, spread, method)
@@ -42,9 +47,17 @@ def flagDriftFromNorm(call: Call, fields: list[str], targets: list[str], window:
     n = len(targets)
     pairs = [(i, j) for i in range(n) for j in range(i)]
     if callable(metric):
-        raise ValueError("a metric is named: cityblock or euclidean")
-    dist = {"cityblock": lambda a, b: F.avg(F.abs(a - b)), "euclidean": lambda a, b: F.sqrt(F.avg((a - b) * (a - b)))}[metric]
-    g = s.df.groupBy(*s.keys, "segment").agg(F.count("*").alias("n"), F.array(*(dist(F.col(f"v{i}"), F.col(f"v{j}")) for i, j in pairs) or [F.lit(0.0)]).alias("d")).filter("n > 1")
+        cols = F.array(*(F.col(f"v{i}") for i in range(n)))
+
+        @F.pandas_udf("array<double>")
+        def own(rows: pd.Series) -> pd.Series:
+            m = [np.stack([np.asarray(r, float) for r in x]) for x in rows]
+            return pd.Series([[float(metric(x[:, i], x[:, j])) for i, j in pairs] or [0.0] for x in m])
+
+        g = s.df.groupBy(*s.keys, "segment").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("t", cols.alias("v")))).alias("rows")).filter("n > 1")
+        g = g.select(*s.keys, "segment", "n", own(F.col("rows.v")).alias("d"))
+    else:
+        g = s.df.groupBy(*s.keys, "segment").agg(F.count("*").alias("n"), F.array(*(_distance(metric, F.col(f"v{i}"), F.col(f"v{j}")) for i, j in pairs) or [F.lit(0.0)]).alias("d")).filter("n > 1")
 
     @F.pandas_udf("array<boolean>")
     def out(d: pd.Series) -> pd.Series:
@@ -69,12 +82,11 @@ def flagDriftFromNorm(call: Call, fields: list[str], targets: list[str], window:
 def flagDriftFromReference(call: Call, fields: list[str], targets: list[str], reference: str = "", freq: str = "1D", thresh: float = 0.0, metric: str = "cityblock") -> QC:
     """In each period, fields whose mean distance to the reference field exceeds ``thresh``."""
     qc = call.qc
-    dist = {"cityblock": lambda a, b: F.avg(F.abs(a - b)), "euclidean": lambda a, b: F.sqrt(F.avg((a - b) * (a - b)))}[metric]
     for t in targets:
         if t == reference:
             continue
         s = _wide(call, [t, reference], freq)
-        bad = s.df.groupBy(*s.keys, "segment").agg((dist(F.col("v0"), F.col("v1")) > thresh).alias("hit"), F.count("*").alias("n")).filter("n > 1")
+        bad = s.df.groupBy(*s.keys, "segment").agg((_distance(metric, F.col("v0"), F.col("v1")) > thresh).alias("hit"), F.count("*").alias("n")).filter("n > 1")
         hit = match(s.df.select(*s.keys, "t", "segment"), bad, [*s.keys, "segment"]).select(*s.keys, "t", "hit")
         qc = Call(**{**call.__dict__, "qc": qc}).write(t, Series(match(qc.fields[t].df, hit, [*s.keys, "t"], "left"), s.keys))
     return qc
@@ -147,34 +159,38 @@ def _with_cluster(call: Call, field: str, cluster_field: str) -> Series:
     return Series(match(s.df, c, [*s.keys, "t"], "left"), s.keys)
 
 
-def _regimes(pdf: pd.DataFrame, spread: float, frac: float, method: str) -> dict:
+def _regimes(pdf: pd.DataFrame, spread: float, frac: float, method: str, metric: Callable | None) -> dict:
     x, c = pdf["value"].to_numpy(float), pdf["cluster"].to_numpy(float)
     labels = [g for g in np.unique(c[~np.isnan(c)]) if (~np.isnan(x[c == g])).any()]
     if len(labels) < 2:
         return {"odd": np.zeros(len(x), bool)}
     mean = np.array([np.nanmean(x[c == g]) for g in labels])
     size = np.array([(~np.isnan(x[c == g])).sum() for g in labels], float)
-    bad = deviants(np.abs(mean[:, None] - mean[None, :]), size, spread, frac, method)
+    d = np.abs(mean[:, None] - mean[None, :])
+    if metric is not None:
+        own = [x[(c == g) & ~np.isnan(x)] for g in labels]
+        d = np.array([[float(metric(a, b)) for b in own] for a in own])
+    bad = deviants(d, size, spread, frac, method)
     return {"odd": np.isin(c, np.array(labels)[bad])}
 
 
-def _odd(s: Series, spread: float, frac: float, method: str) -> Series:
-    return apply(s, partial(_regimes, spread=spread, frac=frac, method=method), {"odd": "boolean"}, reads=["value", "cluster"])
+def _odd(s: Series, spread: float, frac: float, method: str, metric: Callable | None) -> Series:
+    return apply(s, partial(_regimes, spread=spread, frac=frac, method=method, metric=metric), {"odd": "boolean"}, reads=["value", "cluster"])
 
 
 @flagging(handles_target=True)
 def flagRegimeAnomaly(call: Call, field: str, target: str, cluster_field: str = "", spread: float = 0.0, method: str = "single", metric: Callable | None = None, frac: float = 0.5) -> QC:
-    """Regimes outside the normal cluster of regimes (by their means, weighted by their rows)."""
+    """Regimes outside the normal cluster of regimes (by the distance of their means, or a metric of two arrays; weighted by their rows)."""
     qc = call.qc if field == target else call.copy([field], [target])
     here = Call(**{**call.__dict__, "qc": qc})
-    s = _odd(_with_cluster(here, target, cluster_field), spread, frac, method)
+    s = _odd(_with_cluster(here, target, cluster_field), spread, frac, method, metric)
     return here.write(target, s.with_(hit=F.col("odd")))
 
 
 @register(mask=True, handles_target=True)
 def assignRegimeAnomaly(call: Call, field: str, target: str, cluster_field: str = "", spread: float = 0.0, method: str = "single", metric: Callable | None = None, frac: float = 0.5) -> QC:
     """Negates the labels of regimes outside the normal cluster, in the cluster field."""
-    s = _odd(_with_cluster(call, field, cluster_field), spread, frac, method)
+    s = _odd(_with_cluster(call, field, cluster_field), spread, frac, method, metric)
     odd = s.df.select(*s.keys, "t", "odd")
     df = match(call.qc.fields[cluster_field].df, odd, [*s.keys, "t"], "left").withColumns({"masked": F.lit(False), "out": F.when(F.col("odd"), -F.col("value")).otherwise(F.col("value"))})
     return call.write(cluster_field, Series(df, s.keys))

@@ -90,19 +90,24 @@ def calculatePolynomialResiduals(s: Series, window: str | int = "1D", order: int
     return s.with_(out=F.col("value") - F.col("fit"))
 
 
-def _low(pdf: pd.DataFrame, cutoff: float, order: int, method: str) -> dict:
+def _low(pdf: pd.DataFrame, cutoff: float | int, nyq: float, order: int, method: str) -> dict:
     x, t = pdf["value"].to_numpy(float), pdf["t"].to_numpy()
     gaps = np.isnan(x)
     y = k.interpolate(t, x, method, None, "both")
+    if isinstance(cutoff, int):  # a period, in steps of the series
+        steps = np.unique(np.diff(t))
+        if len(steps) != 1:
+            raise ValueError("a period as cutoff needs a series of one step")
+        cutoff = float(steps[0]) / cutoff / nyq
     out = None if np.isnan(y).any() else k.filtfilt(*k.butter_low(order, cutoff), y)
     return {"fit": np.where(gaps, np.nan, out if out is not None else np.nan)}
 
 
 @register()
 def fitLowpassFilter(s: Series, cutoff: float | str = 0.1, nyq: float = 0.5, filter_order: int = 2, fill_method: str = "linear") -> Series:
-    """Zero-phase Butterworth low-pass; ``cutoff`` as a frequency for the Nyquist frequency ``nyq``, or as a period for a regular series of one-minute steps."""
-    share = (60e6 / micros(cutoff) if isinstance(cutoff, str) else float(cutoff)) / nyq
-    s = apply(s, partial(_low, cutoff=share, order=filter_order, method=fill_method), {"fit": "double"})
+    """Zero-phase Butterworth low-pass; ``cutoff`` as a frequency for the Nyquist frequency ``nyq``, or as a period, for a series of one step."""
+    share = micros(cutoff) if isinstance(cutoff, str) else float(cutoff) / nyq
+    s = apply(s, partial(_low, cutoff=share, nyq=nyq, order=filter_order, method=fill_method), {"fit": "double"})
     return s.with_(out=F.nanvl("fit", F.lit(None).cast("double")))
 
 

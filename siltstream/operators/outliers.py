@@ -8,6 +8,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..flags import UNFLAGGED
@@ -205,14 +206,39 @@ def assignUniLOF(s: Series, n: int = 20, algorithm: str = "auto", p: float = 1,
     return s.with_(out=F.nanvl("score", F.lit(None).cast("double")))
 
 
-def _corruption_cutoff(score: np.ndarray, count: int) -> float:
-    """Cutoff between the ``count`` most outlying scores and the rest: the best split of them in two (1-D k-means, exact)."""
-    v = np.sort(score[~np.isnan(score)])[: max(2, count)]
-    if len(v) < 2 or v[0] == v[-1]:
-        return -math.inf
+def _corruption_cutoff(score: np.ndarray, count: float) -> float:
+    """The score at which outliers begin, from the expected number (or share) of corrupted values.
+
+    The distinct scores of the most outlying values are split in two (1-D k-means, exact). The
+    split counts if it is clear (mean silhouette above 0.6); outliers then begin with the least
+    outlying member of the upper part that is itself at least that clear, but of more than ten no
+    further than three deviations below the part's centre. Without a clear split only scores of 1 count.
+    """
+    known = -score[~np.isnan(score)]
+    most = max(4, int(abs(count * len(score)) if isinstance(count, float) and count < 1 else abs(count)))
+    v = np.unique(np.sort(known)[::-1][:most])
+    if len(v) < 3:
+        return -1.0
     cost = [((v[:i] - v[:i].mean()) ** 2).sum() + ((v[i:] - v[i:].mean()) ** 2).sum() for i in range(1, len(v))]
-    i = int(np.argmin(cost)) + 1
-    return (v[i - 1] + v[i]) / 2
+    cut = int(np.argmin(cost)) + 1
+    low, top = v[:cut], v[cut:]
+
+    def silhouettes(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        if len(own) == 1:
+            return np.ones(1)
+        inner = np.abs(own[:, None] - own[None, :]).sum(axis=1) / (len(own) - 1)
+        outer = np.abs(own[:, None] - other[None, :]).mean(axis=1)
+        return (outer - inner) / np.maximum(np.maximum(outer, inner), 1e-300)
+
+    upper = silhouettes(top, low)
+    mean = float(np.concatenate([upper, silhouettes(low, top)]).mean())
+    clear = top[upper >= mean]
+    if mean <= 0.6 or not len(clear):
+        return -1.0
+    begin = float(clear.min())
+    if len(clear) > 10:
+        begin = max(begin, float(top.mean()) - 3 * float(clear.std()))
+    return -begin
 
 
 def _unilof(pdf: pd.DataFrame, n: int, p: float, density, fill: bool, thresh, probability, corruption, slope: bool, min_offset) -> dict:
@@ -229,7 +255,7 @@ def _unilof(pdf: pd.DataFrame, n: int, p: float, density, fill: bool, thresh, pr
             hit = s <= -abs(probability)
         else:
             count = corruption if corruption is not None else len(x) // max(n, 4)
-            hit = s <= _corruption_cutoff(s, int(count * len(x)) if isinstance(count, float) and count < 1 else int(count))
+            hit = s <= _corruption_cutoff(s, count)
     if slope and hit.any():
         own = np.flatnonzero(~np.isnan(x))
         y, h = x[own], hit[own]
@@ -257,16 +283,71 @@ def flagUniLOF(s: Series, n: int = 20, thresh: float | str | None = None, probab
     return apply(s, kernel, {"hit": "boolean"})
 
 
+def _blamed(df: DataFrame, hits: DataFrame, keys: tuple[str, ...], reach: int, drop: bool, thresh: float, least: int) -> DataFrame:
+    """Of a field's rows the hits whose value leaves the course of the time around: keys, t, blame.
+
+    The course is a polynomial of second degree through the values at most ``reach`` away (of
+    degree 0 where the hit lies near an end of them); a value is to blame if it is further from it
+    than ``thresh`` robust deviations, or if there are fewer than ``least`` values. Only the
+    surroundings of hits are gathered, by buckets of time.
+    """
+    near = hits.select(*keys, F.col("t").alias("at"), F.explode(F.sequence(F.floor((F.col("t") - reach) / reach), F.floor((F.col("t") + reach) / reach))).alias("bucket"))
+    marked = match(df, hits.select(*keys, "t", F.lit(True).alias("marked")), [*keys, "t"], "left").withColumn("bucket", F.floor(F.col("t") / reach)).filter("value is not null")
+    around = match(marked, near, [*keys, "bucket"]).filter(F.abs(F.col("t") - F.col("at")) <= reach)
+    groups = around.groupBy(*keys, "at").agg(F.collect_list(F.struct("t", "value", F.coalesce("marked", F.lit(False)).alias("marked"))).alias("rows"))
+
+    @F.pandas_udf("boolean")
+    def blame(at: pd.Series, rows: pd.Series) -> pd.Series:
+        out = []
+        for a, own in zip(at, rows, strict=True):
+            own = sorted((r["t"], r["value"], r["marked"]) for r in own)
+            t, v = np.array([r[0] for r in own], float), np.array([r[1] for r in own], float)
+            now = v[t == a]
+            degree = 0 if a - t[0] < reach / 4 or t[-1] - a < reach / 4 else 2
+            if drop:
+                keep = ~np.array([r[2] for r in own])
+                t, v = t[keep], v[keep]
+            if len(v) < max(least, 1) or not len(now):
+                out.append(True)
+                continue
+            z = (t - a) / reach
+            fit = np.polynomial.polynomial.polyfit(z, v, min(degree, len(v) - 1))
+            rest = v - np.polynomial.polynomial.polyval(z, fit)
+            middle = np.median(rest)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out.append(bool(0.6745 * abs(middle - (now[0] - fit[0])) / np.median(np.abs(rest - middle)) > thresh))
+        return pd.Series(out)
+
+    return groups.select(*keys, F.col("at").alias("t"), blame("at", "rows").alias("blame"))
+
+
 @register(mask=True, demask=True, multivariate=True)
-def flagMVScores(call: Call, fields: list[str], targets: list[str], trafo: str | Callable = "zScore", alpha: float = 0.05, n: int = 10, func: str = "sum", iter_start: float = 0.5, window: str | int | None = None, min_periods: int = 11, drop_flagged: bool = False, thresh: float = 3.5, **_kw) -> QC:
-    """Joint outliers: transform each field, score by nearest neighbours, flag the scores' upper tail in all fields."""
+def flagMVScores(
+    call: Call, fields: list[str], targets: list[str], trafo: str | Callable = "zScore", alpha: float = 0.05, n: int = 10, func: str = "sum", iter_start: float = 0.5, window: str | int | None = None, min_periods: int = 11,
+    stray_range: str | None = None, drop_flagged: bool = False, thresh: float = 3.5, min_periods_r: int = 1,
+) -> QC:
+    """Joint outliers: transform each field, score by nearest neighbours, take the scores' upper tail (all of it in periods of ``window``).
+
+    Without ``stray_range`` all fields are flagged at such a time; with it, those whose value
+    leaves its course in the time around (see ``_blamed``), or all if none does.
+    """
     qc = call.qc
     work = qc
     for f in targets:
-        work = work.call("transform", f, trafo, target=f"__{f}")
-    work = work.call("assignKNNScore", [f"__{f}" for f in targets], target="__score", n=n, func=func)
-    work = work.call("flagByStray", "__score", window=window, min_periods=min_periods, iter_start=iter_start, alpha=alpha, flag=call.flag)
-    hits = work.fields["__score"].df.select(*qc.keys, "t", (F.coalesce("flag", F.lit(UNFLAGGED)) > UNFLAGGED).alias("hit"))
-    for t in targets:
-        qc = Call(**{**call.__dict__, "qc": qc}).write(t, Series(match(qc.fields[t].df, hits, [*qc.keys, "t"], "left"), qc.keys))
+        work = work.call("transform", f, trafo, target=f"__{f}", freq=window)
+    work = work.call("assignKNNScore", [f"__{f}" for f in targets], target="__score", n=n, func=func, freq=window, min_periods=min_periods)
+    work = work.call("flagByStray", "__score", freq=window, min_periods=min_periods, iter_start=iter_start, alpha=alpha, flag=call.flag)
+    hits = work.fields["__score"].df.select(*qc.keys, "t", (F.coalesce("flag", F.lit(UNFLAGGED)) > UNFLAGGED).alias("hit")).filter("hit")
+    if stray_range is not None:
+        hits = hits.drop("hit").distinct()
+        reach = micros(stray_range)
+        for i, f in enumerate(targets):
+            own = _blamed(qc.fields[f].df.select(*qc.keys, "t", "value"), hits.select(*qc.keys, "t"), qc.keys, reach, drop_flagged, thresh, min_periods_r)
+            hits = match(hits, own.withColumnRenamed("blame", f"b{i}"), [*qc.keys, "t"], "left")
+        every = [F.coalesce(F.col(f"b{i}"), F.lit(False)) for i in range(len(targets))]
+        nobody = ~reduce(Column.__or__, every)
+        hits = hits.select(*qc.keys, "t", *((c | nobody).alias(f"b{i}") for i, c in enumerate(every)))
+    for i, t in enumerate(targets):
+        own = hits.select(*qc.keys, "t", F.col("hit" if stray_range is None else f"b{i}").alias("hit"))
+        qc = Call(**{**call.__dict__, "qc": qc}).write(t, Series(match(qc.fields[t].df, own, [*qc.keys, "t"], "left"), qc.keys))
     return qc

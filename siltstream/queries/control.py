@@ -322,7 +322,8 @@ SELECT g.l_returnflag, g.t, round(lof + {_EPS}, 5) AS value FROM g LEFT JOIN f O
 _put("knn_score", lambda s, d: _values(_days(s, d).assignKNNScore(["a", "b"], target="s", n=5, freq="30D"), "s", 4), f"""WITH {_G}, {_SEG}, p AS (SELECT x.l_returnflag, x.t, sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2) AS d,
 row_number() OVER (PARTITION BY x.l_returnflag, x.t ORDER BY sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2)) AS r FROM s x JOIN s y ON x.l_returnflag = y.l_returnflag AND x.seg = y.seg AND x.t <> y.t)
 SELECT g.l_returnflag, g.t, round(sum(d) + {_EPS}, 4) AS value FROM g LEFT JOIN p ON g.l_returnflag = p.l_returnflag AND g.t = p.t AND r <= 5 GROUP BY 1, 2""")
-_put("flag_mv_scores", lambda s, d: _flags(_days(s, d).flagMVScores(["a", "b"], n=5, window="90D"), "a"))
+_put("flag_mv_scores", lambda s, d: _each(_days(s, d).flagMVScores(["a", "b"], n=5, window="90D"), "ab"))
+_put("flag_mv_scores_reduced", lambda s, d: _each(_days(s, d).flagMVScores(["a", "b"], n=5, window="90D", stray_range="20D"), "ab"))
 _put("flag_plateau", lambda s, d: _flags(_days(s, d).flagPlateau("a", min_length="3D", max_length="10D", min_jump=3.0), "a"))
 _put("flag_pattern_dtw", lambda s, d: _flags(_days(s, d).flagPatternByDTW("a", reference=[(i * _D, v) for i, v in enumerate((25.0, 27.0, 24.0))], max_distance=0.4), "a"))
 _put("polynomial_residuals", lambda s, d: _values(_qc(s, d).calculatePolynomialResiduals("x", window="1D", order=2, min_periods=5), digits=4), f"""WITH {_E},
