@@ -32,62 +32,80 @@ def modulo(a: Column, b: Column) -> Column:
 
 def environment(s: Series) -> dict[str, Callable]:
     """Functions that expressions may call. Reducers work on the whole series and skip missing values."""
-    w = s.whole
-    reduce_ = lambda f: lambda x: f(x).over(w)
-    median = lambda x: F.percentile(x, F.lit(0.5)).over(w)
-    quantile = lambda x, q: F.percentile(x, F.lit(q)).over(w)
+    n = iter(range(10**6))
+
+    def column(x: Column) -> Column:
+        """The expression as a column of its own, which an aggregate or a window function may read though it holds one."""
+        name = f"__step{next(n)}_{len(s.df.columns)}"
+        s.df = s.df.withColumn(name, x)
+        return F.col(name)
+
+    def totals(x: Column, *stats: Callable[[Column], Column]) -> list[Column]:
+        """Statistics of the whole series, joined to its rows."""
+        c = column(x)
+        names = [f"__total{next(n)}_{len(s.df.columns)}" for _ in stats]
+        s.df = s.summed(**{k: f(c) for k, f in zip(names, stats, strict=True)}).df
+        return [F.col(k) for k in names]
+
+    reduce_ = lambda f: lambda x: totals(x, f)[0]
+    quantile = lambda q: lambda x: F.percentile(x, F.lit(q))
+    median = reduce_(quantile(0.5))
 
     def scale(x: Column) -> Column:
-        lo, hi = F.min(x).over(w), F.max(x).over(w)
+        lo, hi = totals(x, F.min, F.max)
         return F.when(hi > lo, (x - lo) / (hi - lo)).when(x.isNotNull(), 0.5)
 
     def cv(x: Column) -> Column:
-        lo, hi = F.min(x).over(w), F.max(x).over(w)
-        return F.try_divide(F.try_divide(F.stddev_samp(x).over(w), hi - lo), F.try_divide(F.avg(x).over(w) - lo, hi - lo))
+        lo, hi, dev, mean = totals(x, F.min, F.max, F.stddev_samp, F.avg)
+        return F.try_divide(F.try_divide(dev, hi - lo), F.try_divide(mean - lo, hi - lo))
+
+    def z_score(x: Column) -> Column:
+        mean, dev = totals(x, F.avg, F.stddev_samp)
+        return F.try_divide(x - mean, dev)
+
+    def iqs_score(x: Column) -> Column:
+        low, middle, high = totals(x, quantile(0.25), quantile(0.5), quantile(0.75))
+        return F.try_divide(x - middle, high - low)
 
     def shifted(x: Column, n: int = 1) -> Column:
         return F.lag(x, n).over(s.order)
 
-    def column(x: Column) -> Column:
-        """The expression as a column of its own, which a window function may read though it holds one."""
-        name = f"__step{sum(c.startswith('__step') for c in s.df.columns)}"
-        s.df = s.df.withColumn(name, x)
-        return F.col(name)
-
     def mad(x: Column) -> Column:
-        return median(column(F.abs(x - median(x))))
+        return median(F.abs(x - median(x)))
 
     def mad_score(x: Column) -> Column:
-        return divide(x - median(x), mad(x))
+        middle = median(x)
+        return divide(x - middle, median(F.abs(x - middle)))
 
     def valid(x: Column, max_nan_total: int | None = None, max_nan_consec: int | None = None) -> Column:
         out = F.lit(True)
         if max_nan_total is not None:
-            out &= F.sum(F.when(x.isNull(), 1).otherwise(0)).over(w) <= max_nan_total
+            out &= totals(x, lambda c: F.sum(F.when(c.isNull(), 1).otherwise(0)))[0] <= max_nan_total
         if max_nan_consec is not None:
             # missing rows in a row have their position and their rank among the missing in common
             run = column(F.row_number().over(s.order) - F.count(F.when(x.isNull(), 1)).over(s.order.rowsBetween(-(2**31) + 1, 0)))
-            size = column(F.sum(F.when(x.isNull(), 1).otherwise(0)).over(Window.partitionBy(*s.by(), run)))
-            out &= F.max(size).over(w) <= max_nan_consec
+            size = F.sum(F.when(x.isNull(), 1).otherwise(0)).over(Window.partitionBy(*s.by(), run))
+            out &= totals(size, F.max)[0] <= max_nan_consec
         return out
 
+    def checked(f: Callable[[Column], Column]) -> Callable:
+        return lambda x, max_nan_total=None, max_nan_consec=None: F.when(valid(x, max_nan_total, max_nan_consec), totals(x, f)[0])
+
     def span_of(x: Column, target_range: tuple[float, float] = (0.0, 1.0)) -> Column:
         low, high = target_range
         return scale(x) * (high - low) + low
 
     return {
         "sum": reduce_(F.sum), "mean": reduce_(F.avg), "min": reduce_(F.min), "max": reduce_(F.max), "std": reduce_(F.stddev_pop), "var": reduce_(F.var_pop),
-        "median": median, "count": reduce_(F.count), "len": lambda x: F.count(F.lit(1)).over(w), "cv": cv, "scale": span_of, "mad": mad, "madScore": mad_score, "diff": lambda x: x - shifted(x), "shift": shifted,
-        "zScore": lambda x: F.try_divide(x - F.avg(x).over(w), F.stddev_samp(x).over(w)), "iqsScore": lambda x: F.try_divide(x - median(x), quantile(x, 0.75) - quantile(x, 0.25)),
+        "median": median, "count": reduce_(F.count), "len": reduce_(lambda c: F.count(F.lit(1))), "cv": cv, "scale": span_of, "mad": mad, "madScore": mad_score, "diff": lambda x: x - shifted(x), "shift": shifted,
+        "zScore": z_score, "iqsScore": iqs_score,
         "id": lambda x: x, "abs": F.abs, "exp": F.exp, "sqrt": F.sqrt, "sign": F.signum, "round": F.round,
         "log": lambda x: F.when(x > 0, F.ln(x)).when(x == 0, float("-inf")), "nanLog": lambda x: F.when(x > 0, F.ln(x)).when(x == 0, 2.2250738585072014e-308),
         "clip": lambda x, lower=None, upper=None: F.when(x.isNull(), None).otherwise(_clip(x, lower, upper)),
         "deltaT": lambda x: (F.col("t") - F.lag("t").over(s.order)) / 1e6, "derivative": lambda x: F.try_divide(x - shifted(x), (F.col("t") - F.lag("t").over(s.order)) / 1e6),
         "rateOfChange": lambda x: F.try_divide(x - shifted(x), shifted(x)), "relativeDifference": lambda x: F.try_divide(x - shifted(x), F.abs(x) + F.abs(shifted(x))),
         "isValid": valid, "evaluate": valid,
-        "stdQC": lambda x, max_nan_total=None, max_nan_consec=None: F.when(valid(x, max_nan_total, max_nan_consec), F.stddev_samp(x).over(w)),
-        "varQC": lambda x, max_nan_total=None, max_nan_consec=None: F.when(valid(x, max_nan_total, max_nan_consec), F.var_samp(x).over(w)),
-        "meanQC": lambda x, max_nan_total=None, max_nan_consec=None: F.when(valid(x, max_nan_total, max_nan_consec), F.avg(x).over(w)),
+        "stdQC": checked(F.stddev_samp), "varQC": checked(F.var_samp), "meanQC": checked(F.avg),
     }
 
 

@@ -140,6 +140,11 @@ def _medians(pdf: pd.DataFrame, low: int, high: int) -> dict:
 
 
 def _zscore(s: Series, c: Column, method: str, window: str | int | None, center: bool, min_periods: int | None) -> tuple[Series, Column, Column]:
+    if window is None and method in ("standard", "modified"):
+        if method == "standard":
+            return s.summed(middle=F.avg(c), dev_=F.stddev_samp(c)), F.col("middle"), F.col("dev_")
+        s = s.summed(middle=F.percentile(c, F.lit(0.5)))
+        return s.summed(dev_=F.percentile(F.abs(c - F.col("middle")), F.lit(0.5))), F.col("middle"), F.col("dev_")
     w = s.whole if window is None else frame(s, window, center)
     if method == "standard":
         return s, F.avg(c).over(w), (F.stddev_samp(c).over(w))
@@ -220,7 +225,10 @@ def flagMAD(s: Series, window: str | int | None = None, z: float = 3.5, min_resi
 @register(reach=_reach(1, None))
 def assignZScore(s: Series, window: str | int | None = None, norm_func: str | Callable = "std", model_func: str | Callable = "mean", center: bool = True, min_periods: int | None = None) -> Series:
     """Values as (x - model) / norm; over the whole series the deviation is the population's."""
-    if window is None:
+    if window is None and norm_func == "std" and model_func == "mean":
+        s = s.summed(norm0=F.stddev_pop("value"), mid0=F.avg("value"))
+        norm, mid = F.col("norm0"), F.col("mid0")
+    elif window is None:
         norm = F.stddev_pop(F.col("value")).over(s.whole) if norm_func == "std" else over(norm_func, F.col("value"), s.whole)
         mid = over(model_func, F.col("value"), s.whole)
     else:
@@ -285,8 +293,8 @@ def transform(s: Series, func: str | Callable = "zScore", freq: str | int | None
     b = Series(s.with_(block=block).df, (*s.keys, "block"))
     name = {"standardizeByMean": "zScore", "standardizeByMedian": "madScore", "standardizeByIQR": "iqsScore", "normScale": "scale"}.get(func, func) if isinstance(func, str) else func
     if name in ("madScore", "mad"):
-        b = b.with_(mid=F.percentile(F.col("value"), F.lit(0.5)).over(b.whole))
-        b = b.with_(dev=F.percentile(F.abs(F.col("value") - F.col("mid")), F.lit(0.5)).over(b.whole))
+        b = b.summed(mid=F.percentile("value", F.lit(0.5)))
+        b = b.summed(dev=F.percentile(F.abs(F.col("value") - F.col("mid")), F.lit(0.5)))
         out = F.col("dev") if name == "mad" else F.try_divide(F.col("value") - F.col("mid"), F.col("dev"))
     else:
         out = environment(b)[name](F.col("value")) if isinstance(name, str) else name(F.col("value"), b)

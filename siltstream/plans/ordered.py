@@ -55,14 +55,3 @@ def micros(df: DataFrame, name: str) -> Column:
     if kind == "long":
         return F.col(name)
     raise TypeError(f"{name} is {kind}, not a timestamp")
-
-
-def salted(df: DataFrame, lookup: DataFrame, keys: list[str], spread: Column, salts: int = 16, how: str = "left") -> DataFrame:
-    """Join ``lookup`` (one row for each key) to ``df`` where one key may hold a third of ``df``.
-
-    Each lookup row is repeated ``salts`` times and the rows of ``df`` take one of the copies by
-    the hash of ``spread``, so that a hot key becomes ``salts`` shuffle keys.
-    """
-    left = df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "__salt"], how).drop("__salt")

@@ -351,7 +351,23 @@ def _correct_drift(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.union, out)
 
 
-_put("correct_drift", _correct_drift)
+def _drift_sql(field: str) -> str:
+    """A stretch from a maintenance's end to the next one's start is bent by the difference between its last five values and the first five of the next stretch."""
+    return f"""SELECT '{field}' AS field, x.station_id, x.t, round(CASE WHEN n < 2 OR g IS NULL THEN v ELSE v + (x.t - t0) / (t1 - t0) * (shift - target) END + {_EPS}, 5) AS value
+FROM {field}_r x LEFT JOIN {field}_s USING (station_id, g)"""
+
+
+def _drift_parts(table: str, field: str) -> str:
+    return f"""{field}_v AS (SELECT station_id, epoch_us(ts) AS t, max({field}) AS v FROM {table} WHERE station_id IS NOT NULL AND ts IS NOT NULL AND {field} BETWEEN 0 AND 100 GROUP BY 1, 2),
+{field}_r AS (SELECT v.station_id, t, v, CASE WHEN e >= t THEN g END AS g FROM {field}_v v ASOF LEFT JOIN spans ON v.station_id = spans.station_id AND v.t >= spans.s),
+{field}_k AS (SELECT *, row_number() OVER (PARTITION BY station_id, g ORDER BY t) AS i, row_number() OVER (PARTITION BY station_id, g ORDER BY t DESC) AS j FROM {field}_r WHERE g IS NOT NULL),
+{field}_g AS (SELECT station_id, g, count(*) AS n, min(t) AS t0, max(t) AS t1, avg(CASE WHEN i <= 5 THEN v END) AS start, avg(CASE WHEN j <= 5 THEN v END) AS target FROM {field}_k GROUP BY 1, 2),
+{field}_s AS (SELECT a.*, b.start AS shift FROM {field}_g a LEFT JOIN {field}_g b ON a.station_id = b.station_id AND a.g + 1 = b.g)"""
+
+
+_put("correct_drift", _correct_drift, f"""WITH {_SPANS}, u AS (SELECT station_id, a, max(b) AS b FROM m GROUP BY 1, 2),
+sp AS (SELECT station_id, b AS s, lead(a) OVER (PARTITION BY station_id ORDER BY a) AS e, row_number() OVER (PARTITION BY station_id ORDER BY a) AS g FROM u), spans AS (SELECT * FROM sp WHERE e IS NOT NULL),
+{_drift_parts("data_sm1", "sm1")}, {_drift_parts("data_sm2", "sm2")} {_drift_sql("sm1")} UNION ALL {_drift_sql("sm2")}""")
 
 
 # ---- other grids: reindex, and expressions
