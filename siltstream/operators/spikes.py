@@ -168,19 +168,17 @@ def tails(bins: DataFrame, level: float = 0.85, risk: float = 1e-3, floor: float
     upper quartile of the excesses (null where they do not differ), a source's own shape
     counting as many excesses as it has and the field's as ``prior``; ``cutoff``: what the tail
     exceeds with probability ``risk``. Neither threshold nor cutoff is less than ``floor``,
-    below which no distance is implausible. Quantiles are taken between bins of four in a hundred.
+    below which no distance is implausible. Quantiles are taken inside bins of four in a hundred.
     """
     keys = ["field", "source"]
     cells = bins.groupBy(*keys, "cell").agg((F.sum("w") / F.sum("n")).alias("usual"))
     season = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("cell", "usual"))).alias("season"))  # at most 24
     e = bins.join(season, keys).withColumn("e", F.abs(F.col("s") / F.col("n") - F.element_at("season", F.col("cell"))))
-    # binned again without time of day and sign; a bin's mean stands at the middle of its rows, and quantiles lie between bins in proportion
-    e = e.groupBy(*keys, F.floor(F.log2(F.greatest("e", F.lit(EPS))) * _BINS).alias("bin")).agg(F.sum("n").alias("n"), (F.sum(F.col("e") * F.col("n")) / F.sum("n")).alias("e"))
-    w = Window.partitionBy(*keys).orderBy("e")
-    e = e.withColumn("mid", F.sum("n").over(w) - F.col("n") / 2).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
-    e = e.withColumn("mid0", F.lag("mid").over(w)).withColumn("e0", F.lag("e").over(w))
-    line = lambda q: F.coalesce(F.col("e0") + (F.col("e") - F.col("e0")) * (q * F.col("all") - F.col("mid0")) / (F.col("mid") - F.col("mid0")), F.col("e"))
-    at = lambda q: F.coalesce(F.min(F.when((F.col("mid") >= q * F.col("all")) & (F.coalesce("mid0", F.lit(-1.0)) < q * F.col("all")), line(q))), F.max("e"))
+    # binned again without time of day and sign; a quantile lies inside its bin in proportion of its rows, so that none falls between the steps of a coarse probe
+    e = e.groupBy(*keys, F.floor(F.log2(F.greatest("e", F.lit(EPS))) * _BINS).alias("bin")).agg(F.sum("n").alias("n"))
+    e = e.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy("bin"))).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
+    inside = lambda q: (F.col("bin") + (q * F.col("all") - F.col("upto") + F.col("n")) / F.col("n")) / _BINS
+    at = lambda q: F.min(F.when((F.col("upto") >= q * F.col("all")) & (F.col("upto") - F.col("n") < q * F.col("all")), F.pow(F.lit(2.0), inside(q))))
     rest = 1 - level
     one = e.groupBy(*keys).agg(F.max("all").alias("n"), at(level).alias("q"), at(1 - rest / 2).alias("half"), at(1 - rest / 4).alias("top"))
     one = one.select(*keys, "n", "q", "half", "top", F.try_divide(F.col("top") - F.col("half"), F.col("top") - F.col("q")).alias("own"))
