@@ -159,7 +159,7 @@ def _with_cluster(call: Call, field: str, cluster_field: str) -> Series:
     return Series(match(s.df, c, [*s.keys, "t"], "left"), s.keys)
 
 
-def _regimes(pdf: pd.DataFrame, spread: float, frac: float, method: str, metric: Callable | None) -> dict:
+def _regimes(pdf: pd.DataFrame, spread: float, frac: float, method: str, metric: Callable | None = None) -> dict:
     x, c = pdf["value"].to_numpy(float), pdf["cluster"].to_numpy(float)
     labels = [g for g in np.unique(c[~np.isnan(c)]) if (~np.isnan(x[c == g])).any()]
     if len(labels) < 2:
