@@ -432,14 +432,14 @@ def decide(candidates: Iterable[Candidate], model: Model) -> list[tuple[int, int
             out.append((s, e, kind, item))
 
     def accepted(kind: str, a: str, x: int, patterns: tuple) -> bool:
-        """A seed is; a strict shape is unless its patterns or its shape never hold a seed; a looser one needs trusted patterns."""
+        """A seed is; a strict shape is unless its patterns are known and never hold a seed, and its shape is not trusted either; a looser one needs trusted patterns."""
         section, shapes = _SECTIONS[kind]
         known = [t for p in patterns if (t := get(section).get(p)) is not None]
         shape = get(shapes).get(a) if shapes else None
         if x & SEED:
             return True
         if x & STRICT:
-            return max([*known, *([] if shape is None else [shape])], default=1.0) > 0.002
+            return not known or max(*known, shape or 0.0) > 0.002
         return max(known, default=0.0) >= 0.75 and sum(t >= 0.3 for t in known) >= 2 and (shape is None or shape >= 0.5)
 
     for s, e, item, a, _, _, x, patterns in of["email"]:
@@ -485,7 +485,7 @@ def decide(candidates: Iterable[Candidate], model: Model) -> list[tuple[int, int
         if not (kg and kf) and f"{g} {f}" in get("fixed"):
             continue
         if small or x & LINES:
-            good = slot and (kg or both) and (not small or both)
+            good = slot and (kg or both) and (bool(small) or both)
         else:
             good = slot or (both and bool(g) and (best >= 0.15 or best < 0))
         if good:
