@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..flags import UNFLAGGED, is_flagged
@@ -203,10 +203,9 @@ def flagManual(s: Series, mdata: DataFrame | None = None, method: str = "left-op
     both = s.df.select("*", F.lit(None).cast("boolean").alias("m"), F.lit(1).alias("own"))
     other = marks.select(*s.keys, "t", "m").select(*[F.col(c) if c in (*s.keys, "t", "m") else (F.lit(0) if c == "own" else F.lit(None).cast(dict(both.dtypes)[c])).alias(c) for c in both.columns])
     u = Series(both.unionByName(other), s.keys)
-    w = u.span
-    low = -(2**62)
-    before = F.last("m", True).over(w(low, 0))
-    strictly = F.last("m", True).over(w(low, -1))
+    # from the series' first row on: such a frame grows, while one of a great fixed reach is gone through anew for every row
+    before = F.last("m", True).over(u.span(Window.unboundedPreceding, Window.currentRow))
+    strictly = F.last("m", True).over(u.span(Window.unboundedPreceding, -1))
     hit = {"right-open": before, "left-open": strictly, "closed": F.coalesce(before, F.lit(False)) | F.coalesce(strictly, F.lit(False))}[method]
     return Series(u.df.withColumn("hit", hit).filter("own = 1").drop("own", "m"), s.keys)
 
