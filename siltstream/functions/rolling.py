@@ -11,6 +11,15 @@ from ..frame import Series
 from ..timespan import micros
 
 
+def reach(window: str, center: bool = False, closed: str = "right", forward: bool = False) -> tuple[int, int]:
+    """The first and last microsecond of a window in time, around a row's."""
+    w = micros(window)
+    if center:
+        return (-(w // 2), w // 2) if closed == "both" else (-(w // 2 - 1), w // 2)
+    low, high = {"right": (-(w - 1), 0), "both": (-w, 0), "left": (-w, -1), "neither": (-(w - 1), -1)}[closed]
+    return (-high, -low) if forward else (low, high)
+
+
 def frame(s: Series, window: str | int, center: bool = False, closed: str = "right", forward: bool = False):
     """The frame of a window: an offset string (time) or a number of rows."""
     if isinstance(window, int):
@@ -20,11 +29,7 @@ def frame(s: Series, window: str | int, center: bool = False, closed: str = "rig
             off = (window - 1) // 2
             return s.rows(off - window + 1, off)
         return s.rows(0, window - 1) if forward else s.rows(-(window - 1), 0)
-    w = micros(window)
-    if center:
-        return s.span(-(w // 2), w // 2) if closed == "both" else s.span(-(w // 2 - 1), w // 2)
-    low, high = {"right": (-(w - 1), 0), "both": (-w, 0), "left": (-w, -1), "neither": (-(w - 1), -1)}[closed]
-    return s.span(-high, -low) if forward else s.span(low, high)
+    return s.span(*reach(window, center, closed, forward))
 
 
 def _moments(c: Column, w) -> tuple[Column, ...]:
@@ -60,11 +65,11 @@ def over(func: str | Callable, c: Column, w) -> Column:
     if func == "skew":
         n, m2, m3, _ = _moments(c, w)
         g = F.try_divide(m3, F.pow(m2, F.lit(1.5)))
-        return F.when((n >= 3) & (m2 > 1e-14), F.sqrt(n * (n - 1.0)) / F.nullif(n - 2.0, F.lit(0.0)) * g).when(n >= 3, 0.0)
+        return F.when((n >= 3) & (m2 > 1e-14), F.sqrt(n * (n - 1.0)) / F.nullif(n - 2.0, F.lit(0.0)) * g)
     if func == "kurt":
         n, m2, _, m4 = _moments(c, w)
         g = F.try_divide(m4, m2 * m2) - 3
-        return F.when((n >= 4) & (m2 > 1e-14), (n - 1.0) / F.nullif((n - 2.0) * (n - 3.0), F.lit(0.0)) * ((n + 1.0) * g + 6)).when(n >= 4, -3.0)
+        return F.when((n >= 4) & (m2 > 1e-14), (n - 1.0) / F.nullif((n - 2.0) * (n - 3.0), F.lit(0.0)) * ((n + 1.0) * g + 6))
     raise ValueError(f"unknown function {func!r}")
 
 

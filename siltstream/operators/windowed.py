@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from ..flags import UNFLAGGED
 from ..frame import QC, Call, Field, Series
-from ..functions.rolling import frame, over, rolling as stat
-from ..plans.halo import bounded
+from ..functions.rolling import frame, over, reach, rolling as stat
+from ..kernels import windows
+from ..plans.halo import bounded, near
 from ..plans.cells import match
 from ..registry import flagging, register
 from ..timespan import micros
-from .vector import apply
+from .vector import apply, scan
 
 
 def _reach(times: int = 1, default: str | None = "1D", key: str = "window"):
@@ -38,6 +39,17 @@ def _full(s: Series, window: str | int) -> Column:
     return F.col("t") - F.min("t").over(s.whole) >= micros(window) - 1
 
 
+def _rolled(t: np.ndarray, starts: np.ndarray, cols: dict[str, np.ndarray], low_high: tuple[int, int], func: str, least: int) -> dict:
+    """A statistic of the window's values, and the greatest of its flags if these are read."""
+    a, b = windows.bounds(t, starts, *low_high)
+    x = cols["value"]
+    out = windows.statistic(func, a, b, x)
+    if least > 0:
+        # a count is of values, but its window is full by its rows
+        out = np.where((b - a if func == "count" else windows.counts(a, b, x)) >= least, out, np.nan)
+    return {"out": out} | ({"newflag": windows.extreme(a, b, cols["flag"])} if "flag" in cols else {})
+
+
 @register(multivariate=True, handles_target=True, name="rolling")
 def rolling_(call: Call, fields: list[str], targets: list[str], window: str | int = "1D", func: str | Callable = "mean", min_periods: int = 0, center: bool = True) -> QC:
     """Replace values by a rolling statistic and flags by their rolling maximum; several fields to one target: over all their values."""
@@ -63,8 +75,12 @@ def rolling_(call: Call, fields: list[str], targets: list[str], window: str | in
         df = s.df.select(*on, value.cast("double").alias("value"), F.lit(None).cast("double").alias("flag"), F.array(F.lit(None).cast("double")).alias("hist"))
         return qc._new({**qc.fields, targets[0]: Field(df, (call.meta(),))})
     for f, t in zip(fields, targets, strict=True):
-        run = lambda s: s.with_(out=stat(s, F.col("value"), window, func, min_periods, center), newflag=F.max("flag").over(frame(s, window, center)))
-        out = run(call.masked(f)) if isinstance(window, int) or not qc.split else bounded(call.masked(f), micros(window), micros(qc.split), run)
+        if isinstance(window, str) and func in windows.NAMES:
+            kernel = partial(_rolled, low_high=reach(window, center), func=func, least=min_periods)
+            out = near(call.masked(f), micros(window), qc.split, lambda s: scan(s, kernel, {"out": "double", "newflag": "double"}, ("value", "flag")))
+        else:
+            run = lambda s: s.with_(out=stat(s, F.col("value"), window, func, min_periods, center), newflag=F.max("flag").over(frame(s, window, center)))
+            out = run(call.masked(f)) if isinstance(window, int) or not qc.split else bounded(call.masked(f), micros(window), micros(qc.split), run)
         qc = Call(**{**call.__dict__, "qc": qc._new({**qc.fields, t: qc.fields[f]})}).write(t, out)
     return qc
 
