@@ -252,10 +252,17 @@ def assignZScore(s: Series, window: str | int | None = None, norm_func: str | Ca
     return s.with_(norm=norm, mid=mid).with_(out=F.try_divide(F.col("value") - F.col("mid"), F.col("norm")))
 
 
-@register(demask=True, reach=_reach())
-def interpolateByRolling(s: Series, window: str | int = "1D", func: str | Callable = "median", center: bool = True, min_periods: int = 0, flag: float = UNFLAGGED) -> Series:
+@register(demask=True)
+def interpolateByRolling(s: Series, window: str | int = "1D", func: str | Callable = "median", center: bool = True, min_periods: int = 0, flag: float = UNFLAGGED, call: Call | None = None) -> Series:
     """Fill missing values by a rolling statistic; filled rows get ``flag``."""
-    s = s.with_(fill=stat(s, F.col("value"), window, func, min_periods, center))
+    split = call.qc.split  # type: ignore[union-attr]
+    if isinstance(window, str) and func in windows.NAMES:
+        kernel = partial(_rolled, low_high=reach(window, center), func=func, least=min_periods)
+        s = near(s, micros(window), split, lambda s: scan(s, kernel, {"out": "double"}))
+        s = Series(s.df.withColumnRenamed("out", "fill"), s.keys)
+    else:
+        run = lambda s: s.with_(fill=stat(s, F.col("value"), window, func, min_periods, center))
+        s = run(s) if isinstance(window, int) or not split else bounded(s, micros(window), micros(split), run)
     filled = F.col("value").isNull() & F.col("fill").isNotNull()
     return s.with_(out=F.coalesce(F.col("value"), "fill"), newflag=F.when(filled, F.lit(flag)))
 
