@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from ..frame import QC, Call, Series
 from ..functions.rolling import frame
-from ..kernels import numeric as k
+from ..kernels import numeric as k, windows
 from ..plans.cells import match
-from ..plans.halo import bounded
+from ..plans.halo import near
 from ..registry import register
 from ..timespan import micros
-from .vector import apply
+from .vector import apply, scan
 
 
 def _poly(pdf: pd.DataFrame, window: int | None, rows: int | None, order: int, least: int) -> dict:
@@ -42,38 +42,31 @@ def _poly(pdf: pd.DataFrame, window: int | None, rows: int | None, order: int, l
 
 
 def _fitted(s: Series, window: str | int, order: int, min_periods: int) -> Series:
-    """Adds ``fit``. A window in time and order up to two: from windowed power sums, in the JVM; else in numpy."""
+    """Adds ``fit``. A window in time and order up to two: from sums of powers over stretches of eight windows; else row by row."""
     if isinstance(window, int) or order > 2:
         rows = (window - 1 + window % 2) if isinstance(window, int) else None
         kernel = partial(_poly, window=None if rows else micros(window), rows=rows, order=order, least=min_periods)  # type: ignore[arg-type]
         s = apply(s, kernel, {"fit": "double"})
         return s.with_(fit=F.nanvl("fit", F.lit(None).cast("double")))
-    # sums of powers of the time since a near origin, or they would lose their digits: stretches of eight windows
-    w = micros(window)
-    return bounded(s, w // 2 + 1, 8 * w, partial(_power_sums, w=w, order=order, min_periods=min_periods))
-
-
-def _power_sums(s: Series, w: int, order: int, min_periods: int) -> Series:
-    win = s.span(-(w // 2), w // 2)
-    s = s.with_(h=(F.col("t") - F.min("t").over(s.whole)) / w)
-    own = F.when(F.col("value").isNotNull(), F.col("h"))
-    p = [F.sum(F.pow(own, F.lit(i))).over(win) for i in range(2 * order + 1)]
-    q = [F.sum(F.pow(own, F.lit(i)) * F.col("value")).over(win) for i in range(order + 1)]
-    s = s.with_(**{f"p{i}": c for i, c in enumerate(p)}, **{f"q{i}": c for i, c in enumerate(q)}, h0=F.col("h"))
-    # moments about the row's own time
-    from math import comb
-
-    m = [sum(comb(i, j) * F.col(f"p{j}") * F.pow(-F.col("h0"), F.lit(i - j)) for j in range(i + 1)) for i in range(2 * order + 1)]
-    r = [sum(comb(i, j) * F.col(f"q{j}") * F.pow(-F.col("h0"), F.lit(i - j)) for j in range(i + 1)) for i in range(order + 1)]
-    if order == 0:
-        fit = F.try_divide(r[0], m[0])
-    elif order == 1:
-        fit = F.try_divide(r[0] * m[2] - r[1] * m[1], m[0] * m[2] - m[1] * m[1])
-    else:
-        det = lambda a: a[0] * (a[4] * a[8] - a[5] * a[7]) - a[1] * (a[3] * a[8] - a[5] * a[6]) + a[2] * (a[3] * a[7] - a[4] * a[6])
-        fit = F.try_divide(det([r[0], m[1], m[2], r[1], m[2], m[3], r[2], m[3], m[4]]), det([m[0], m[1], m[2], m[1], m[2], m[3], m[2], m[3], m[4]]))
-    enough = (F.col("p0") >= max(min_periods, order + 1)) & F.col("value").isNotNull()
-    return s.with_(fit=F.when(enough, fit))
+    kernel = partial(_fit, w=(w := micros(window)), order=order, least=min_periods)
+    return near(s, w, True, lambda s: scan(s, kernel, {"fit": "double"}))
+
+
+def _fit(t: np.ndarray, starts: np.ndarray, cols: dict[str, np.ndarray], w: int, order: int, least: int) -> dict:
+    """The fitted value at each row, from sums of powers of the time around it."""
+    y = cols["value"]
+    since = (t - np.repeat(t[starts], np.diff(starts, append=len(t)))).astype(float)
+    m, r = windows.power_sums(*windows.bounds(t, starts, -(w // 2), w // 2), since, since, 2 * order, y, order, scale=w)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if order == 0:
+            over, under, size = r[0], m[0], m[0]
+        elif order == 1:
+            over, under, size = r[0] * m[2] - r[1] * m[1], m[0] * m[2] - m[1] * m[1], m[0] * m[2]
+        else:
+            det = lambda a: a[0] * (a[4] * a[8] - a[5] * a[7]) - a[1] * (a[3] * a[8] - a[5] * a[6]) + a[2] * (a[3] * a[7] - a[4] * a[6])
+            over, under, size = det([r[0], m[1], m[2], r[1], m[2], m[3], r[2], m[3], m[4]]), det([m[0], m[1], m[2], m[1], m[2], m[3], m[2], m[3], m[4]]), m[0] * m[2] * m[4]
+        # too few different times leave nothing but rounding
+        return {"fit": np.where((m[0] >= max(least, order + 1)) & ~np.isnan(y) & (np.abs(under) > 1e-14 * size), over / under, np.nan)}
 
 
 @register()
