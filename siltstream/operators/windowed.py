@@ -85,9 +85,24 @@ def rolling_(call: Call, fields: list[str], targets: list[str], window: str | in
     return qc
 
 
+def _constant(t: np.ndarray, starts: np.ndarray, cols: dict[str, np.ndarray], w: int, thresh: float, least: int) -> dict:
+    x = cols["value"]
+    a, b = windows.bounds(t, starts, -(w - 1), 0)
+    with np.errstate(invalid="ignore"):
+        const = windows.extreme(a, b, x) - windows.extreme(a, b, x, np.fmin) <= thresh
+    const &= (windows.counts(a, b, x) >= least) & (t - cols["first"] >= w - 1)
+    a, b = windows.bounds(t, starts, 0, w - 1)
+    n = np.concatenate(([0], np.cumsum(const)))
+    return {"hit": (n[b] > n[a]) & ~np.isnan(x)}
+
+
 @flagging()
-def flagConstants(s: Series, thresh: float = 0.0, window: str | int = 2, min_periods: int = 2) -> Series:
+def flagConstants(s: Series, thresh: float = 0.0, window: str | int = 2, min_periods: int = 2, call: Call | None = None) -> Series:
     """Values inside a window in which they vary by at most ``thresh``."""
+    if isinstance(window, str):
+        kernel = partial(_constant, w=micros(window), thresh=thresh, least=min_periods)
+        split = call.qc.split  # type: ignore[union-attr]
+        return near(s.summed(first=F.min("t")), micros(window), split, lambda s: scan(s, kernel, {"hit": "boolean"}, ("value", "first")))
     w = frame(s, window)
     const = (F.max(F.col("value")).over(w) - F.min(F.col("value")).over(w) <= thresh) & (F.count(F.col("value")).over(w) >= min_periods) & _full(s, window)
     s = s.with_(const=F.when(const, 1).otherwise(0))
