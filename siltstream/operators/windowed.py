@@ -77,7 +77,9 @@ def rolling_(call: Call, fields: list[str], targets: list[str], window: str | in
     for f, t in zip(fields, targets, strict=True):
         if isinstance(window, str) and func in windows.NAMES:
             kernel = partial(_rolled, low_high=reach(window, center), func=func, least=min_periods)
-            out = near(call.masked(f), micros(window), qc.split, lambda s: scan(s, kernel, {"out": "double", "newflag": "double"}, ("value", "flag")))
+            # what was hidden does not come back, so it need not pass through Python
+            own = Series(call.masked(f).df.drop("raw", "masked"), qc.keys)
+            out = near(own, micros(window), qc.split, lambda s: scan(s, kernel, {"out": "double", "newflag": "double"}, ("value", "flag")))
         else:
             run = lambda s: s.with_(out=stat(s, F.col("value"), window, func, min_periods, center), newflag=F.max("flag").over(frame(s, window, center)))
             out = run(call.masked(f)) if isinstance(window, int) or not qc.split else bounded(call.masked(f), micros(window), micros(qc.split), run)
